@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import bpe, exact_dedup, language_id, packing, toxicity
+from gramloom.llm import bpe, exact_dedup, fixity, html_text, language_id, media, packing, toxicity
 from gramloom.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,46 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op3_media_columns")
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(table(spark, sf_dir, "documents")))
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica of pages as a bad disk might leave it, by rules on page_id: one page in 97 has its first character
+    overwritten, one in 4099 has lost its second half, and one in 8209 is gone."""
+    half = F.expr("left(html, cast(length(html) / 2 as int))")
+    body = F.when(F.col("page_id") % 97 == 5, F.expr("overlay(html placing '?' from 1 for 1)")).when(F.col("page_id") % 4099 == 7, half).otherwise(F.col("html"))
+    return pages.filter(F.coalesce(F.col("page_id") % 8209 != 11, F.lit(True))).withColumn("html", body)
+
+
+_WARC_SQL = """
+    WITH a AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+    b AS (
+        SELECT page_id, url, CASE WHEN page_id % 97 = 5 AND html <> '' THEN '?' || substr(html, 2)
+                                  WHEN page_id % 4099 = 7 THEN left(html, CAST(floor(length(html) / 2) AS INT)) ELSE html END AS html
+        FROM a WHERE page_id % 8209 <> 11),
+    pa AS (SELECT page_id, url, html, 128 + strlen(CAST(page_id AS VARCHAR)) + strlen(url) + strlen(html) + strlen(CAST(strlen(html) AS VARCHAR)) AS n FROM a),
+    pb AS (SELECT page_id, url, html, 128 + strlen(CAST(page_id AS VARCHAR)) + strlen(url) + strlen(html) + strlen(CAST(strlen(html) AS VARCHAR)) AS n FROM b),
+    oa AS (SELECT *, CAST(sum(n) OVER (PARTITION BY page_id // 1024 ORDER BY page_id) - n AS BIGINT) AS o FROM pa),
+    ob AS (SELECT *, CAST(sum(n) OVER (PARTITION BY page_id // 1024 ORDER BY page_id) - n AS BIGINT) AS o FROM pb),
+    j AS (SELECT oa.page_id // 1024 AS file_no, oa.page_id AS slot,
+              CASE WHEN ob.page_id IS NULL THEN 'missing' WHEN oa.html <> ob.html THEN 'corrupt' WHEN oa.o <> ob.o THEN 'moved' END AS status,
+              oa.o AS primary_offset, oa.n AS primary_length, coalesce(ob.o, -1) AS replica_offset, coalesce(ob.n, -1) AS replica_length
+          FROM oa LEFT JOIN ob USING (page_id))
+    SELECT * FROM j WHERE status IS NOT NULL
+"""
+
+
+@query("op9_warc_fixity", _WARC_SQL)
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    both = (p.select(F.col("page_id").alias("slot"), fixity.record(p).alias("record")) for p in (pages, damaged(pages)))
+    return fixity.audit(*map(fixity.leaves, both))
