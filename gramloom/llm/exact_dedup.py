@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import text_of
+from gramloom.llm._shared import text_of, written
 
 #: Fewest and most characters of a chunk. Between them a chunk ends at the first place where CUT_RUN characters in
 #: a row are marks: below U+0100 those whose code point has one of CUT_RESIDUES modulo 16, above it those of every
@@ -78,7 +78,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal. The row with the largest id of a group stays (a null id only if the group has no other); of rows that
     repeat both id and text exactly one is kept. Other columns of docs are ignored. An empty table gives no rows.
     """
-    rows = recipes(docs, id_col, text_col)
+    rows = written(recipes(docs, id_col, text_col), "recipes")  # read twice: for the groups, and to tell each row its own
     groups = rows.groupBy("recipe").agg(
         F.max("doc_id").alias("keep_id"),
         F.count("*").alias("group_size"),
