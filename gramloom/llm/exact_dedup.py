@@ -96,9 +96,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows that repeat an id and a text count as one."""
-    groups = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_sha", F.sha2(folded(text_of(text_col)), 256)).withColumn("_id", F.col(id_col))
-    same = (own["_id"].eqNullSafe(groups["_id"])) & (own["_sha"] == groups["_sha"])
-    out = own.join(groups, same, "left_semi").drop("_sha", "_id")
-    return out
+    """The rows of docs that stay, with all their columns; of rows that repeat an id and a text one stays at most."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_sha256").alias("_sha"))
+    own = docs.withColumn("_id", name).withColumn("_sha", F.sha2(folded(text_of(text_col)), 256))
+    return own.join(stay, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import bpe, exact_dedup, fixity, html_text, language_id, media, packing, toxicity
+from gramloom.llm import bpe, exact_dedup, fixity, html_text, language_id, media, near_dup, packing, toxicity
 from gramloom.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     both = (p.select(F.col("page_id").alias("slot"), fixity.record(p).alias("record")) for p in (pages, damaged(pages)))
     return fixity.audit(*map(fixity.leaves, both))
+
+
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_classes(table(spark, sf_dir, "documents")).drop("_row")
