@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import bpe, exact_dedup, fixity, html_text, language_id, media, near_dup, packing, toxicity
+from gramloom.llm import bpe, exact_dedup, fixity, html_text, language_id, lm_scoring, media, near_dup, packing, toxicity
 from gramloom.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_classes(table(spark, sf_dir, "documents")).drop("_row")
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
