@@ -12,7 +12,13 @@ from gramloom.sources.store import folder
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """The files of a folder as a stream; a single file is a folder in which only its name counts."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format("parquet")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        parent, _, name = path.rpartition("/")
+        return stream.option("pathGlobFilter", name).load(parent)
+    return stream.load(path)
 
 
 def with_text(events: DataFrame, id_col: str, json_col: str, field: str) -> DataFrame:
