@@ -9,12 +9,14 @@ costs O(elements + K log K). Two documents share a coordinate with a probability
 Classes. Documents with the same words in the same order are one node. Nodes that share a band of coordinates meet in
 a bucket. Nobody lists a bucket's pairs: all members are first compared with its pivot, the node that meets most
 others in all of its buckets (so that the original is compared with each of its copies). A bucket is done when its
-members are in one class. In the few others, the members outside the pivot's class are compared with those members
-of other classes that the triangle inequality of the Jaccard distance, seen from the pivot, and the sizes of the sets
-leave possible. If many such members meet (documents that share a passage, say), they first have to share a second
-band. Each comparison is exact, on the sets of shingle hashes, and only confirmed pairs link nodes.
-
-A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**6)**40 = 5e-6; a second band asked for, 7e-6.
+members are in one class. In the few others, the members outside the pivot's class still have to be compared with
+those of other classes. What a join's condition can rule out there is never emitted: pairs that the sizes of their
+sets forbid, or the triangle inequality of the Jaccard distance as seen from the pivot, or whose signatures, at four
+bits a coordinate, agree in far fewer places than two documents of the least similarity would. The pairs left are
+compared exactly, on the sets of shingle hashes, and only confirmed pairs link nodes.
+
+A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**6)**40 = 5e-6, and its signatures agree in too
+few places with one of 1.3e-5 (4.2 standard deviations).
 """
 
 from __future__ import annotations
@@ -25,16 +27,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm._shared import U64, mix, slices, span_hashes, text_of, utf8, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
-K = BANDS * ROWS
-#: Members outside the pivot's class from which on a second shared band is asked for.
-CROWD = 64
+#: Coordinates of a signature: the bands take the first BANDS * ROWS, estimates use all.
+K = 480
+#: Sixteen coordinates of four bits make a long.
+WORDS = K // 16
 
 #: Ranks are counted in units of 2**-50; the first cell of ranks ends at 2**-6, each further one is as wide as all before it.
 _UNITS, _FIRST = 50, -6
@@ -103,12 +106,37 @@ def _throw(out: np.ndarray, base: np.ndarray, row: np.ndarray, weight: np.ndarra
 
 
 def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """rows x bands hashes, each of `rows` coordinates."""
     out = np.zeros((len(signatures), bands), U64)
     for i in range(rows):
-        out = mix(out ^ signatures[:, i::rows][:, :bands]) + U64(i + 1)
+        out = mix(out ^ signatures[:, i : bands * rows : rows]) + U64(i + 1)
     return mix(out + np.arange(1, bands + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
+def packed_sketch(signatures: np.ndarray) -> np.ndarray:
+    """rows x WORDS longs: four bits of each coordinate."""
+    four = (mix(signatures) & U64(15)).reshape(len(signatures), WORDS, 16)
+    return (four << (np.arange(16, dtype=U64) * U64(4))).sum(2, dtype=U64)
+
+
+def _least_agreeing(similarity: float) -> int:
+    """Two documents of this similarity agree in fewer of K coordinates with a probability of 1.3e-5."""
+    p = similarity + (1 - similarity) / 16
+    return int(K * (p - 4.2 * math.sqrt(p * (1 - p) / K)))
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """The number of coordinates in which two packed sketches (arrays of longs) agree."""
+
+    def differing(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.lit(K) - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda n, d: n + d)
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and 32-bit hash of each distinct shingle, in that order, and two hashes of each row's sequence of words.
 
@@ -145,23 +173,25 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, copy_a and copy_b (of the sequence of words), n (shingles), bands and shingles of each row of docs."""
+    """doc_id, copy_a and copy_b (of the sequence of words), n (shingles), bands, sketch and shingles of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
             row, value, both = shingles(*utf8(part.column("text")))
             n = np.bincount(row, minlength=part.num_rows)
-            keys = band_keys(dart_signatures(value, row, None, part.num_rows)).view(np.int64)
+            signatures = dart_signatures(value, row, None, part.num_rows)
             full = n > 0
+            keys = band_keys(signatures).view(np.int64)
             edges = np.concatenate([[0], np.cumsum(full * BANDS)])
             bands = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys[full].reshape(-1)))
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(value.view(np.int32)))
+            sketches = pa.FixedSizeListArray.from_arrays(pa.array(packed_sketch(signatures).view(np.int64).reshape(-1)), WORDS).cast(pa.list_(pa.int64()))
             copy = [pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *copy, pa.array(n, pa.int32()), bands, sets], ["doc_id", "copy_a", "copy_b", "n", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *copy, pa.array(n, pa.int32()), bands, sketches, sets], ["doc_id", "copy_a", "copy_b", "n", "bands", "sketch", "shingles"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, copy_a long, copy_b long, n int, bands array<long>, shingles array<int>")
+    return own.mapInArrow(run, f"doc_id {kind}, copy_a long, copy_b long, n int, bands array<long>, sketch array<long>, shingles array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,7 +239,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = rows.filter("_row = node").select("_row")
     single = seen.select("_row", "n", "bands").join(nodes, "_row", "left_semi")
 
-    every = single.select(F.col("_row").alias("node"), F.col("n"), F.explode("bands").alias("key"))
+    every = single.select(F.col("_row").alias("node"), F.col("n"), F.posexplode("bands").alias("band", "key"))
     met = every.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     member = written(every.join(met, "key"), "members")
     central = member.groupBy("node").agg(F.sum("members").alias("met"))
@@ -227,8 +257,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = own.join(compared.withColumnsRenamed({"a": "node", "b": "pivot"}), ["node", "pivot"], "left")
     own = own.withColumn("j", F.when(F.col("node") == F.col("pivot"), 1.0).otherwise(F.col("j")))
     own = own.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("at")), "pivot", "left").withColumn("at", F.coalesce("at", "pivot"))
-    mixed = own.groupBy("key").agg(F.sum((F.col("label") != F.col("at")).cast("int")).alias("outside")).filter("outside > 0")
-    open_ = written(own.join(mixed, "key").select("key", "node", "n", "label", "at", "j", "outside"), "open")
+    mixed = own.groupBy("key").agg(F.max(F.col("label") != F.col("at")).alias("_mixed")).filter("_mixed")
+    open_ = written(own.join(mixed, "key").select("key", "band", "node", "n", "label", "at", "j"), "open")
     more = written(_left_over(open_, seen, similarity), "compared")
     later = more.filter(F.col("j") >= similarity).select("a", "b")
     if not later.isEmpty():
@@ -242,14 +272,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _left_over(open_: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
     """Exact similarities of the pairs of different classes that buckets of several classes leave possible."""
-    few, many = open_.filter(F.col("outside") <= CROWD), open_.filter(F.col("outside") > CROWD)
-    bands = seen.select(F.col("_row").alias("node"), F.explode("bands").alias("second"))
-    again = many.join(bands, "node").filter(F.col("second") != F.col("key")).withColumn("key", F.xxhash64(F.least("key", "second"), F.greatest("key", "second"))).drop("second")
-    cell = few.unionByName(again)
-    a = cell.filter("label <> at").select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "j")))
-    b = cell.select("key", (F.col("label") == F.col("at")).alias("inner"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "j")))
+    cell = open_.join(seen.select(F.col("_row").alias("node"), "sketch", "bands"), "node")
+    own = ("node", "n", "label", "j", "sketch", "bands")
+    a = cell.filter("label <> at").select("key", "band", *(F.col(c).alias(f"{c}_a") for c in own))
+    b = cell.select("key", (F.col("label") == F.col("at")).alias("inner"), *(F.col(c).alias(f"{c}_b") for c in own))
     possible = (F.col("label_a") != F.col("label_b")) & _fits("n_a", "n_b", similarity) & (F.col("inner") | (F.col("node_a") < F.col("node_b")))
     possible = possible & F.coalesce(F.abs(F.col("j_a") - F.col("j_b")) <= 1 - similarity + 1e-9, F.lit(True))
+    possible = possible & (_agreeing("sketch_a", "sketch_b") >= _least_agreeing(similarity))
+    # A pair is told once, in the first band that it shares.
+    before = [F.slice(c, F.lit(1), F.col("band")) for c in ("bands_a", "bands_b")]
+    possible = possible & ~F.exists(F.zip_with(*before, lambda x, y: x == y), lambda same: same)
     pairs = a.join(b, "key").filter(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     return _confirmed(pairs, seen)
 
