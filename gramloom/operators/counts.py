@@ -131,3 +131,20 @@ def letter_ranges(counts: DataFrame, order: list[str]) -> DataFrame:
     """Counts with range and share of the total."""
     total = counts.agg(F.sum("count").alias("_total"))
     return prefix_sums(counts, order).crossJoin(F.broadcast(total)).withColumn("p", F.col("count") / F.col("_total")).drop("_total")  # one row
+
+
+def parse_text(texts: DataFrame, vocab: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """id, sent, pos, token, token_id of each text's normalised tokens; a null token_id tells an unknown token."""
+    from gramloom.operators.ngrams import sentence_table
+
+    each = sentence_table(texts, id_col, text_col).select(id_col, "sent", F.posexplode("tokens").alias("pos", "token"))
+    return each.join(vocab.select("token", "token_id"), "token", "left").select(id_col, "sent", "pos", "token", "token_id")
+
+
+def explore(table: DataFrame, n: int, first: int, last: int, step: int = 1, vocab: DataFrame | None = None) -> DataFrame:
+    """Rows number first, first + step, ... up to last (from 1, in the order of the ids), with words if a vocabulary is given."""
+    words = [f"w{i}" for i in range(1, n + 1)]
+    rows = row_ids(table, words).filter((F.col("row_id") >= first) & (F.col("row_id") <= last) & ((F.col("row_id") - first) % step == 0))
+    for w in words if vocab is not None else []:
+        rows = rows.join(vocab.select(F.col("token_id").alias(w), F.col("token").alias(f"{w}_token")), w, "left")
+    return rows
