@@ -49,6 +49,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, for rows that hold whole documents or pages.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once its session sends rows to Python in batches of BATCH_ROWS; a number that someone has set stays."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if df.sparkSession.conf.get(name, usual) == usual:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+#: A group that holds more than this share of all rows is hot: there are fewer than HOT such groups.
+HOT = 1000
+
+
+def given_back(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, broadcastable: Column | None = None) -> DataFrame:
+    """rows, with the columns of the group that each belongs to; nulls where it has none.
+
+    groups: one row per key, with the group's number of rows; a table that can be read several times. The few hot
+    groups, whose rows would all meet in one task, are broadcast (fewer than HOT rows; `broadcastable` keeps out those
+    with very long keys), and only the rest is joined by a shuffle.
+    """
+    hot = F.col(size) * HOT > rows.count()
+    hot = hot & broadcastable if broadcastable is not None else hot
+    few = groups.filter(hot)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(groups.filter(~hot), keys, "left")
+    return rows.join(F.broadcast(few), keys).unionByName(rest)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of about `most` bytes of `column`, at least one row each."""
     for batch in batches:

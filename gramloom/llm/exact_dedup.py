@@ -6,8 +6,8 @@ ordered list of its chunks' identifiers: its recipe. Documents are equal when th
 the chunks have been verified no long text moves again.
 
 * Shuffles: each distinct chunk's characters once (after a combine on the map side), then identifiers only.
-* A hot chunk or a hot recipe is combined before each shuffle; the joins that bring a group's result back to its
-  documents carry no aggregate above them, so that adaptive execution can split a hot key.
+* A hot chunk or a hot recipe is combined before each shuffle. A group's result comes back to its documents by a join
+  that broadcasts the few groups with over a thousandth of all rows, and shuffles the others.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import text_of, written
+from gramloom.llm._shared import given_back, text_of, written
 
 #: Fewest and most characters of a chunk. Between them a chunk ends at the first place where CUT_RUN characters in
 #: a row are marks: below U+0100 those whose code point has one of CUT_RESIDUES modulo 16, above it those of every
 #: eighth block of 32. In prose a cut comes every few hundred characters, so that a chunk has about 600.
 CHUNK_LEAST, CHUNK_MOST, CUT_RESIDUES, CUT_RUN = 256, 4096, (1, 4), 3
+#: Chunks of a recipe that may be broadcast as the key of a hot group (some 40 bytes each).
+LONG_RECIPE = 1000
 
 
 def folded(column: Column) -> Column:
@@ -84,8 +86,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.count("*").alias("group_size"),
         F.coalesce(F.max_by("_row", "doc_id"), F.min("_row")).alias("_keep_row"),
     )
-    shared = groups.filter("group_size > 1")
-    return rows.join(shared, "recipe", "left").select(
+    shared = written(groups.filter("group_size > 1"), "groups")
+    return given_back(rows, shared, ["recipe"], "group_size", F.size("recipe") <= LONG_RECIPE).select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
