@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import U64, mix, slices, span_hashes, text_of, utf8, word_spans, written
+from gramloom.llm._shared import U64, given_back, mix, slices, small_batches, span_hashes, text_of, utf8, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -173,7 +173,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, copy_a and copy_b (of the sequence of words), n (shingles), bands, sketch and shingles of each row of docs."""
+    """doc_id, text_key, copy_a and copy_b (of the sequence of words), n (shingles), bands, sketch and shingles of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
@@ -187,11 +187,11 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(value.view(np.int32)))
             sketches = pa.FixedSizeListArray.from_arrays(pa.array(packed_sketch(signatures).view(np.int64).reshape(-1)), WORDS).cast(pa.list_(pa.int64()))
             copy = [pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *copy, pa.array(n, pa.int32()), bands, sketches, sets], ["doc_id", "copy_a", "copy_b", "n", "bands", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *copy, pa.array(n, pa.int32()), bands, sketches, sets], ["doc_id", "text_key", "copy_a", "copy_b", "n", "bands", "sketch", "shingles"])
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text"), F.xxhash64(text_of(text_col)).alias("text_key"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, copy_a long, copy_b long, n int, bands array<long>, sketch array<long>, shingles array<int>")
+    return small_batches(own).mapInArrow(run, f"doc_id {kind}, text_key long, copy_a long, copy_b long, n int, bands array<long>, sketch array<long>, shingles array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def _fits(a: str, b: str, similarity: float):
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the least id of the class), class_size, kept (one row of each class:
-    the one with the least id).
+    the one with the least id), _row and text_key (a number for the row, and a hash of its text).
 
     Two documents are linked when the Jaccard similarity of their sets of five-word shingles (letter case and
     punctuation aside) is at least `similarity`, or when their words are the same; a class is what links connect.
@@ -234,8 +234,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     to those with the same text only, null counting as empty. Rows that repeat are copies. An empty table gives no rows.
     """
     seen = written(sketch(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "sketches")
-    copies = seen.groupBy("copy_a", "copy_b").agg(F.min("_row").alias("node"))
-    rows = written(seen.select("_row", "doc_id", "copy_a", "copy_b").join(copies, ["copy_a", "copy_b"]).select("_row", "doc_id", "node"), "nodes")
+    copies = seen.groupBy("copy_a", "copy_b").agg(F.min("_row").alias("node"), F.count("*").alias("copies"))
+    copies = written(copies.filter("copies > 1"), "copies")
+    own_rows = given_back(seen.select("_row", "doc_id", "text_key", "copy_a", "copy_b"), copies, ["copy_a", "copy_b"], "copies")
+    rows = written(own_rows.select("_row", "doc_id", "text_key", F.coalesce("node", "_row").alias("node")), "nodes")
     nodes = rows.filter("_row = node").select("_row")
     single = seen.select("_row", "n", "bands").join(nodes, "_row", "left_semi")
 
@@ -264,10 +266,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not later.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b").union(later))
 
-    named = rows.join(labels, "node", "left").select("_row", "doc_id", F.coalesce("label", "node").alias("label"))
+    named = written(rows.join(labels, "node", "left").select("_row", "doc_id", "text_key", F.coalesce("label", "node").alias("label")), "classes")
     sizes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.coalesce(F.min_by("_row", "doc_id"), F.min("_row")).alias("_stays"))
-    # Rows of classes of one need no partner: the join moves numbers only.
-    return named.join(sizes, "label").select("doc_id", "class_id", "class_size", (F.col("_row") == F.col("_stays")).alias("kept"), "_row")
+    told = given_back(named, written(sizes.filter("class_size > 1"), "sizes"), ["label"], "class_size")
+    alone = F.col("class_size").isNull()
+    return told.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        F.when(alone, True).otherwise(F.col("_row") == F.col("_stays")).alias("kept"),
+        "_row",
+        "text_key",
+    )
 
 
 def _left_over(open_: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
@@ -287,8 +297,9 @@ def _left_over(open_: DataFrame, seen: DataFrame, similarity: float) -> DataFram
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies of a row that stays, with all their columns. Of rows that repeat an id,
-    one stays at most."""
+    """The rows of docs without near copies of a row that stays, with all their columns. Of rows that repeat an id and
+    a text one stays at most."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    stay = near_classes(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id")).distinct()
-    return docs.withColumn("_id", name).join(stay, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    stay = near_classes(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_key").alias("_key"))
+    own = docs.withColumn("_id", name).withColumn("_key", F.xxhash64(text_of(text_col)))
+    return own.join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")

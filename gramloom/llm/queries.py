@@ -108,7 +108,7 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_classes(table(spark, sf_dir, "documents")).drop("_row")
+    return near_dup.near_classes(table(spark, sf_dir, "documents")).drop("_row", "text_key")
 
 
 @query("op1_lm_scoring")

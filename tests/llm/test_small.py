@@ -104,6 +104,12 @@ def test_near(docs, none, spark):
     assert kept.columns == docs.columns and kept.count() == 8
 
 
+def test_rows_without_an_id_stay_apart(spark):
+    rows = [(None, prose(1), "en", "s", 1), (None, prose(2), "en", "s", 1), (3, prose(3), "en", "s", 1), (3, prose(4), "en", "s", 1)]
+    for keep in (near_dup.keep_one, exact_dedup.keep_one):
+        assert keep(spark.createDataFrame(rows + rows, SCHEMA)).count() == 4
+
+
 def test_near_equals_brute_force(spark):
     rng = random.Random(4)
     rows = []
