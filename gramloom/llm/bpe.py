@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import gathered, mix, slices, text_of, utf8
+from gramloom.llm._shared import gathered, mix, slices, small_batches, text_of, utf8
 from gramloom.llm.pretoken import Encoder
 
 #: Widest matrix, in bytes of a pretoken, and most cells of one matrix.
@@ -197,7 +197,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return small_batches(own).mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -213,7 +213,7 @@ def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
 
     own = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, data binary")
+    return small_batches(own).mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,4 +239,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             )
 
     own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(own).mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

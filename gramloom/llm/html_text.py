@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramloom.llm._shared import small_batches
+
 #: Elements whose content is no text of the page.
 UNSEEN = ["script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select", "button"]
 #: Elements inside a line; all others end a block.
@@ -259,4 +261,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     from pyspark.sql.types import LongType, StringType, StructType
 
     schema = StructType([pages.schema[c] for c in keep]).add("text", StringType()).add("n_chars", LongType())
-    return pages.select(*keep, F.col(html_col)).mapInArrow(run, schema)
+    return small_batches(pages).select(*keep, F.col(html_col)).mapInArrow(run, schema)

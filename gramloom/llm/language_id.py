@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import slices, text_of, utf8
+from gramloom.llm._shared import slices, small_batches, text_of, utf8
 
 #: The expected number of documents that a language is learned from.
 PER_LANGUAGE = 1500
@@ -188,7 +188,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
             grams, n = _merged(found)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = small_batches(sample).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(counted.column("lang").to_pylist(), object)
     grams, n = (counted.column(c).to_numpy() for c in ("gram", "n"))
     out = {}
@@ -239,7 +239,7 @@ def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("bits_per_byte", DoubleType())
-    return ready.mapInArrow(run, schema)
+    return small_batches(ready).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:

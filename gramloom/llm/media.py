@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import slices, text_of, utf8
+from gramloom.llm._shared import slices, small_batches, text_of, utf8
 
 UNIT = 64
 UNKNOWN = "application/octet-stream"
@@ -239,7 +239,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(declared), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, declared string, media binary")
+    return small_batches(own).mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_bytes long, declared string, media binary")
 
 
 _FOUND = "media_type string, corrected boolean, carved array<struct<type:string,offset:long,length:long>>"
@@ -258,7 +258,7 @@ def inspect(rows: DataFrame, data_col: str = "media", declared_col: str = "decla
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(kinds, pa.string()), pa.array([f[0] != f[3] for f in found]), pa.array(carved, kind)], ["doc_id", "media_type", "corrected", "carved"])
 
     own = rows.select(F.col(id_col).alias("doc_id"), F.col(data_col).alias("media"), F.col(declared_col).alias("declared"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {_FOUND}")
+    return small_batches(own).mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {_FOUND}")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -285,6 +285,6 @@ def features(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(x, k) for x, k in zip(out, kinds[2:], strict=True))], names)
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    return stored.mapInArrow(
+    return small_batches(stored).mapInArrow(
         run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, corrected boolean, n_carved int"
     )

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import slices, text_of, utf8, written
+from gramloom.llm._shared import slices, small_batches, text_of, utf8, written
 from gramloom.llm.pretoken import Encoder
 
 CAPACITY = 2048
 #: Tokens and pieces of a group at most, on average: the bound of what one task packs at once.
 GROUP_TOKENS, GROUP_PIECES = 64_000_000, 200_000
+#: Pretokens that the tokenizer gets at a time.
+SOME = 1024
 
 
 @lru_cache(4)
@@ -34,7 +36,10 @@ def _encoder(path: str) -> Encoder:
     tokenizer.encode_special_tokens = True  # a special token's name in a text is text
 
     def encode(tokens: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch([t.decode() for t in tokens], add_special_tokens=False)]
+        out: list[list[int]] = []
+        for k in range(0, len(tokens), SOME):  # the library's results are many times as large as the ids in them
+            out += [x.ids for x in tokenizer.encode_batch_fast([t.decode() for t in tokens[k : k + SOME]], add_special_tokens=False)]
+        return out
 
     return Encoder(encode)
 
@@ -64,7 +69,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             )
 
     own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return small_batches(own).mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 class OpenBins:

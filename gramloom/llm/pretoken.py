@@ -76,7 +76,7 @@ def pretoken_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 class Encoder:
     """Ids of texts, given a function from distinct pretokens (bytes) to their ids. Its memory is bounded: it starts anew beyond `most` pretokens."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int] | np.ndarray]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int] | np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.forget()
 

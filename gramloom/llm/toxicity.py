@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import slices, span_hashes, text_of, utf8, word_spans, written
+from gramloom.llm._shared import slices, small_batches, span_hashes, text_of, utf8, word_spans, written
 
 #: The expected number of documents of each label that the weights are fitted on.
 PER_CLASS = 8000
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
         some = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], ["bucket", "clean", "toxic"])
 
-    counted = sample.mapInArrow(frequencies, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = small_batches(sample).mapInArrow(frequencies, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     found = counted.filter(F.col("toxic") >= LEAST_DOCS).toArrow()  # BUCKETS rows at most
     total = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     clean, toxic = (found.column(c).to_numpy() + 0.5 for c in ("clean", "toxic"))
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
             lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(key[:, k], pa.int64())) for k in (2, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(part.column("toxic").to_numpy(zero_copy_only=False), pa.int32()), *lists], ["toxic", "feature", "sentence"])
 
-    gathered = sample.mapInArrow(evidence, "toxic int, feature array<long>, sentence array<long>").toArrow()
+    gathered = small_batches(sample).mapInArrow(evidence, "toxic int, feature array<long>, sentence array<long>").toArrow()
     bags = [(int(t), np.array(f, np.int64), np.array(s, np.int64)) for t, f, s in zip(*(gathered.column(c).to_pylist() for c in ("toxic", "feature", "sentence")), strict=True)]
     return fit(bags, bucket, start)
 
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: NoisyOr, text_col: str = "text") -> DataFrame:
     from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
     spans = ArrayType(StructType().add("at", LongType()).add("score", DoubleType()))
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("score", DoubleType()).add("predicted", IntegerType()).add("offending", spans))
+    return small_batches(docs).mapInArrow(run, StructType(list(docs.schema.fields)).add("score", DoubleType()).add("predicted", IntegerType()).add("offending", spans))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
