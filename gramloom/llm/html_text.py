@@ -4,6 +4,9 @@ A page becomes a flat list of blocks, each the text between two block-level tags
 of words and link density, those of its neighbours, and what its open elements say by their names and classes. A
 decision tree, trained here on the small labelled table below, tells which blocks are article. Everything is one pass
 per page inside a task; nothing is shuffled.
+
+An article or main inside frames ends them for its own text, as wrappers often name what they hold beside it: a main
+always, an article if no article or main of the page stands in fewer frames (so teasers and comments stay framed).
 """
 
 from __future__ import annotations
@@ -38,13 +41,16 @@ FRAME_WORDS = [
 #: Elements and words of a class, id or role that tell the article itself.
 BODY = ["article", "main"]
 BODY_WORDS = ["article", "articlebody", "content", "entry", "main", "post", "story"]
+#: First words of a class that says what an element has or lacks (has-sidebar), not what it is.
+ABOUT = ["has", "with", "without", "no"]
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
+_MAIN = re.compile(r"(?<![\w-])role\s*=\s*[\"']?main(?![\w-])", re.I)
 _frame, _body, _inline, _void, _unseen = set(FRAME), set(BODY), set(INLINE), set(VOID), set(UNSEEN)
-_frame_words, _body_words = set(FRAME_WORDS), set(BODY_WORDS)
+_frame_words, _body_words, _about = set(FRAME_WORDS), set(BODY_WORDS), set(ABOUT)
 
 FEATURES = ["framed", "in_body", "page_has_body", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "listed"]
 
@@ -53,17 +59,23 @@ def _said(attributes: str) -> tuple[bool, bool]:
     """Whether the class, id or role speaks of a frame, and of a body."""
     words: set[str] = set()
     for m in _NAMED.finditer(attributes):
-        words.update(_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()))
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            words.update(parts if parts and parts[0] not in _about else ())
     return bool(words & _frame_words), bool(words & _body_words)
 
 
 def blocks(page: str) -> list[tuple[str, dict[str, float]]]:
     """Text and features of the page's blocks, in page order; unclosed and stray tags are taken as browsers take them."""
     out: list[tuple[str, dict[str, float]]] = []
-    opened: list[tuple[str, int, int]] = []  # name, whether it frames, whether it is the body
+    opened: list[tuple[str, int, int, int, int | None]] = []  # name, whether it frames, whether it is the body, and ended and outer before it
     parts: list[str] = []
     linked = 0
     in_link = framed = body = has_body = 0
+    ended = 0  # frames that an open main ends
+    outer: int | None = None  # frames, without those ended, around the outermost open article
+    around_bodies: list[int] = []  # frames around each article and main
+    within: list[tuple[int, int, int | None]] = []  # of each block: what it says of itself, frames around it, outer
     lone = heading = listed = 0  # what a p, li or heading says of its own block only
 
     def end() -> None:
@@ -71,7 +83,8 @@ def blocks(page: str) -> list[tuple[str, dict[str, float]]]:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             words = text.count(" ") + 1
-            out.append((text, {"framed": min(1, framed + lone), "in_body": min(1, body), "words": words, "link_density": min(1.0, linked / words), "heading": heading, "listed": listed}))
+            within.append((lone, framed - ended, outer))
+            out.append((text, {"in_body": min(1, body), "words": words, "link_density": min(1.0, linked / words), "heading": heading, "listed": listed}))
         parts, linked = [], 0
 
     at = 0
@@ -117,16 +130,26 @@ def blocks(page: str) -> list[tuple[str, dict[str, float]]]:
             if name in ("body", "html"):
                 frames, is_body = False, 0
             is_frame = int((name in _frame and not (name == "header" and body)) or (frames and name != "article"))
-            opened.append((name, is_frame, is_body))
+            opened.append((name, is_frame, is_body, ended, outer))
+            if not frames and (name == "main" or _MAIN.search(m[3])):
+                ended, outer = framed, None
+                around_bodies.append(0)
+            elif not frames and name == "article":
+                around_bodies.append(framed - ended)
+                outer = framed - ended if outer is None else outer
             framed, body = framed + is_frame, body + is_body
-            has_body |= is_body
+            has_body |= int(is_body and framed == ended)
         elif any(x[0] == name for x in opened):
             while True:
-                gone, is_frame, is_body = opened.pop()
+                gone, is_frame, is_body, ended, outer = opened.pop()
                 framed, body = framed - is_frame, body - is_body
                 if gone == name:
                     break
     end()
+    least = min(around_bodies, default=0)
+    has_body |= int(bool(around_bodies))
+    for (_, f), (own, frames_around, article) in zip(out, within, strict=True):
+        f["framed"] = min(1, own + frames_around - (least if article == least else 0))
     quiet = {"words": 0, "link_density": 0.0}
     around = [quiet, *(f for _, f in out), quiet]
     for k, (_, f) in enumerate(out):
@@ -150,6 +173,29 @@ LABELLED = """
 1 0 1 1 3 1 60 0 40 0 0 1
 1 0 1 1 250 .01 3 0 8 1 0 0
 1 0 1 1 4 0 0 0 12 0 0 0
+1 0 1 1 7 0 2 1 35 0 1 0
+1 0 1 1 5 0 1 1 3 0 1 0
+1 0 1 1 9 0 3 1 14 0 1 0
+1 0 1 1 6 0 4 1 250 0 1 0
+1 0 1 1 1 0 1 1 2 0 1 0
+1 0 1 1 3 0 2 1 1 1 1 0
+1 0 1 1 12 0 1 1 20 0 0 0
+1 0 1 1 40 0 3 1 60 0 0 0
+1 0 1 1 2 0 1 0 1 1 0 0
+1 0 1 1 14 0 60 0 2 1 0 0
+1 0 1 1 35 0 80 0 3 1 0 0
+1 0 1 1 80 0 40 0 1 1 0 0
+1 0 1 1 100 0 14 0 4 .8 0 0
+1 0 1 1 8 0 6 0 2 1 0 0
+1 0 1 1 4 0 9 0 5 .5 0 0
+1 0 1 1 30 .1 120 0 6 .7 0 0
+1 0 1 1 20 0 12 0 3 1 0 1
+1 0 1 1 60 0 1 1 2 1 0 0
+1 0 1 1 11 0 2 1 3 1 0 0
+1 0 1 1 5 0 70 0 4 1 1 0
+1 0 1 1 4 1 30 0 5 1 0 1
+1 0 1 1 6 .8 4 1 20 0 0 1
+1 0 1 1 25 .2 4 1 0 0 0 0
 0 1 1 1 40 0 90 0 12 0 0 0
 0 1 1 1 12 0 40 0 30 0 0 0
 0 1 1 1 3 1 90 0 3 1 0 1
@@ -200,6 +246,18 @@ LABELLED = """
 1 0 0 0 25 0 32 0 0 0 0 0
 1 0 0 0 60 0 70 0 12 0 0 0
 1 0 0 0 45 .05 30 0 3 .3 0 0
+1 0 0 0 6 0 1 1 14 0 1 0
+1 0 0 0 9 0 2 1 30 0 1 0
+1 0 0 0 4 0 4 1 8 0 1 0
+1 0 0 0 7 0 1 1 120 0 1 0
+1 0 0 0 30 0 1 1 25 0 0 0
+1 0 0 0 70 0 2 1 40 0 0 0
+1 0 0 0 25 0 40 0 1 1 0 0
+1 0 0 0 40 .05 60 0 3 1 0 0
+1 0 0 0 90 0 30 0 2 1 0 0
+1 0 0 0 20 0 25 0 4 1 0 0
+1 0 0 0 60 0 6 0 1 1 0 0
+1 0 0 0 35 .1 3 1 2 1 0 0
 0 0 0 0 13 .1 70 0 0 0 0 0
 0 0 0 0 11 0 35 0 4 1 0 0
 0 0 0 0 9 0 0 0 5 .8 0 0
