@@ -27,6 +27,17 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with _1, _2 and so on behind it where df has a column of that name (letter case aside)."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (name, *(f"{name}_{k}" for k in range(1, len(taken) + 2))) if x.lower() not in taken) for name in names]
+
+
+def quoted(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

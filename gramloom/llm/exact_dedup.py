@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import given_back, text_of, written
+from gramloom.llm._shared import fresh, given_back, text_of, written
 
 #: Fewest and most characters of a chunk. Between them a chunk ends at the first place where CUT_RUN characters in
 #: a row are marks: below U+0100 those whose code point has one of CUT_RESIDUES modulo 16, above it those of every
@@ -100,6 +100,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id and a text one stays at most."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_id", name).withColumn("_sha", F.sha2(folded(text_of(text_col)), 256))
-    return own.join(stay, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    key = fresh(docs, "_id", "_sha")
+    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(key[0]), F.col("text_sha256").alias(key[1]))
+    own = docs.withColumn(key[0], name).withColumn(key[1], F.sha2(folded(text_of(text_col)), 256))
+    return own.join(stay, key, "left_semi").dropDuplicates(key).drop(*key)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import small_batches
+from gramloom.llm._shared import fresh, quoted, small_batches
 
 #: Elements whose content is no text of the page.
 UNSEEN = ["script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select", "button"]
@@ -303,10 +303,9 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The columns of pages without html_col, with text and n_chars (code points). Null and empty pages have the empty
-    text; pages that repeat each get their row; an empty table gives none. Columns named text or n_chars must not be there."""
-    taken = {"text", "n_chars"} & (set(pages.columns) - {html_col})
-    if taken:
-        raise ValueError(f"these columns are in the way: {sorted(taken)}")
+    text; pages that repeat each get their row; an empty table gives none. The two come last; one whose name pages has
+    already is called text_1 or n_chars_1."""
+    results = fresh(pages.drop(html_col), "text", "n_chars")
     keep = [c for c in pages.columns if c != html_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,9 +313,9 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 texts = [main_text(x.as_py()) for x in part.column(html_col)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, *results])
 
     from pyspark.sql.types import LongType, StringType, StructType
 
-    schema = StructType([pages.schema[c] for c in keep]).add("text", StringType()).add("n_chars", LongType())
-    return small_batches(pages).select(*keep, F.col(html_col)).mapInArrow(run, schema)
+    schema = StructType([pages.schema[c] for c in keep]).add(results[0], StringType()).add(results[1], LongType())
+    return small_batches(pages).select(*map(quoted, keep), F.col(html_col)).mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import slices, small_batches, text_of, utf8
+from gramloom.llm._shared import fresh, slices, small_batches, text_of, utf8
 
 #: The expected number of documents that a language is learned from.
 PER_LANGUAGE = 1500
@@ -208,19 +208,18 @@ def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_
     """The columns of docs with lang_pred, score (the best language's posterior among all) and bits_per_byte.
 
     A text that is null or has no letter is `und`, with score 0 and no bits; so are all texts if no language was
-    learned. Of languages with equal code lengths the first by name wins. Case does not matter.
+    learned. Of languages with equal code lengths the first by name wins. Case does not matter. The three come last;
+    one whose name docs has already is called lang_pred_1 or the like.
     """
-    names = {"_text", "lang_pred", "score", "bits_per_byte"} & set(docs.columns)
-    if names:
-        raise ValueError(f"these columns are in the way: {sorted(names)}")
+    lowered, *results = fresh(docs, "_text", "lang_pred", "score", "bits_per_byte")
     shared = docs.sparkSession.sparkContext.broadcast(languages)
     fields = list(docs.columns)
-    ready = docs.withColumn("_text", F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col)))
+    ready = docs.withColumn(lowered, F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for part in slices(batches, "_text", 1 << 19):
-            data, offsets = utf8(part.column("_text"))
+        for part in slices(batches, lowered, 1 << 19):
+            data, offsets = utf8(part.column(lowered))
             bits, size = known.code_lengths(data, offsets), np.diff(offsets)
             no = (size == 0) | (not known.names)
             if known.names:
@@ -233,12 +232,12 @@ def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_
             lang[no] = UNKNOWN
             rate = np.where(no, 0.0, least / np.maximum(size, 1))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in fields), pa.array(lang, pa.string()), pa.array(np.where(no, 0.0, score)), pa.array(rate, mask=no)], [*fields, "lang_pred", "score", "bits_per_byte"]
+                [*(part.column(c) for c in fields), pa.array(lang, pa.string()), pa.array(np.where(no, 0.0, score)), pa.array(rate, mask=no)], [*fields, *results]
             )
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("bits_per_byte", DoubleType())
+    schema = StructType(list(docs.schema.fields)).add(results[0], StringType()).add(results[1], DoubleType()).add(results[2], DoubleType())
     return small_batches(ready).mapInArrow(run, schema)
 
 
@@ -253,4 +252,5 @@ def accepted(docs: DataFrame, reject_bits: float = REJECT_BITS) -> DataFrame:
     """The rows of docs in a learned language: with a letter, and no more than reject_bits a byte in the best language."""
     known = learn(docs)
     scored = predict(docs, known)
-    return scored.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= reject_bits)).select(*docs.columns)
+    lang, posterior, rate = scored.columns[-3:]
+    return scored.filter((F.col(lang) != UNKNOWN) & (F.col(rate) <= reject_bits)).drop(lang, posterior, rate)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import U64, given_back, mix, slices, small_batches, span_hashes, text_of, utf8, word_spans, written
+from gramloom.llm._shared import U64, fresh, given_back, mix, slices, small_batches, span_hashes, text_of, utf8, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -300,6 +300,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of docs without near copies of a row that stays, with all their columns. Of rows that repeat an id and
     a text one stays at most."""
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    stay = near_classes(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_key").alias("_key"))
-    own = docs.withColumn("_id", name).withColumn("_key", F.xxhash64(text_of(text_col)))
-    return own.join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    key = fresh(docs, "_id", "_key")
+    stay = near_classes(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(key[0]), F.col("text_key").alias(key[1]))
+    own = docs.withColumn(key[0], name).withColumn(key[1], F.xxhash64(text_of(text_col)))
+    return own.join(stay, key, "left_semi").dropDuplicates(key).drop(*key)

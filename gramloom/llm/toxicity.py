@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import slices, small_batches, span_hashes, text_of, utf8, word_spans, written
+from gramloom.llm._shared import fresh, slices, small_batches, span_hashes, text_of, utf8, word_spans, written
 
 #: The expected number of documents of each label that the weights are fitted on.
 PER_CLASS = 8000
@@ -157,10 +157,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
 
 def score(docs: DataFrame, model: NoisyOr, text_col: str = "text") -> DataFrame:
     """The columns of docs with score, predicted (score >= 0.5) and offending: the sentences of 0.5 and more as structs
-    of the first byte of their evidence in the text's UTF-8, and their score. A null or empty text scores LEAK."""
-    taken = {"_text", "score", "predicted", "offending"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"these columns are in the way: {sorted(taken)}")
+    of the first byte of their evidence in the text's UTF-8, and their score. A null or empty text scores LEAK. The three
+    come last; one whose name docs has already is called score_1 or the like."""
+    results = fresh(docs, "score", "predicted", "offending")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = list(docs.columns)
     offence = pa.struct([("at", pa.int64()), ("score", pa.float64())])
@@ -175,12 +174,12 @@ def score(docs: DataFrame, model: NoisyOr, text_col: str = "text") -> DataFrame:
             spans = [[] for _ in range(part.num_rows)]
             for r, a, e in zip(row[bad].tolist(), (at[bad] - offsets[row[bad]]).tolist(), each[bad].tolist(), strict=True):
                 spans[r].append({"at": a, "score": e})
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in fields), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(offence))], [*fields, "score", "predicted", "offending"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in fields), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(offence))], [*fields, *results])
 
     from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
     spans = ArrayType(StructType().add("at", LongType()).add("score", DoubleType()))
-    return small_batches(docs).mapInArrow(run, StructType(list(docs.schema.fields)).add("score", DoubleType()).add("predicted", IntegerType()).add("offending", spans))
+    return small_batches(docs).mapInArrow(run, StructType(list(docs.schema.fields)).add(results[0], DoubleType()).add(results[1], IntegerType()).add(results[2], spans))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
@@ -192,4 +191,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with a score under 0.5."""
-    return score(docs, learn(docs, labels)).filter("predicted = 0").select(*docs.columns)
+    scored = score(docs, learn(docs, labels))
+    results = scored.columns[-3:]
+    return scored.filter(F.col(results[1]) == 0).drop(*results)
