@@ -26,7 +26,13 @@ from gramloom.llm._shared import fresh, slices, small_batches, text_of, utf8
 PER_LANGUAGE = 1500
 ORDER = 3
 UNKNOWN = "und"
-#: A document whose best language still needs more bits a byte than this is in none of the learned languages.
+#: A document whose best language needs more bits a byte than that language's limit is in none of the learned ones. The
+#: limit is the mean of documents that the trees were not fitted on, and DEVIATIONS times the deviation for a text of n
+#: bytes, sqrt(spread / min(n, LONG)): by Chebyshev under one clean document in a hundred, whatever their distribution.
+DEVIATIONS, LONG = 10.0, 1000
+#: A spread from fewer documents than FEW gives way to that of all languages together, which is LEAST_SPREAD at least.
+FEW, LEAST_SPREAD = 30, 4.0
+#: The limit where too few documents are left to fit one.
 REJECT_BITS = 7.0
 
 
@@ -248,9 +254,35 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(own, known).drop("text")
 
 
+def limits(docs: DataFrame, languages: Languages, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[float, float]]:
+    """Mean of the bits a byte, and spread, of each language that held-out documents show enough of: a bounded sample of
+    those whose language is known and found."""
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & held_out(id_col))
+    known = known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
+    if not sizes:
+        return {}
+    share = docs.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for x, n in sizes.items()], "lang string, share double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    sample = known.withColumn("_place", place).join(F.broadcast(share), "lang").filter("_place < share").select("lang", "text")
+    rate, weight = F.col("bits_per_byte"), F.least(F.octet_length(F.lower("text")), F.lit(LONG)).cast("double")
+    sums = predict(sample, languages).filter("lang = lang_pred").groupBy("lang").agg(F.count("*"), F.sum(weight), F.sum(weight * rate), F.sum(weight * rate * rate))
+    found = {name: (n, x / w, xx - x * x / w) for name, n, w, x, xx in sums.collect()}  # one row per language
+    total = sum(n for n, *_ in found.values())
+    if total < FEW:
+        return {}
+    pooled = sum(squares for *_, squares in found.values()) / total
+    return {name: (mean, max(LEAST_SPREAD, squares / n if n >= FEW else pooled)) for name, (n, mean, squares) in found.items()}
+
+
 def accepted(docs: DataFrame, reject_bits: float = REJECT_BITS) -> DataFrame:
-    """The rows of docs in a learned language: with a letter, and no more than reject_bits a byte in the best language."""
+    """The rows of docs in a learned language: with a letter, and no more bits a byte than the best language's limit
+    (reject_bits where none could be fitted)."""
     known = learn(docs)
     scored = predict(docs, known)
     lang, posterior, rate = scored.columns[-3:]
-    return scored.filter((F.col(lang) != UNKNOWN) & (F.col(rate) <= reject_bits)).drop(lang, posterior, rate)
+    limit = F.lit(reject_bits)
+    for name, (mean, spread) in limits(docs, known).items():
+        size = F.greatest(F.least(F.octet_length(F.lower("text")), F.lit(LONG)), F.lit(1))
+        limit = F.when(F.col(lang) == name, mean + DEVIATIONS * F.sqrt(spread / size)).otherwise(limit)
+    return scored.filter((F.col(lang) != UNKNOWN) & (F.col(rate) <= limit)).drop(lang, posterior, rate)
