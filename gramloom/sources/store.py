@@ -1,4 +1,4 @@
-"""Tables written on the way, in the folder that the cluster shares."""
+"""Tables written on the way, in the folder that the cluster shares. They go when the application ends."""
 
 from __future__ import annotations
 
@@ -9,6 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_marked: set[str] = set()
+
+
+def _path(spark: SparkSession, path: str):
+    """The path and its file system, as the cluster's own readers see them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def folder(spark: SparkSession) -> str:
@@ -21,18 +28,28 @@ def folder(spark: SparkSession) -> str:
     return _local
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, written as Parquet and read again: its lineage ends here."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/gramloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new path for a table of this application, below a folder that is deleted when the application's JVM ends."""
+    base = f"{folder(spark)}/gramloom/{spark.sparkContext.applicationId}"
+    if base not in _marked:
+        at, files = _path(spark, base)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _marked.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
+    """df, written as Parquet and read again: its lineage ends here, and losing an executor costs no recomputation."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished table lies at path: a stage can be skipped when it does."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    at, files = _path(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return files.exists(at)
 
 
 def stage(spark: SparkSession, path: str, build, *partition_by: str) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gramloom.sources.store import folder
+from gramloom.sources.store import scratch
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
@@ -29,7 +27,7 @@ def with_text(events: DataFrame, id_col: str, json_col: str, field: str) -> Data
 def drained(stream: DataFrame) -> DataFrame:
     """All that the stream has now, written exactly once and read back: the checkpoint makes a restart go on."""
     spark = stream.sparkSession
-    base = f"{folder(spark)}/gramloom/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
