@@ -1,18 +1,19 @@
-"""Helpers that several operators share: tables, scratch tables, slices of Arrow batches, word hashes."""
+"""Helpers that several operators share: tables, slices of Arrow batches, word hashes, tables of numbers."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramloom.sources.store import saved
+
 U64 = np.uint64
 #: Text bytes that one numpy pass looks at; a longer single document is a pass of its own.
 SLICE_BYTES = 1 << 20
@@ -38,26 +39,9 @@ def quoted(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told
-    global _local
-    if _local is None:
-        _local = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    return _local
-
-
-_local: str | None = None
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends here, and losing an executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/gramloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written as Parquet in the folder that all executors share, and read again: lineage ends here."""
+    return saved(df, name)
 
 
 #: Rows of an Arrow batch, for rows that hold whole documents or pages.
@@ -76,14 +60,14 @@ def small_batches(df: DataFrame) -> DataFrame:
 HOT = 1000
 
 
-def given_back(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, broadcastable: Column | None = None) -> DataFrame:
+def given_back(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, broadcastable: Column | None = None, total: int | None = None) -> DataFrame:
     """rows, with the columns of the group that each belongs to; nulls where it has none.
 
     groups: one row per key, with the group's number of rows; a table that can be read several times. The few hot
     groups, whose rows would all meet in one task, are broadcast (fewer than HOT rows; `broadcastable` keeps out those
-    with very long keys), and only the rest is joined by a shuffle.
+    with very long keys), and only the rest is joined by a shuffle. total: the number of rows, if it is known.
     """
-    hot = F.col(size) * HOT > rows.count()
+    hot = F.col(size) * HOT > (rows.count() if total is None else total)
     hot = hot & broadcastable if broadcastable is not None else hot
     few = groups.filter(hot)
     rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(groups.filter(~hot), keys, "left")
@@ -121,29 +105,93 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_up = np.ones(1, U64)
-_down = np.ones(1, U64)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _up, _down
-    if len(_up) <= n:
-        size = max(n + 1, SLICE_BYTES + 4096)
-        for name, base in (("_up", _BASE), ("_down", _UNBASE)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            globals()[name] = np.multiply.accumulate(steps)
-    return _up, _down
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number, zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    out = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    return out if sys.byteorder == "little" else out.astype(U64)
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes start..end of each span; equal bytes, equal hash, wherever they stand."""
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start])
+    length, eight = end - start, eights(data)
+    out = mix(mix(length.astype(U64) * U64(0x9E3779B97F4A7C15)) + (eight[start] & _MASK[np.minimum(length, 8)]))
+    at, k = np.flatnonzero((length > 8) & (length <= LONG_SPAN)), 8
+    while len(at):
+        out[at] = mix(out[at] * U64(0xD6E8FEB86659FD93) + (eight[start[at] + k] & _MASK[np.minimum(length[at] - k, 8)]))
+        k += 8
+        at = at[length[at] > k]
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(length > LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return out
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, length: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether data[start : start + length] has the bytes of other[at : at + length], for each span."""
+    out = np.ones(len(start), bool)
+    one, two = eights(data), eights(other)
+    live, k = np.arange(len(start)), 0
+    while len(live):
+        out[live] &= ((one[start[live] + k] ^ two[at[live] + k]) & _MASK[np.minimum(length[live] - k, 8)]) == 0
+        k += 8
+        live = live[length[live] > k]
+    return out
+
+
+class NumberTable:
+    """64-bit numbers to values (0 and more, int64), by open addressing in arrays; an unknown number has -1."""
+
+    def __init__(self, most: int):
+        self.bits = max(10, (4 * most).bit_length())
+        self.keys = np.zeros(1 << self.bits, U64)
+        self.values = np.full(1 << self.bits, -1, np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> U64(64 - self.bits)).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct numbers that are not there yet."""
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.values[slot] < 0)
+            _, winner = np.unique(slot[free], return_index=True)
+            put = free[winner]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            rest = np.ones(len(keys), bool)
+            rest[put] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.values[slot]
+        more = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(more):
+            slot[more] = (slot[more] + 1) & ((1 << self.bits) - 1)
+            out[more] = self.values[slot[more]]
+            more = more[(out[more] >= 0) & (self.keys[slot[more]] != keys[more])]
+        return out
+
+
+class Pool:
+    """Numbers one after the other, in an array that doubles when it is full."""
+
+    def __init__(self, kind: type):
+        self.all, self.size = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> int:
+        """Where they begin."""
+        begin, self.size = self.size, self.size + len(more)
+        if self.size + 8 > len(self.all):
+            self.all = np.concatenate([self.all, np.zeros(self.size + 8, self.all.dtype)])
+        self.all[begin : self.size] = more
+        return begin
 
 
 _WORD = np.zeros(256, bool)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import gathered, mix, slices, small_batches, text_of, utf8
+from gramloom.llm._shared import NumberTable, gathered, slices, small_batches, text_of, utf8
 from gramloom.llm.pretoken import Encoder
 
 #: Widest matrix, in bytes of a pretoken, and most cells of one matrix.
@@ -42,10 +42,8 @@ class Vocabulary:
                 if (a := get(token[:k])) is not None and (b := get(token[k:])) is not None:
                     pairs[a << 16 | b] = rank
         self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-        self.bits = max(10, (4 * len(pairs)).bit_length())
-        self.table = np.full(1 << self.bits, -1, np.int64)
-        self.ranks = np.full(1 << self.bits, NONE, np.int32)
-        self._fill(np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
+        self.pairs = NumberTable(len(pairs))
+        self.pairs.put(np.fromiter(pairs.keys(), np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
         size = max(self.ids.values()) + 1
         tokens = [b""] * size
         for token, i in self.ids.items():
@@ -58,37 +56,12 @@ class Vocabulary:
         length = np.fromiter(map(len, parts), np.int64, len(parts))
         return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(length) - length, length
 
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (mix(key.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _fill(self, keys: np.ndarray, ranks: np.ndarray) -> None:
-        slot, self.longest = self._slot(keys), 1
-        while len(keys):
-            free = self.table[slot] == -1
-            _, winner = np.unique(slot[free], return_index=True)
-            put = np.flatnonzero(free)[winner]
-            self.table[slot[put]], self.ranks[slot[put]] = keys[put], ranks[put]
-            rest = np.ones(len(keys), bool)
-            rest[put] = False
-            keys, ranks, slot = keys[rest], ranks[rest], (slot[rest] + 1) & (len(self.table) - 1)
-            self.longest += 1
-
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE if it doesn't merge; ids below 0 stand for nothing."""
-        key = left.astype(np.int64) << 16 | right
-        out = np.full(key.shape, NONE, np.int32)
-        at = np.flatnonzero((left >= 0) & (right >= 0))
-        key = key.ravel()[at]
-        slot = self._slot(key)
-        flat = out.reshape(-1)
-        for _ in range(self.longest):
-            there = self.table[slot]
-            hit = there == key
-            flat[at[hit]] = self.ranks[slot[hit]]
-            more = ~hit & (there != -1)
-            if not more.any():
-                break
-            at, key, slot = at[more], key[more], (slot[more] + 1) & (len(self.table) - 1)
+        out = np.full(left.shape, NONE, np.int32)
+        both = np.flatnonzero((left >= 0) & (right >= 0))
+        rank = self.pairs.get((left.ravel()[both].astype(np.int64) << 16 | right.ravel()[both]).astype(np.uint64))
+        out.reshape(-1)[both] = np.where(rank < 0, NONE, rank)
         return out
 
     def encode(self, tokens: list[bytes]) -> list[list[int] | np.ndarray]:

@@ -13,7 +13,7 @@ members are in one class. In the few others, the members outside the pivot's cla
 those of other classes. What a join's condition can rule out there is never emitted: pairs that the sizes of their
 sets forbid, or the triangle inequality of the Jaccard distance as seen from the pivot, or whose signatures, at four
 bits a coordinate, agree in far fewer places than two documents of the least similarity would. The pairs left are
-compared exactly, on the sets of shingle hashes, and only confirmed pairs link nodes.
+compared on their whole sets of 64-bit shingle hashes, and only confirmed pairs link nodes. Copies are told by SHA-256.
 
 A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**6)**40 = 5e-6, and its signatures agree in too
 few places with one of 1.3e-5 (4.2 standard deviations).
@@ -21,16 +21,18 @@ few places with one of 1.3e-5 (4.2 standard deviations).
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import U64, fresh, given_back, mix, slices, small_batches, span_hashes, text_of, utf8, word_spans, written
+from gramloom.llm._shared import _WORD, U64, fresh, given_back, mix, slices, small_batches, span_hashes, text_of, utf8, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -137,26 +139,16 @@ def _agreeing(a: str, b: str) -> Column:
     return F.lit(K) - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda n, d: n + d)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and 32-bit hash of each distinct shingle, in that order, and two hashes of each row's sequence of words.
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Row and 64-bit hash of each distinct shingle, in that order.
 
-    A row of fewer words than `size` has one shingle of them all; one without a word has none, and its own bytes
-    stand for its words.
+    A row of fewer words than `size` has one shingle of them all; one without a word has none.
     """
     start, end, first = word_spans(data, offsets)
     word = span_hashes(data, start, end)
     count = np.diff(first)
-    rows = len(count)
-    owner = np.repeat(np.arange(rows), count)
-    both = np.zeros((rows, 2), U64)
+    owner = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(word), dtype=np.int64) - np.repeat(first[:-1], count)
-    for k in (0, 1):
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(word + (place.astype(U64) * U64(2) + U64(k)) * U64(0x8EBC6AF09C88C6E3)))])
-        both[:, k] = mix(sums[first[1:]] - sums[first[:-1]] + count.astype(U64))
-    bare = np.flatnonzero(count == 0)
-    if len(bare):
-        raw = span_hashes(data, offsets[bare], offsets[bare + 1])
-        both[bare, 0], both[bare, 1] = raw, mix(raw ^ U64(0x5555))
     # shingles that begin at each word; a short row's only one ends with its last word
     last = np.minimum(np.arange(len(word)) + size, first[1:][owner] if len(word) else 0)
     whole = (last - np.arange(len(word)) == size) | ((place == 0) & (count[owner] < size))
@@ -165,108 +157,154 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     for i in range(size):
         inside = np.arange(len(word)) + i < last
         value = np.where(inside, mix(value * U64(0xFF51AFD7ED558CCD) + padded[i : i + len(word)] + U64(i)), value)
-    packed = np.sort((owner[whole].astype(U64) << U64(32)) | (value[whole] >> U64(32)))
-    keep = np.ones(len(packed), bool)
-    keep[1:] = packed[1:] != packed[:-1]
-    packed = packed[keep]
-    return (packed >> U64(32)).astype(np.int64), (packed & U64(0xFFFFFFFF)).astype(np.uint32), both
+    owner, value = owner[whole], value[whole]
+    order = np.argsort((owner.astype(U64) << U64(44)) | (value >> U64(20)))
+    row, sorted_ = owner[order], value[order]
+    if len(row) and ((row[1:] == row[:-1]) & (sorted_[1:] < sorted_[:-1])).any():  # they differ in their lowest bits only
+        order = np.lexsort((value, owner))
+        row, sorted_ = owner[order], value[order]
+    keep = np.ones(len(row), bool)
+    keep[1:] = (sorted_[1:] != sorted_[:-1]) | (row[1:] != row[:-1])
+    return row[keep], sorted_[keep]
+
+
+def copy_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The SHA-256 of each row's words, one blank between two; of the row itself, marked, if it has no word."""
+    plain, raw = np.where(_WORD[data], data, np.uint8(32)).tobytes(), data.tobytes()
+    out = []
+    for a, b in pairwise(offsets.tolist()):
+        words = plain[a:b].split()
+        out.append(hashlib.sha256(b" ".join(words) if words else b"\0" + raw[a:b]).digest())
+    return out
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, copy_a and copy_b (of the sequence of words), n (shingles), bands, sketch and shingles of each row of docs."""
+    """doc_id, text_key, copy (a digest of the sequence of words), n (shingles), bands, sketch and shingles of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
-            row, value, both = shingles(*utf8(part.column("text")))
+            texts = utf8(part.column("text"))
+            row, value = shingles(*texts)
             n = np.bincount(row, minlength=part.num_rows)
             signatures = dart_signatures(value, row, None, part.num_rows)
             full = n > 0
             keys = band_keys(signatures).view(np.int64)
             edges = np.concatenate([[0], np.cumsum(full * BANDS)])
             bands = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys[full].reshape(-1)))
-            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(value.view(np.int32)))
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(value.view(np.int64)))
             sketches = pa.FixedSizeListArray.from_arrays(pa.array(packed_sketch(signatures).view(np.int64).reshape(-1)), WORDS).cast(pa.list_(pa.int64()))
-            copy = [pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *copy, pa.array(n, pa.int32()), bands, sketches, sets], ["doc_id", "text_key", "copy_a", "copy_b", "n", "bands", "sketch", "shingles"])
+            copy = pa.array(copy_digests(*texts), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), copy, pa.array(n, pa.int32()), bands, sketches, sets], ["doc_id", "text_key", "copy", "n", "bands", "sketch", "shingles"])
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text"), F.xxhash64(text_of(text_col)).alias("text_key"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text"), F.sha2(text_of(text_col), 256).alias("text_key"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return small_batches(own).mapInArrow(run, f"doc_id {kind}, text_key long, copy_a long, copy_b long, n int, bands array<long>, sketch array<long>, shingles array<int>")
+    return small_batches(own).mapInArrow(run, f"doc_id {kind}, text_key string, copy binary, n int, bands array<long>, sketch array<long>, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) of each node of the edges (a, b), which no driver ever holds.
 
     In each round a node takes the least label of its neighbours, and then its label's label, until nothing changes.
+    Labels of nodes with very many links, and of labels that very many nodes have, are broadcast (see given_back).
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+    links = both.count()
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"), F.count("*").alias("degree")).select("node", F.least("node", "b").alias("label"), "degree"), "labels")
+    nodes = labels.count()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
-        step = step.join(jump, "new", "left").select("node", F.least("new", "further").alias("label"), "old")
-        step = written(step.select("node", "label", (F.col("label") != F.col("old")).alias("moved")), "labels")
-        labels = step.select("node", "label")
+        reached = given_back(both, labels.withColumnRenamed("node", "b"), ["b"], "degree", total=links)
+        near = reached.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = written(labels.join(near, "node").select("node", "degree", F.least("label", "near").alias("new"), F.col("label").alias("old")), "steps")
+        used = step.groupBy("new").agg(F.count("*").alias("users"))
+        jump = written(used.join(labels.select(F.col("node").alias("new"), F.col("label").alias("further")), "new"), "jumps")
+        step = given_back(step, jump, ["new"], "users", total=nodes)
+        step = written(step.select("node", F.least("new", "further").alias("label"), "degree", (F.least("new", "further") != F.col("old")).alias("moved")), "labels")
+        labels = step.select("node", "label", "degree")
         if step.filter("moved").isEmpty():
-            return labels
+            return labels.select("node", "label")
+
+
+#: Nodes of pairs that may be broadcast to pick their sets before these are shuffled (8 bytes each); checked each time.
+PICKED = 2_000_000
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact similarity j; sketches: _row, n, shingles."""
-    sides = [sketches.select(F.col("_row").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab"]
-    both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    """pairs (a, b) with their exact similarity j; pairs: written; sketches: _row, n, shingles.
+
+    The sets of the nodes a go to the nodes b. One b with very many pairs is dealt out: each b's set goes to one place
+    for each PAIRS_A_PLACE of its pairs.
+    """
+    load = written(pairs.groupBy("b").agg(F.count("*").alias("_load")), "loads")
+    ids = written(pairs.select(F.col("a").alias("_row")).union(pairs.select(F.col("b"))).distinct(), "picked")
+    picked = sketches.select("_row", "n", "shingles")
+    if ids.count() <= PICKED:
+        picked = picked.join(F.broadcast(ids), "_row", "left_semi")
+    sides = [picked.select(F.col("_row").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab"]
+    places = F.floor(F.col("_load") / PAIRS_A_PLACE).cast("int")
+    dealt = given_back(pairs.select("a", "b"), load, ["b"], "_load").withColumn("_place", F.pmod(F.xxhash64("a"), places + 1).cast("int"))
+    there = load.select("b", F.explode(F.sequence(F.lit(0), places)).alias("_place")).join(sides[1], "b")
+    both = dealt.select("a", "b", "_place").join(sides[0], "a").join(there, ["b", "_place"])
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return both.select("a", "b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("j"))
 
 
+PAIRS_A_PLACE = 1000
+
+
 def _fits(a: str, b: str, similarity: float):
     return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the least id of the class), class_size, kept (one row of each class:
-    the one with the least id), _row and text_key (a number for the row, and a hash of its text).
+    the one with the least id), _row and text_key (a number for the row, and the SHA-256 of its text).
 
     Two documents are linked when the Jaccard similarity of their sets of five-word shingles (letter case and
     punctuation aside) is at least `similarity`, or when their words are the same; a class is what links connect.
     A document of fewer than five words has one shingle; one without a word (null, empty, punctuation only) is linked
     to those with the same text only, null counting as empty. Rows that repeat are copies. An empty table gives no rows.
+    A very long text is one set of shingles, which one task holds (8 bytes a word). Columns of docs are not in the way.
     """
     seen = written(sketch(docs, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "sketches")
-    copies = seen.groupBy("copy_a", "copy_b").agg(F.min("_row").alias("node"), F.count("*").alias("copies"))
-    copies = written(copies.filter("copies > 1"), "copies")
-    own_rows = given_back(seen.select("_row", "doc_id", "text_key", "copy_a", "copy_b"), copies, ["copy_a", "copy_b"], "copies")
-    rows = written(own_rows.select("_row", "doc_id", "text_key", F.coalesce("node", "_row").alias("node")), "nodes")
-    nodes = rows.filter("_row = node").select("_row")
-    single = seen.select("_row", "n", "bands").join(nodes, "_row", "left_semi")
-
-    every = single.select(F.col("_row").alias("node"), F.col("n"), F.posexplode("bands").alias("band", "key"))
+    copies = seen.groupBy("copy").agg(F.min("_row").alias("node"), F.count("*").alias("copies")).filter("copies > 1")
+    copies = written(copies, "copies")
+    own_rows = given_back(seen.select("_row", "doc_id", "text_key", "n", "bands", "copy"), copies, ["copy"], "copies").withColumn("node", F.coalesce("node", "_row"))
+    bands = F.when(F.col("_row") == F.col("node"), F.col("bands"))
+    rows = written(own_rows.select("_row", "doc_id", "text_key", "node", "n", bands.alias("bands")), "nodes")
+    single = rows.filter("_row = node")
+
+    every = single.select("node", "n", F.posexplode("bands").alias("band", "key"))
     met = every.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    member = written(every.join(met, "key"), "members")
+    member = written(given_back(every, written(met, "buckets"), ["key"], "members").filter("members is not null"), "members")
     central = member.groupBy("node").agg(F.sum("members").alias("met"))
     # met first, then the node itself, as one number pair that max_by can order
-    pivot = member.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"), F.max_by("n", F.struct("met", "node")).alias("n_pivot"))
-    placed = written(member.join(pivot, "key"), "placed")
+    order = F.struct("met", "node")
+    pivot = member.join(central, "node").groupBy("key").agg(F.max_by("node", order).alias("pivot"), F.max_by("n", order).alias("n_pivot"), F.count("*").alias("members"))
+    pivot = written(pivot, "pivots")
+    total = member.count()
+    placed = written(given_back(member.drop("members"), pivot, ["key"], "members", total=total), "placed")
 
     first = placed.filter((F.col("node") != F.col("pivot")) & _fits("n", "n_pivot", similarity)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    compared = written(_confirmed(first, seen), "compared")
+    compared = written(_confirmed(written(first, "pairs"), seen), "compared")
     links = compared.filter(F.col("j") >= similarity).select("a", "b")
     labels = components(links)
 
-    label = labels.select(F.col("node"), F.col("label"))
-    own = placed.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = own.join(compared.withColumnsRenamed({"a": "node", "b": "pivot"}), ["node", "pivot"], "left")
     own = own.withColumn("j", F.when(F.col("node") == F.col("pivot"), 1.0).otherwise(F.col("j")))
-    own = own.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("at")), "pivot", "left").withColumn("at", F.coalesce("at", "pivot"))
-    mixed = own.groupBy("key").agg(F.max(F.col("label") != F.col("at")).alias("_mixed")).filter("_mixed")
-    open_ = written(own.join(mixed, "key").select("key", "band", "node", "n", "label", "at", "j"), "open")
-    more = written(_left_over(open_, seen, similarity), "compared")
+    at = pivot.groupBy("pivot").agg(F.sum("members").alias("_met")).join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("at")), "pivot")
+    own = given_back(own, written(at, "pivot-labels"), ["pivot"], "_met", total=total).withColumn("at", F.coalesce("at", "pivot"))
+    own = written(own.select("key", "band", "node", "n", "label", "at", "j"), "labelled")
+    mixed = own.groupBy("key").agg(F.max(F.col("label") != F.col("at")).alias("_mixed"), F.count("*").alias("members")).filter("_mixed")
+    open_ = given_back(own, written(mixed, "mixed"), ["key"], "members", total=total).filter("_mixed").drop("_mixed", "members")
+    more = written(_left_over(written(open_, "open"), seen, similarity), "compared")
     later = more.filter(F.col("j") >= similarity).select("a", "b")
     if not later.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b").union(later))
 
-    named = written(rows.join(labels, "node", "left").select("_row", "doc_id", "text_key", F.coalesce("label", "node").alias("label")), "classes")
+    sized = labels.join(copies.select("node", "copies"), "node", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    named = given_back(rows.select("_row", "doc_id", "text_key", "node"), written(sized, "labels"), ["node"], "copies")
+    named = written(named.select("_row", "doc_id", "text_key", F.coalesce("label", "node").alias("label")), "classes")
     sizes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.coalesce(F.min_by("_row", "doc_id"), F.min("_row")).alias("_stays"))
     told = given_back(named, written(sizes.filter("class_size > 1"), "sizes"), ["label"], "class_size")
     alone = F.col("class_size").isNull()
@@ -284,16 +322,19 @@ def _left_over(open_: DataFrame, seen: DataFrame, similarity: float) -> DataFram
     """Exact similarities of the pairs of different classes that buckets of several classes leave possible."""
     cell = open_.join(seen.select(F.col("_row").alias("node"), "sketch", "bands"), "node")
     own = ("node", "n", "label", "j", "sketch", "bands")
-    a = cell.filter("label <> at").select("key", "band", *(F.col(c).alias(f"{c}_a") for c in own))
-    b = cell.select("key", (F.col("label") == F.col("at")).alias("inner"), *(F.col(c).alias(f"{c}_b") for c in own))
+    # Sets of one class of size or of neighbouring ones can be similar: that parts a large bucket.
+    size = F.floor(F.log("n") / -math.log(similarity)).cast("int")
+    a = cell.filter("label <> at").select("key", "band", size.alias("size"), *(F.col(c).alias(f"{c}_a") for c in own))
+    near = F.explode(F.array(*(size + k for k in (-1, 0, 1))))
+    b = cell.select("key", near.alias("size"), (F.col("label") == F.col("at")).alias("inner"), *(F.col(c).alias(f"{c}_b") for c in own))
     possible = (F.col("label_a") != F.col("label_b")) & _fits("n_a", "n_b", similarity) & (F.col("inner") | (F.col("node_a") < F.col("node_b")))
     possible = possible & F.coalesce(F.abs(F.col("j_a") - F.col("j_b")) <= 1 - similarity + 1e-9, F.lit(True))
     possible = possible & (_agreeing("sketch_a", "sketch_b") >= _least_agreeing(similarity))
     # A pair is told once, in the first band that it shares.
     before = [F.slice(c, F.lit(1), F.col("band")) for c in ("bands_a", "bands_b")]
     possible = possible & ~F.exists(F.zip_with(*before, lambda x, y: x == y), lambda same: same)
-    pairs = a.join(b, "key").filter(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return _confirmed(pairs, seen)
+    pairs = a.join(b, ["key", "size"]).filter(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return _confirmed(written(pairs, "pairs"), seen)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,5 +343,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     key = fresh(docs, "_id", "_key")
     stay = near_classes(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(key[0]), F.col("text_key").alias(key[1]))
-    own = docs.withColumn(key[0], name).withColumn(key[1], F.xxhash64(text_of(text_col)))
+    own = docs.withColumn(key[0], name).withColumn(key[1], F.sha2(text_of(text_col), 256))
     return own.join(stay, key, "left_semi").dropDuplicates(key).drop(*key)

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,15 @@ SOME = 1024
 
 
 @lru_cache(4)
-def _encoder(path: str) -> Encoder:
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # a special token's name in a text is text
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(4)
+def _encoder(path: str) -> Encoder:
+    tokenizer = _tokenizer(path)
 
     def encode(tokens: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -44,6 +49,23 @@ def _encoder(path: str) -> Encoder:
     return Encoder(encode)
 
 
+def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts as the library gives them, and each text's offset in them (one more than texts).
+
+    The library looks for the strings of added tokens before it splits a text: a text that holds one goes to it whole.
+    """
+    ids, rows = _encoder(path)(*utf8(column))
+    names = [x.content for x in _tokenizer(path).get_added_tokens_decoder().values()]
+    held = [np.asarray(pc.match_substring(column, x)) for x in names if x]
+    special = np.flatnonzero(np.any(held, 0)) if held else []
+    if not len(special):
+        return ids, rows
+    parts = [ids[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
+    for i in special:
+        parts[i] = np.array(_tokenizer(path).encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.int32)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
 def piece_edges(n: int, capacity: int = CAPACITY) -> list[int]:
     """Where the pieces of a document of n tokens begin, and n."""
     first = n % capacity or min(n, capacity)
@@ -54,9 +76,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     """doc_id, piece, start, length, ids_crc32 of each piece; path: a tokenizer file that each executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
         for part in slices(batches):
-            ids, rows = encode(*utf8(part.column("text")))
+            ids, rows = encode_column(part.column("text"), path)
             out: list[list[int]] = [[], [], [], [], []]
             for i, (a, b) in enumerate(zip(rows.tolist(), rows[1:].tolist(), strict=False)):
                 own = np.append(ids[a:b], end_id).astype("<u4")
@@ -151,6 +172,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Each text (null: empty) is encoded, and the end id 0 is put behind it, so that even an empty text is a piece of
-    one token. Rows that repeat are packed as often as they occur. Other columns are ignored. An empty table gives no rows.
+    one token. A text that holds a special token's string gets that token's id, as from the library. Rows that repeat
+    are packed as often as they occur. Other columns are ignored. An empty table gives no rows. A very long text is cut
+    into as many pieces as it needs; one task holds it whole.
     """
     return pack(written(pieces(docs, path, capacity, 0, id_col, text_col), "pieces"), capacity)

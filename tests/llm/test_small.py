@@ -201,16 +201,49 @@ def test_bpe_fuzz():
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcsStTdmlvre ''  \n\t\r!?.,0129²½éßЖ漢 ́　😀_") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ["ab" * 400, "!" * 700 + "a'ses'll've 's", "z" * 600]
+    texts += ["".join(chr(rng.choice([0x558, 0xA7CE, 0x11DE0, 0x10D40, 0x3000, 0x1F600, 0x85, 65, 32])) for _ in range(9)) for _ in range(200)]
     ids, rows = bpe.Encoder(bpe.vocabulary(path).encode, most=2000)(*utf8(pa.array(texts)))
     assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
 
 
+def thue_morse(n):
+    """A word of n letters and its complement, which collide under every polynomial hash modulo 2**64 when n is 1024 or more."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("one_slice", [True, False])
+def test_texts_that_share_a_hash(spark, monkeypatch, one_slice):
+    """Words of one weak hash, and then all short pretokens under one and the same hash: bytes decide."""
+    from tokenizers import Tokenizer
+
+    import gramloom.llm.pretoken as pretoken
+
+    texts = [w for n in (1024, 2048, 4096) for w in thue_morse(n)] + ["one two", "six ten", "one ten"]
+    path = vocabulary_file("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(pretoken, "span_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+        encode = bpe.Encoder(packing._encoder(path).encode)
+        for some in [texts] if one_slice else [[t] for t in texts]:
+            ids, rows = encode(*utf8(pa.array(some)))
+            assert [ids[a:b].tolist() for a, b in zip(rows, rows[1:], strict=False)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_distinct_texts_survive_near_dedup(spark):
+    one, two = thue_morse(2048)
+    rows = [(1, one), (2, two), (3, one.translate(str.maketrans("ab", "!?"))), (4, two.translate(str.maketrans("ab", "!?"))), (5, "alpha beta"), (6, "beta alpha")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_dup.keep_one(df).count() == 6
+    assert exact_dedup.keep_one(df).count() == 6
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     path = vocabulary_file("byte_bpe_50k.json")
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(path)  # untouched: a special token's string in a text is that token
     got = packing.pack_documents(docs, path).collect()
     pieces = []
     for i, t, *_ in awkward():
