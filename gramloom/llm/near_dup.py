@@ -13,7 +13,8 @@ members are in one class. In the few others, the members outside the pivot's cla
 those of other classes. What a join's condition can rule out there is never emitted: pairs that the sizes of their
 sets forbid, or the triangle inequality of the Jaccard distance as seen from the pivot, or whose signatures, at four
 bits a coordinate, agree in far fewer places than two documents of the least similarity would. The pairs left are
-compared on their whole sets of 64-bit shingle hashes, and only confirmed pairs link nodes. Copies are told by SHA-256.
+compared on their whole sets of 64-bit shingle hashes, which are made in a second pass for the documents that met
+others only, and only confirmed pairs link nodes. Copies are told by SHA-256.
 
 A pair of similarity 0.8 shares no band with a probability of (1 - 0.8**6)**40 = 5e-6, and its signatures agree in too
 few places with one of 1.3e-5 (4.2 standard deviations).
@@ -178,8 +179,13 @@ def copy_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return out
 
 
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.lower(text).alias("text"), F.unhex(F.sha2(text, 256)).alias("text_key"))
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, copy (a digest of the sequence of words), n (shingles), bands, sketch and shingles of each row of docs."""
+    """doc_id, text_key, copy (a digest of the sequence of words), n (shingles), bands and sketch of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
@@ -191,14 +197,31 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             keys = band_keys(signatures).view(np.int64)
             edges = np.concatenate([[0], np.cumsum(full * BANDS)])
             bands = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys[full].reshape(-1)))
-            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(value.view(np.int64)))
             sketches = pa.FixedSizeListArray.from_arrays(pa.array(packed_sketch(signatures).view(np.int64).reshape(-1)), WORDS).cast(pa.list_(pa.int64()))
             copy = pa.array(copy_digests(*texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), copy, pa.array(n, pa.int32()), bands, sketches, sets], ["doc_id", "text_key", "copy", "n", "bands", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), copy, pa.array(n, pa.int32()), bands, sketches], ["doc_id", "text_key", "copy", "n", "bands", "sketch"])
+
+    own = _own(docs, id_col, text_col)
+    return small_batches(own).mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text_key binary, copy binary, n int, bands array<long>, sketch array<long>")
+
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text"), F.sha2(text_of(text_col), 256).alias("text_key"))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    return small_batches(own).mapInArrow(run, f"doc_id {kind}, text_key string, copy binary, n int, bands array<long>, sketch array<long>, shingles array<long>")
+#: Documents that may be broadcast to pick their texts for sets of shingles (some 100 bytes each); checked each time.
+PICKED = 500_000
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """node and shingles of the wanted documents (written: node, doc_id, text_key); a row that repeats may tell its set again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            row, value = shingles(*utf8(part.column("text")))
+            edges = np.searchsorted(row, np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(value.view(np.int64)))], ["node", "shingles"])
+
+    own = _own(docs, id_col, text_col).withColumnRenamed("doc_id", "_id")
+    few = F.broadcast(wanted) if wanted.count() <= PICKED else wanted
+    found = own.join(few, (own["text_key"] == few["text_key"]) & own["_id"].eqNullSafe(few["doc_id"]))
+    return small_batches(found.select("node", "text")).mapInArrow(run, "node long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,31 +247,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-#: Nodes of pairs that may be broadcast to pick their sets before these are shuffled (8 bytes each); checked each time.
-PICKED = 2_000_000
+#: Pairs that one copy of a much-compared document's set serves.
+PAIRS_A_PLACE = 1000
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact similarity j; pairs: written; sketches: _row, n, shingles.
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with their exact similarity j; both are written tables.
 
-    The sets of the nodes a go to the nodes b. One b with very many pairs is dealt out: each b's set goes to one place
-    for each PAIRS_A_PLACE of its pairs.
+    The sets of the nodes a go to the nodes b. One b with very many pairs is dealt out: its set goes to one place for
+    each PAIRS_A_PLACE of its pairs.
     """
     load = written(pairs.groupBy("b").agg(F.count("*").alias("_load")), "loads")
-    ids = written(pairs.select(F.col("a").alias("_row")).union(pairs.select(F.col("b"))).distinct(), "picked")
-    picked = sketches.select("_row", "n", "shingles")
-    if ids.count() <= PICKED:
-        picked = picked.join(F.broadcast(ids), "_row", "left_semi")
-    sides = [picked.select(F.col("_row").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab"]
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
     places = F.floor(F.col("_load") / PAIRS_A_PLACE).cast("int")
     dealt = given_back(pairs.select("a", "b"), load, ["b"], "_load").withColumn("_place", F.pmod(F.xxhash64("a"), places + 1).cast("int"))
-    there = load.select("b", F.explode(F.sequence(F.lit(0), places)).alias("_place")).join(sides[1], "b")
-    both = dealt.select("a", "b", "_place").join(sides[0], "a").join(there, ["b", "_place"])
+    there = load.select("b", F.explode(F.sequence(F.lit(0), places)).alias("_place")).join(side("b"), "b")
+    both = dealt.select("a", "b", "_place").join(side("a"), "a").join(there, ["b", "_place"])
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    return both.select("a", "b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("j"))
-
-
-PAIRS_A_PLACE = 1000
+    return both.select("a", "b", (shared / (F.size("s_a") + F.size("s_b") - shared)).alias("j")).distinct()
 
 
 def _fits(a: str, b: str, similarity: float):
@@ -285,7 +301,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = written(given_back(member.drop("members"), pivot, ["key"], "members", total=total), "placed")
 
     first = placed.filter((F.col("node") != F.col("pivot")) & _fits("n", "n_pivot", similarity)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    compared = written(_confirmed(written(first, "pairs"), seen), "compared")
+    met_nodes = placed.select("node").distinct().join(single.select("node", "doc_id", "text_key"), "node")
+    sets = written(shingle_sets(docs, written(met_nodes, "wanted"), id_col, text_col), "sets")
+    compared = written(_confirmed(written(first, "pairs"), sets), "compared")
     links = compared.filter(F.col("j") >= similarity).select("a", "b")
     labels = components(links)
 
@@ -297,7 +315,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = written(own.select("key", "band", "node", "n", "label", "at", "j"), "labelled")
     mixed = own.groupBy("key").agg(F.max(F.col("label") != F.col("at")).alias("_mixed"), F.count("*").alias("members")).filter("_mixed")
     open_ = given_back(own, written(mixed, "mixed"), ["key"], "members", total=total).filter("_mixed").drop("_mixed", "members")
-    more = written(_left_over(written(open_, "open"), seen, similarity), "compared")
+    more = written(_left_over(written(open_, "open"), seen, sets, similarity), "compared")
     later = more.filter(F.col("j") >= similarity).select("a", "b")
     if not later.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).filter("a <> b").union(later))
@@ -318,7 +336,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _left_over(open_: DataFrame, seen: DataFrame, similarity: float) -> DataFrame:
+def _left_over(open_: DataFrame, seen: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Exact similarities of the pairs of different classes that buckets of several classes leave possible."""
     cell = open_.join(seen.select(F.col("_row").alias("node"), "sketch", "bands"), "node")
     own = ("node", "n", "label", "j", "sketch", "bands")
@@ -334,7 +352,7 @@ def _left_over(open_: DataFrame, seen: DataFrame, similarity: float) -> DataFram
     before = [F.slice(c, F.lit(1), F.col("band")) for c in ("bands_a", "bands_b")]
     possible = possible & ~F.exists(F.zip_with(*before, lambda x, y: x == y), lambda same: same)
     pairs = a.join(b, ["key", "size"]).filter(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return _confirmed(written(pairs, "pairs"), seen)
+    return _confirmed(written(pairs, "pairs"), sets)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,5 +361,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     key = fresh(docs, "_id", "_key")
     stay = near_classes(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(key[0]), F.col("text_key").alias(key[1]))
-    own = docs.withColumn(key[0], name).withColumn(key[1], F.sha2(text_of(text_col), 256))
+    own = docs.withColumn(key[0], name).withColumn(key[1], F.unhex(F.sha2(text_of(text_col), 256)))
     return own.join(stay, key, "left_semi").dropDuplicates(key).drop(*key)
