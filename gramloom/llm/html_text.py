@@ -1,21 +1,25 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree.
 
 A page becomes a flat list of blocks, each the text between two block-level tags. A block's features are its number
-of words and link density, those of its neighbours, and what its open elements say by their names and classes. A
-decision tree, trained here on the small labelled table below, tells which blocks are article. Everything is one pass
-per page inside a task; nothing is shuffled.
+of words and link density, those of its two neighbours on each side, what kind of line it is, and two hints: whether
+an enclosing element frames it, and whether one calls itself the article. A decision tree tells which blocks are
+article. It is trained here on the blocks of pages made by a rule (see training_pages): some name their elements well,
+some badly, some not at all, so that words and densities have to decide wherever names don't.
+Everything is one pass per page inside a task, in time that follows the page's length; nothing is shuffled.
 
 An article or main inside frames ends them for its own text, as wrappers often name what they hold beside it: a main
 always, an article if no article or main of the page stands in fewer frames (so teasers and comments stay framed).
+A name alone never empties a page: if frames by name leave no block, they don't count.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +28,13 @@ from pyspark.sql import functions as F
 
 from gramloom.llm._shared import fresh, quoted, small_batches
 
-#: Elements whose content is no text of the page.
+#: Elements whose content is no text of the page.
 UNSEEN = ["script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select", "button"]
-#: Elements inside a line; all others end a block.
+#: Elements inside a line; all others end a block.
 INLINE = ["a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"]
-#: Elements without an end tag.
+#: Elements without an end tag.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
-#: Elements that frame a page's article, and words in a class or id (and roles) that tell so.
+#: Elements that frame a page's article, and words in a class or id (and roles) that tell so.
 FRAME = ["nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"]
 FRAME_WORDS = [
     "ad", "ads", "adv", "advert", "advertisement", "adverts", "alert", "author", "banner", "bio", "breadcrumb", "breadcrumbs", "byline", "carousel", "comment", "comments", "complementary",
@@ -38,74 +42,110 @@ FRAME_WORDS = [
     "newsletter", "notice", "notification", "pagination", "pager", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar",
     "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "teaser", "toolbar", "widget",
 ]
-#: Elements and words of a class, id or role that tell the article itself.
+#: Elements and words of a class, id or role that tell the article itself.
 BODY = ["article", "main"]
 BODY_WORDS = ["article", "articlebody", "content", "entry", "main", "post", "story"]
-#: First words of a class that says what an element has or lacks (has-sidebar), not what it is.
-ABOUT = ["has", "with", "without", "no"]
+#: A name of several words tells what an element is by its last word (cookie-notice), or by its first if the last only says
+#: which part of it this is (comments-list). Any other (has-sidebar, author-jane, comments-open) tells something about it.
+PARTS = ["area", "bar", "block", "bottom", "box", "container", "inner", "item", "items", "left", "links", "list", "outer", "panel", "right", "section", "text", "top", "unit", "wrap", "wrapper", "zone"]
+ABOUT = ["has", "with", "without", "no", "is", "page", "layout"]
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
 _MAIN = re.compile(r"(?<![\w-])role\s*=\s*[\"']?main(?![\w-])", re.I)
 _frame, _body, _inline, _void, _unseen = set(FRAME), set(BODY), set(INLINE), set(VOID), set(UNSEEN)
-_frame_words, _body_words, _about = set(FRAME_WORDS), set(BODY_WORDS), set(ABOUT)
+_frame_words, _body_words, _about, _parts = set(FRAME_WORDS), set(BODY_WORDS), set(ABOUT), set(PARTS)
 
-FEATURES = ["framed", "in_body", "page_has_body", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "listed"]
+NUMBERS = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "words_before_2", "link_density_before_2", "words_after_2", "link_density_after_2"]
+FEATURES = [*NUMBERS, "heading", "listed", "framed", "in_body", "page_has_body", "in_content", "page_has_content"]
 
 
 def _said(attributes: str) -> tuple[bool, bool]:
     """Whether the class, id or role speaks of a frame, and of a body."""
-    words: set[str] = set()
+    frame = body = False
     for m in _NAMED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             parts = _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-            words.update(parts if parts and parts[0] not in _about else ())
-    return bool(words & _frame_words), bool(words & _body_words)
+            if not parts or (len(parts) > 1 and parts[0] in _about):
+                continue
+            told = {parts[-1], parts[0]} if parts[-1] in _parts else {parts[-1]}
+            frame, body = frame or bool(told & _frame_words), body or bool(told & _body_words)
+    return frame, body
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Begin, end, name, whether it closes, and attributes of each tag; comments and declarations have no name. A tag
+    that never ends takes the rest of the page, as in browsers."""
+    at, last = 0, page.rfind(">")
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            done = page.find("-->", at + 4)
+            end = len(page) if done < 0 else done + 3
+            yield at, end, "", False, ""
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            done = page.find(">", at) if at < last else -1
+            end = len(page) if done < 0 else done + 1
+            yield at, end, "", False, ""
+        elif m := (_OPEN.match(page, at) if at < last else None):
+            end = m.end()
+            name = m[2].lower()
+            if name in _unseen and not m[1] and not m[3].endswith("/"):
+                end = _behind(name, page, end)
+            yield at, end, name, bool(m[1]), m[3]
+        elif at >= last and _BEGIN.match(page, at):
+            yield at, len(page), "", False, ""
+            return
+        else:
+            end = at + 1
+        at = end
+
+
+_BEGIN = re.compile(r"</?[a-zA-Z]")
+_CLOSE = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in UNSEEN}
+
+
+def _behind(name: str, page: str, at: int) -> int:
+    """Where the content of an element that is no text ends, with its end tag."""
+    m = _CLOSE[name].search(page, at)
+    done = page.find(">", m.end()) if m else -1
+    return len(page) if done < 0 else done + 1
 
 
 def blocks(page: str) -> list[tuple[str, dict[str, float]]]:
     """Text and features of the page's blocks, in page order; unclosed and stray tags are taken as browsers take them."""
     out: list[tuple[str, dict[str, float]]] = []
-    opened: list[tuple[str, int, int, int, int | None]] = []  # name, whether it frames, whether it is the body, and ended and outer before it
+    opened: list[tuple[str, tuple[int, int], tuple[int, int], tuple[int, int], int | None]] = []  # name, its frames, whether it is the body (by element, by name), and ended and outer before it
+    names: Counter = Counter()
     parts: list[str] = []
-    linked = 0
-    in_link = framed = body = has_body = 0
-    ended = 0  # frames that an open main ends
+    linked = in_link = has_content = 0
+    body = [0, 0]
+    framed = [0, 0]  # frames around: by element, by name only
+    ended = (0, 0)  # those that an open main ends
     outer: int | None = None  # frames, without those ended, around the outermost open article
     around_bodies: list[int] = []  # frames around each article and main
-    within: list[tuple[int, int, int | None]] = []  # of each block: what it says of itself, frames around it, outer
+    within: list[tuple[int, tuple[int, int], int | None]] = []  # of each block: what it says of itself, frames around it, outer
     lone = heading = listed = 0  # what a p, li or heading says of its own block only
 
     def end() -> None:
-        nonlocal parts, linked, lone
+        nonlocal parts, linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             words = text.count(" ") + 1
-            within.append((lone, framed - ended, outer))
-            out.append((text, {"in_body": min(1, body), "words": words, "link_density": min(1.0, linked / words), "heading": heading, "listed": listed}))
+            within.append((lone, (framed[0] - ended[0], framed[1] - ended[1]), outer))
+            out.append((text, {"in_body": min(1, body[0]), "in_content": min(1, body[1]), "words": words, "link_density": min(1.0, linked / words), "heading": heading, "listed": listed}))
         parts, linked = [], 0
 
     at = 0
-    while True:
-        m = _TAG.search(page, at)
-        if (piece := page[at : m.start()] if m else page[at:]):
+    for begin, behind, name, closing, attributes in [*_tags(page), (len(page), len(page), "", False, "")]:
+        if piece := page[at:begin]:
             parts.append(piece)
             if in_link:
                 linked += len(piece.split())
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+        at = behind
+        if not name or (name in _unseen and name not in ("button", "select")):
             continue
-        name, closing = m[2].lower(), bool(m[1])
-        if name in _unseen:
-            if not closing and not m[3].endswith("/"):
-                done = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = done.end() if done else len(page)
-            if name not in ("button", "select"):
-                continue
         if name in _inline:
             if name == "br":
                 parts.append(" ")
@@ -114,172 +154,168 @@ def blocks(page: str) -> list[tuple[str, dict[str, float]]]:
             continue
         end()
         in_link = 0
-        if name in _void:
+        if name in _void or name in _unseen:
             continue
         if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "td", "th", "tr"):
-            lone = 0 if closing else int(_said(m[3])[0]) if m[3] else 0
+            lone = 0 if closing else int(_said(attributes)[0]) if attributes else 0
             heading = int(not closing and name[0] == "h")
             listed = int(not closing and name == "li")
             continue
         lone = heading = listed = 0
         if not closing:
-            if m[3].endswith("/"):
+            if attributes.endswith("/"):
                 continue
-            frames, bodies = _said(m[3]) if m[3] else (False, False)
-            is_body = int(name in _body or (bodies and not frames))
+            frames, bodies = _said(attributes) if attributes else (False, False)
+            main = not frames and bool(name == "main" or _MAIN.search(attributes))
+            is_body = (int(name in _body or main), int(bodies and not frames))
             if name in ("body", "html"):
-                frames, is_body = False, 0
-            is_frame = int((name in _frame and not (name == "header" and body)) or (frames and name != "article"))
-            opened.append((name, is_frame, is_body, ended, outer))
-            if not frames and (name == "main" or _MAIN.search(m[3])):
-                ended, outer = framed, None
+                frames, main, is_body = False, False, (0, 0)
+            by_element = int(name in _frame and not (name == "header" and sum(body)))
+            own = (by_element, int(frames and not by_element and name != "article"))
+            opened.append((name, own, is_body, ended, outer))
+            names[name] += 1
+            if main:
+                ended, outer = (framed[0], framed[1]), None
                 around_bodies.append(0)
             elif not frames and name == "article":
-                around_bodies.append(framed - ended)
-                outer = framed - ended if outer is None else outer
-            framed, body = framed + is_frame, body + is_body
-            has_body |= int(is_body and framed == ended)
-        elif any(x[0] == name for x in opened):
+                around_bodies.append(sum(framed) - sum(ended))
+                outer = around_bodies[-1] if outer is None else outer
+            framed, body = [framed[0] + own[0], framed[1] + own[1]], [body[0] + is_body[0], body[1] + is_body[1]]
+            has_content |= int(is_body[1] and (framed[0], framed[1]) == ended)
+        elif names[name]:
             while True:
-                gone, is_frame, is_body, ended, outer = opened.pop()
-                framed, body = framed - is_frame, body - is_body
+                gone, own, is_body, ended, outer = opened.pop()
+                framed, body = [framed[0] - own[0], framed[1] - own[1]], [body[0] - is_body[0], body[1] - is_body[1]]
+                names[gone] -= 1
                 if gone == name:
                     break
     end()
     least = min(around_bodies, default=0)
-    has_body |= int(bool(around_bodies))
-    for (_, f), (own, frames_around, article) in zip(out, within, strict=True):
-        f["framed"] = min(1, own + frames_around - (least if article == least else 0))
+    has_body = int(bool(around_bodies))
+    bare = all(own or sum(frames) - (least if article == least else 0) > 0 for own, frames, article in within)
+    for (_, f), (own, frames, article) in zip(out, within, strict=True):
+        around = frames[0] + (0 if bare else own + frames[1])
+        f["framed"] = int(around - (least if article == least else 0) > 0)
     quiet = {"words": 0, "link_density": 0.0}
-    around = [quiet, *(f for _, f in out), quiet]
+    row = [quiet, quiet, *(f for _, f in out), quiet, quiet]
     for k, (_, f) in enumerate(out):
-        f["page_has_body"] = has_body
-        for side, g in (("before", around[k]), ("after", around[k + 2])):
+        f["page_has_body"], f["page_has_content"] = has_body, has_content
+        for side, g in (("before", row[k + 1]), ("after", row[k + 3]), ("before_2", row[k]), ("after_2", row[k + 4])):
             f[f"words_{side}"], f[f"link_density_{side}"] = g["words"], g["link_density"]
     return out
 
 
-#: The labelled table. Each row is one block of a hand-made page: 1 if article, then FEATURES in order.
-LABELLED = """
-1 0 1 1 9 0 5 .9 120 0 1 0
-1 0 1 1 120 0 9 0 80 .02 0 0
-1 0 1 1 80 .02 120 0 2 0 0 0
-1 0 1 1 2 0 80 .02 45 .3 0 0
-1 0 1 1 45 .3 2 0 30 0 0 0
-1 0 1 1 6 0 45 .3 70 0 1 0
-1 0 1 1 12 .1 70 0 11 .1 0 1
-1 0 1 1 1 0 60 0 14 0 0 0
-1 0 1 1 14 0 1 0 0 0 0 0
-1 0 1 1 3 1 60 0 40 0 0 1
-1 0 1 1 250 .01 3 0 8 1 0 0
-1 0 1 1 4 0 0 0 12 0 0 0
-1 0 1 1 7 0 2 1 35 0 1 0
-1 0 1 1 5 0 1 1 3 0 1 0
-1 0 1 1 9 0 3 1 14 0 1 0
-1 0 1 1 6 0 4 1 250 0 1 0
-1 0 1 1 1 0 1 1 2 0 1 0
-1 0 1 1 3 0 2 1 1 1 1 0
-1 0 1 1 12 0 1 1 20 0 0 0
-1 0 1 1 40 0 3 1 60 0 0 0
-1 0 1 1 2 0 1 0 1 1 0 0
-1 0 1 1 14 0 60 0 2 1 0 0
-1 0 1 1 35 0 80 0 3 1 0 0
-1 0 1 1 80 0 40 0 1 1 0 0
-1 0 1 1 100 0 14 0 4 .8 0 0
-1 0 1 1 8 0 6 0 2 1 0 0
-1 0 1 1 4 0 9 0 5 .5 0 0
-1 0 1 1 30 .1 120 0 6 .7 0 0
-1 0 1 1 20 0 12 0 3 1 0 1
-1 0 1 1 60 0 1 1 2 1 0 0
-1 0 1 1 11 0 2 1 3 1 0 0
-1 0 1 1 5 0 70 0 4 1 1 0
-1 0 1 1 4 1 30 0 5 1 0 1
-1 0 1 1 6 .8 4 1 20 0 0 1
-1 0 1 1 25 .2 4 1 0 0 0 0
-0 1 1 1 40 0 90 0 12 0 0 0
-0 1 1 1 12 0 40 0 30 0 0 0
-0 1 1 1 3 1 90 0 3 1 0 1
-0 1 1 1 25 .1 100 0 6 .8 0 0
-0 1 1 1 70 0 25 0 60 0 0 0
-0 1 1 1 6 0 3 0 60 0 1 0
-0 1 1 1 150 0 6 0 40 0 0 0
-0 1 0 1 30 0 2 1 9 0 0 0
-0 1 0 1 2 1 0 0 2 1 0 1
-0 1 0 1 1 1 2 1 30 0 0 1
-0 1 0 1 18 .05 60 0 0 0 0 0
-0 1 0 1 60 0 5 .5 14 .2 0 0
-0 1 0 1 9 0 14 0 80 0 1 0
-0 1 0 1 110 0 9 0 10 0 0 0
-0 0 0 1 8 0 2 1 20 0 0 0
-0 0 0 1 35 .1 70 0 12 0 0 0
-0 0 0 1 3 1 8 0 90 0 0 0
-0 0 0 1 60 0 18 .5 4 1 0 0
-0 0 0 1 14 0 90 0 0 0 0 0
-0 0 0 1 90 0 14 0 20 0 0 0
-0 1 0 0 40 0 4 1 60 0 0 0
-0 1 0 0 3 1 3 1 40 0 0 1
-0 1 0 0 90 0 60 0 20 0 0 0
-0 1 0 0 16 .1 60 0 0 0 0 0
-0 1 0 0 6 0 20 0 90 0 1 0
-0 1 0 0 130 0 6 0 7 1 0 0
-0 0 0 0 2 1 0 0 3 1 0 1
-0 0 0 0 3 1 2 1 2 1 0 1
-0 0 0 0 6 .8 3 1 9 0 0 0
-0 0 0 0 4 0 3 1 5 1 0 0
-0 0 0 0 5 1 60 0 6 .9 0 0
-0 0 0 0 12 .6 40 0 8 .9 0 0
-0 0 0 0 30 .7 8 .9 12 .6 0 0
-0 0 0 0 4 0 8 1 0 0 0 0
-0 0 0 0 5 .4 7 1 6 1 0 0
-1 0 0 0 8 0 3 1 60 0 1 0
-1 0 0 0 60 0 8 0 90 .05 0 0
-1 0 0 0 90 .05 60 0 40 0 0 0
-1 0 0 0 40 0 90 .05 14 .1 0 0
-1 0 0 0 22 .1 40 0 35 0 0 0
-1 0 0 0 7 0 90 0 80 0 0 0
-1 0 0 0 5 0 45 0 50 0 1 0
-1 0 0 0 28 .2 5 0 33 0 0 0
-1 0 0 0 150 .1 2 1 3 1 0 0
-1 0 0 0 18 0 30 0 25 0 0 1
-1 0 0 0 3 0 40 0 60 0 0 0
-1 0 0 0 35 0 40 0 9 0 0 0
-1 0 0 0 25 0 32 0 0 0 0 0
-1 0 0 0 60 0 70 0 12 0 0 0
-1 0 0 0 45 .05 30 0 3 .3 0 0
-1 0 0 0 6 0 1 1 14 0 1 0
-1 0 0 0 9 0 2 1 30 0 1 0
-1 0 0 0 4 0 4 1 8 0 1 0
-1 0 0 0 7 0 1 1 120 0 1 0
-1 0 0 0 30 0 1 1 25 0 0 0
-1 0 0 0 70 0 2 1 40 0 0 0
-1 0 0 0 25 0 40 0 1 1 0 0
-1 0 0 0 40 .05 60 0 3 1 0 0
-1 0 0 0 90 0 30 0 2 1 0 0
-1 0 0 0 20 0 25 0 4 1 0 0
-1 0 0 0 60 0 6 0 1 1 0 0
-1 0 0 0 35 .1 3 1 2 1 0 0
-0 0 0 0 13 .1 70 0 0 0 0 0
-0 0 0 0 11 0 35 0 4 1 0 0
-0 0 0 0 9 0 0 0 5 .8 0 0
-"""
+#: How the training pages name their parts: article, menu, teasers, advert, comments, footer. None: no name at all.
+NAMING = {
+    "elements": ("<article>", "<nav>", "<aside>", '<div class="ad">', '<section class="comments">', "<footer>"),
+    "classes": ('<div class="post-content">', '<div class="menu">', '<div class="sidebar">', '<div class="advert">', '<div id="comments">', '<div class="footer">'),
+    "mixed": ('<div class="entry">', "<nav>", '<div class="x2">', '<div class="banner">', '<div class="c9">', "<footer>"),
+    "misleading": ('<div class="has-sidebar main-left">', '<div class="x1">', '<div class="x2">', '<div class="x3">', '<div class="x4">', '<div class="x5">'),
+    "none": ("<div>", "<div>", "<div>", "<div>", "<div>", "<div>"),
+    "wrapped": ("<div>", "<div>", "<div>", "<div>", "<div>", "<div>"),
+}
+#: Labelled training pages of each naming, and the seed of their rule.
+PAGES_EACH, SEED = 24, 7
+
+
+def training_pages(pages_each: int = PAGES_EACH, seed: int = SEED, naming: dict[str, tuple[str, ...]] = NAMING) -> list[tuple[str, list[int]]]:
+    """Pages by rule, and of each of their blocks whether it is article.
+
+    An article has a title, paragraphs of all lengths, and now and then a subheading, a list or a linked line. Around it
+    stand a menu of links and maybe teasers (a linked title and a short text), an advert, comments and a footer (links and
+    a short text). Where nothing is named, comments and adverts look like paragraphs; they occur only where a name tells
+    them. A wrapped page is inside an element that calls itself the content, with its menu, teasers and footer.
+    """
+    rng = random.Random(seed)
+    words = lambda lo, hi: " ".join("word" for _ in range(rng.randint(lo, hi)))
+    link = lambda lo, hi: f"<a href='#'>{words(lo, hi)}</a>"
+    out = []
+    for kind, names in naming.items():
+        named = kind in ("elements", "classes")
+        for k in range(pages_each):
+            page: list[str] = []
+            labels: list[int] = []
+
+            def put(block: str, label: int, page=page, labels=labels) -> None:
+                page.append(block)
+                labels.append(label)
+
+            def part(begin: str, fill, page=page) -> None:
+                page.append(begin)
+                fill()
+                page.append(f"</{begin[1:].split()[0].rstrip('>')}>")
+
+            def menu() -> None:
+                for _ in range(rng.randint(2, 9)):
+                    put(f"<li>{link(1, 3)}</li>", 0)
+
+            def teasers() -> None:
+                for _ in range(rng.randint(2, 5)):
+                    put(f"<p>{link(2, 9)} {words(1, 4) if rng.random() < 0.4 else ''}</p>", 0)
+                    if rng.random() < 0.5:
+                        put(f"<p>{words(5, 20)}</p>", 0)
+
+            def article() -> None:
+                put(f"<h1>{words(1, 14)}</h1>", 1)
+                for _ in range(rng.choice((1, 1, 2, 3, 5, 9, 14))):
+                    r = rng.random()
+                    if r < 0.12:
+                        put(f"<h2>{words(1, 8)}</h2>", 1)
+                    elif r < 0.2:
+                        for _ in range(rng.randint(2, 5)):
+                            put(f"<li>{words(2, 16)}</li>", 1)
+                    elif r < 0.32:
+                        put(f"<p>{words(15, 60)} {link(1, 6)} {words(0, 20)}</p>", 1)
+                    elif named and r < 0.38:
+                        put(f"<p>{words(0, 2)} {link(2, 6)}</p>", 1)
+                    else:
+                        put(f"<p>{words(*rng.choice(((1, 9), (6, 30), (20, 60), (50, 200)) if named or r < 0.5 else ((12, 60), (50, 200))))}</p>", 1)
+
+            def footer() -> None:
+                put(f"<p>{words(1, 3)} {link(1, 3)} {link(1, 2)}</p>", 0)
+                if rng.random() < 0.5:
+                    put(f"<p>{words(1, 12)}</p>", 0)
+
+            if k % 4 != 3:
+                part(names[1], menu)
+            if named and rng.random() < 0.6:
+                part(names[3], lambda: put(f"<p>{words(2, 12)}</p>", 0))
+            if rng.random() < 0.3:
+                part(names[2], teasers)
+            part(names[0], article)
+            if rng.random() < 0.5:
+                part(names[2], teasers)
+            if named and rng.random() < 0.5:
+                part(names[4], lambda: [put(f"<p>{words(2, 60)}</p>", 0) for _ in range(rng.randint(1, 6))])
+            if rng.random() < 0.8:
+                part(names[5], footer)
+            out.append((f"<div class='content'>{''.join(page)}</div>" if kind == "wrapped" else "".join(page), labels))
+    return out
 
 
 class Tree:
-    """A binary decision tree, grown by the greatest decrease of the Gini impurity until its leaves are pure."""
+    """A binary decision tree, grown by the greatest decrease of the Gini impurity."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, least: int = 1, deepest: int = 8):
+    def __init__(self, x: np.ndarray, y: np.ndarray, least: int = 3, deepest: int = 10):
         self.share, self.split = float(y.mean()), None
-        if deepest and 0 < self.share < 1:
-            best = (1e-12, -1, 0.0)
-            gini = lambda v: 2 * v.mean() * (1 - v.mean()) * len(v)
-            for j in range(x.shape[1]):
-                for low, high in pairwise(np.unique(x[:, j])):
-                    left = x[:, j] <= (cut := (low + high) / 2)
-                    if min(left.sum(), (~left).sum()) >= least and (gain := gini(y) - gini(y[left]) - gini(y[~left])) > best[0] + 1e-9:
-                        best = (gain, j, cut)
-            if best[1] >= 0:
-                left = x[:, best[1]] <= best[2]
-                self.split = (best[1], best[2], Tree(x[left], y[left], least, deepest - 1), Tree(x[~left], y[~left], least, deepest - 1))
+        if not deepest or not 0 < self.share < 1:
+            return
+        best = (1e-9, -1, 0.0)
+        for j in range(x.shape[1]):
+            order = np.argsort(x[:, j], kind="stable")
+            v, ones = x[order, j], np.cumsum(y[order])
+            cut = np.flatnonzero((v[1:] > v[:-1])) + 1
+            cut = cut[(cut >= least) & (len(y) - cut >= least)]
+            if len(cut):
+                a, b = ones[cut - 1], ones[-1] - ones[cut - 1]
+                impure = 2 * (a * (1 - a / cut) + b * (1 - b / (len(y) - cut)))
+                k = int(impure.argmin())
+                gain = 2 * len(y) * self.share * (1 - self.share) - impure[k]
+                if gain > best[0] + 1e-9:
+                    best = (gain, j, (v[cut[k] - 1] + v[cut[k]]) / 2)
+        if best[1] >= 0:
+            left = x[:, best[1]] <= best[2]
+            self.split = (best[1], best[2], Tree(x[left], y[left], least, deepest - 1), Tree(x[~left], y[~left], least, deepest - 1))
 
     def predict(self, row: list[float]) -> float:
         node = self
@@ -289,10 +325,21 @@ class Tree:
         return node.share
 
 
+def labelled_blocks(pages: list[tuple[str, list[int]]], features: list[str] = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The table that a tree learns from: a row of features and a label for each block of the pages."""
+    rows, labels = [], []
+    for page, told in pages:
+        found = blocks(page)
+        if len(found) != len(told):
+            raise ValueError("a label for each block is asked for")
+        rows += [[f[c] for c in features] for _, f in found]
+        labels += told
+    return np.array(rows, float), np.array(labels, float)
+
+
 @lru_cache(1)
 def trained() -> Tree:
-    rows = np.array([[float(v) for v in line.split()] for line in LABELLED.strip().splitlines()])
-    return Tree(rows[:, 1:], rows[:, 0])
+    return Tree(*labelled_blocks(training_pages()))
 
 
 def main_text(page: str | None) -> str:
