@@ -8,11 +8,13 @@ further in are carved.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,40 @@ UNKNOWN = "application/octet-stream"
 RATE = 8000
 
 
+class Ends:
+    """Where a value's end marks are, found in one pass when they are first asked for, however many begins ask."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def _places(self, mark: bytes) -> list[int]:
+        return [m.start() for m in re.finditer(re.escape(mark), self.data)]
+
+    @cached_property
+    def eof(self) -> list[int]:
+        return self._places(b"%%EOF")
+
+    @cached_property
+    def startxref(self) -> list[int]:
+        return self._places(b"startxref")
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """The begin that each end of an archive tells, and the archive's length; of ends with one begin the first."""
+        out: dict[int, int] = {}
+        for i in self._places(b"PK\x05\x06"):
+            if i + 22 <= len(self.data):
+                size, start, note = struct.unpack_from("<IIH", self.data, i + 12)
+                at = i - size - start
+                if at >= 0 and i + 22 + note <= len(self.data) and (not size or self.data[at + start : at + start + 4] == b"PK\x01\x02"):
+                    out.setdefault(at, i + 22 + note - at)
+        return out
+
+
 # -- validators: the length of the medium at `at`, or None ---------------------------------------------------------
 
 
-def _png(b: bytes, at: int) -> int | None:
+def _png(b: bytes, at: int, ends: Ends) -> int | None:
     i, first = at + 8, True
     while i + 12 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, i)
@@ -43,7 +75,7 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _wav(b: bytes, at: int) -> int | None:
+def _wav(b: bytes, at: int, ends: Ends) -> int | None:
     if b[at + 8 : at + 12] != b"WAVE" or len(b) < at + 12:
         return None
     size = struct.unpack_from("<I", b, at + 4)[0] + 8
@@ -59,7 +91,7 @@ def _wav(b: bytes, at: int) -> int | None:
     return size if {b"fmt ", b"data"} <= seen else None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, ends: Ends) -> int | None:
     if len(b) < at + 54:
         return None
     size, reserved, start, header = struct.unpack_from("<IIII", b, at + 2)
@@ -68,7 +100,7 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if good and at + size <= len(b) else None
 
 
-def _au(b: bytes, at: int) -> int | None:
+def _au(b: bytes, at: int, ends: Ends) -> int | None:
     if len(b) < at + 24:
         return None
     start, size, coding, rate, channels = struct.unpack_from(">IIIII", b, at + 4)
@@ -76,7 +108,7 @@ def _au(b: bytes, at: int) -> int | None:
     return start + size if good and at + start + size <= len(b) else None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, ends: Ends) -> int | None:
     if b[at + 3 : at + 6] not in (b"87a", b"89a") or len(b) < at + 13:
         return None
     flags, i = b[at + 10], at + 13
@@ -96,7 +128,7 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, ends: Ends) -> int | None:
     i, framed = at + 2, False
     while i + 4 <= len(b):
         if b[i] != 0xFF:
@@ -117,23 +149,20 @@ def _jpeg(b: bytes, at: int) -> int | None:
     return i + 2 - at if framed and b[i : i + 2] == b"\xff\xd9" else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.rfind(b"startxref", at, end) >= 0 else None
+def _pdf(b: bytes, at: int, ends: Ends) -> int | None:
+    k = bisect.bisect_left(ends.eof, at)
+    if k == len(ends.eof):
+        return None
+    end, x = ends.eof[k], bisect.bisect_left(ends.startxref, at)
+    return end + 5 - at if x < len(ends.startxref) and ends.startxref[x] < end else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    i = b.find(b"PK\x05\x06", at)
-    while i >= 0 and i + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, i + 12)
-        if at + start + size == i and i + 22 + note <= len(b) and (not size or b[at + start : at + start + 4] == b"PK\x01\x02"):
-            return i + 22 + note - at
-        i = b.find(b"PK\x05\x06", i + 1)
-    return None
+def _zip(b: bytes, at: int, ends: Ends) -> int | None:
+    return ends.archives.get(at)
 
 
 #: Magic numbers, types and validators.
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int | None]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[bytes, int, Ends], int | None]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"RIFF", "audio/wav", _wav),
     (b"BM", "image/bmp", _bmp),
@@ -159,12 +188,12 @@ def _automaton():
 def sniff(data: bytes) -> tuple[str, int, list[tuple[str, int, int]]]:
     """The type and length of the medium at the first byte (UNKNOWN and 0 if none), and type, offset and length of the
     media inside and behind it. Of media inside a carved one only the outer one is listed."""
-    kind, length, carved, free = UNKNOWN, 0, [], 0
+    kind, length, carved, free, ends = UNKNOWN, 0, [], 0, Ends(data)
     hits = sorted((end - len(FORMATS[k][0]) + 1, k) for end, k in _automaton().iter(data.decode("latin-1")))
     for at, k in hits:
         if at and at < free:
             continue
-        if n := FORMATS[k][2](data, at):
+        if n := FORMATS[k][2](data, at, ends):
             if at:
                 carved.append((FORMATS[k][1], at, n))
                 free = at + n
@@ -225,7 +254,10 @@ READ = {kind: read for kind, _, read in STORES}
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, declared, media: each text's UTF-8, padded with zeros to a positive multiple of 64, as a PNG or
-    BMP of 64 samples a row, or as WAV or AU. `declared` is what a careless sender might have said: often wrong."""
+    BMP of 64 samples a row, or as WAV or AU. `declared` is what a careless sender might have said: often wrong.
+
+    A null text counts as empty; rows that repeat each get their row; other columns are ignored; an empty table gives
+    none. A very long text is one value, which one task holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
