@@ -7,6 +7,8 @@ the replicas' roots first and then, level by level, only the children of branche
 * A file has at most FILE_SLOTS slots, so that no group grows with the input; rows that repeat a slot are combined by
   sums, before the shuffle, and count as one leaf.
 * The records' bytes are hashed where they are read; digests, lengths and offsets are all that is shuffled.
+* Each tree is built once, from the leaves up, and every level is written; an audit joins roots, and then the children
+  of the branches that differ only.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql.window import Window
 from gramloom.llm._shared import written
 
 FILE_SLOTS, FANOUT = 1024, 32
+#: Where the eighths of a digest of 64 hex digits begin; records of one slot add up in each.
+PARTS = range(1, 65, 8)
 
 
 def record(pages: DataFrame) -> Column:
@@ -41,12 +45,13 @@ def leaves(records: DataFrame, file_slots: int = FILE_SLOTS) -> DataFrame:
     """From rows of slot (long) and record (string or binary): file_no, slot, offset, length, content of each slot.
 
     Slots number the records through all files, in order; a file holds file_slots of them. A null slot stands before
-    all others. Several records of one slot lie side by side, and their order doesn't matter.
+    all others. Several records of one slot lie side by side, and their order doesn't matter. A null record is empty; a very
+    long one is hashed where it is read. Other columns are ignored, and an empty table has no leaves.
     """
     hashed = records.select(F.coalesce("slot", F.lit(-(2**62))).alias("slot"), F.octet_length("record").cast("long").alias("n"), F.sha2("record", 256).alias("h"))
-    part = lambda a: F.sum(F.conv(F.substring("h", a, 15), 16, 10).cast("decimal(20,0)"))
-    merged = hashed.groupBy("slot").agg(F.sum("n").alias("length"), F.count("*").alias("_k"), *(part(a).alias(f"_{a}") for a in (1, 16, 31, 46)))
-    own = merged.select(F.expr(f"slot - pmod(slot, {file_slots})").alias("_first"), "slot", "length", F.sha2(F.concat_ws("|", "_k", "_1", "_16", "_31", "_46"), 256).alias("content"))
+    part = lambda a: F.sum(F.conv(F.substring("h", a, 8), 16, 10).cast("long"))
+    merged = hashed.groupBy("slot").agg(F.sum("n").alias("length"), F.count("*").alias("_k"), *(part(a).alias(f"_{a}") for a in PARTS))
+    own = merged.select(F.expr(f"slot - pmod(slot, {file_slots})").alias("_first"), "slot", "length", F.sha2(F.concat_ws("|", "_k", *(f"_{a}" for a in PARTS)), 256).alias("content"))
     before = Window.partitionBy("_first").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return own.select(
         (F.col("_first") / file_slots).cast("long").alias("file_no"),
@@ -57,15 +62,17 @@ def leaves(records: DataFrame, file_slots: int = FILE_SLOTS) -> DataFrame:
     )
 
 
-def _level(leaf: DataFrame, fanout: int, height: int, file_slots: int) -> DataFrame:
-    """file_no, node, digest of the nodes `height` levels above the leaves."""
+def _tree(leaf: DataFrame, fanout: int, file_slots: int, name: str) -> list[DataFrame]:
+    """file_no, node, up (the node above) and digest of each level, from the leaves (written) to the roots of the files."""
     place = F.expr(f"pmod(slot, {file_slots})")
-    out = leaf.select("file_no", place.alias("node"), F.sha2(F.concat_ws("|", "slot", "offset", "length", "content"), 256).alias("digest"))
-    for _ in range(height):
+    out = [leaf.select("file_no", place.alias("node"), F.expr(f"pmod(slot, {file_slots}) div {fanout}").alias("up"), F.sha2(F.concat_ws("|", "slot", "offset", "length", "content"), 256).alias("digest"))]
+    width = file_slots
+    while width > 1:
+        width = -(-width // fanout)
         kids = F.array_sort(F.collect_list(F.struct("node", "digest")))  # fanout of them at most
-        up = out.groupBy("file_no", F.expr(f"node div {fanout}").alias("_up")).agg(kids.alias("_kids"))
+        up = out[-1].groupBy("file_no", "up").agg(kids.alias("_kids"))
         text = F.array_join(F.transform("_kids", lambda x: F.concat_ws(":", x["node"], x["digest"])), "|")
-        out = up.select("file_no", F.col("_up").alias("node"), F.sha2(text, 256).alias("digest"))
+        out.append(written(up.select("file_no", F.col("up").alias("node"), F.expr(f"up div {fanout}").alias("up"), F.sha2(text, 256).alias("digest")), f"{name}-level"))
     return out
 
 
@@ -75,24 +82,22 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT, file_slo
     status: corrupt (other bytes), missing (not in the replica), extra (only there), moved (same bytes, other offset).
     Sets that agree, and empty ones, give no rows.
     """
-    height = 0
-    while fanout**height < file_slots:
-        height += 1
     sides = {"primary": written(primary, "primary-leaves"), "replica": written(replica, "replica-leaves")}
+    trees = {name: _tree(leaf, fanout, file_slots, name) for name, leaf in sides.items()}
     bad = None  # the branches that differ, one level up
-    for h in range(height, 0, -1):
+    for h in range(len(trees["primary"]) - 1, 0, -1):
         level = {}
-        for name, leaf in sides.items():
-            nodes = _level(leaf, fanout, h, file_slots)
-            if bad is not None:
-                nodes = nodes.withColumn("_up", F.expr(f"node div {fanout}")).join(bad.withColumnRenamed("node", "_up"), ["file_no", "_up"], "left_semi")
+        for name in sides:
+            nodes = trees[name][h]
+            nodes = nodes if bad is None else nodes.join(bad, ["file_no", "up"], "left_semi")
             level[name] = nodes.select("file_no", "node", F.col("digest").alias(name))
         both = level["primary"].join(level["replica"], ["file_no", "node"], "full_outer")
-        bad = both.filter(~F.col("primary").eqNullSafe(F.col("replica"))).select("file_no", "node")
+        differing = both.filter(~F.col("primary").eqNullSafe(F.col("replica")))
+        bad = written(differing.select("file_no", F.col("node").alias("up")), "bad")
     found = []
     for name, leaf in sides.items():
-        own = leaf.withColumn("node", F.expr(f"pmod(slot, {file_slots}) div {fanout}"))
-        own = own.join(bad, ["file_no", "node"], "left_semi") if bad is not None else own
+        own = leaf.withColumn("up", F.expr(f"pmod(slot, {file_slots}) div {fanout}"))
+        own = own.join(bad, ["file_no", "up"], "left_semi") if bad is not None else own
         found.append(own.select("file_no", "slot", *(F.col(c).alias(f"{name}_{c}") for c in ("offset", "length", "content"))))
     both = found[0].join(found[1], ["file_no", "slot"], "full_outer")
     status = (
