@@ -1,12 +1,17 @@
 """Cross-entropy difference: each document's loss under a target model less its loss under a background model.
 
 Both are bigram models over one vocabulary, alike in all but their corpus. Words are runs of letters and digits in
-lower case; the vocabulary is every word of the background, of WORDS words at least. Words and pairs of words are told
+lower case; the vocabulary is every word of all documents, of WORDS words at least. Words and pairs of words are told
 apart by 64-bit hashes, and each of them has counts of its own, however many there are.
 
-    p(w)   = (c(w) + 1) / (N + V)                  V: the background's distinct words, or WORDS if there are fewer
+    p(w)   = (c(w) + 1) / (N + V)                  V: the distinct words of all documents, or WORDS if there are fewer
     p(w|h) = (c(hw) + MU p(w)) / (c(h) + MU)       h: the word before, or the document's begin
 
+The two are matched in size as well: the background is every document that is not in the target, and its counts are
+weighed by the target's words over its own, so that smoothing weighs as much in the one as in the other. (That is what
+a sample of the target's size has on average, but every document counts.) A background with fewer words than the
+target is not weighed up.
+
 No table of all n-grams is ever joined to tokens, or held in one place. Documents are dealt out to blocks of some
 BLOCK bytes of text. A block sends its distinct n-grams with its own counts to the buckets of their hashes, a bucket
 adds up what all blocks have sent, and sends the totals back, in the order in which each block has asked. So a block
@@ -127,9 +132,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     """One row per row of docs: doc_id, n_tokens, target_bits and background_bits (a token), score (their difference:
     the lower, the more like the target), gain_share (the share of tokens that the target model predicts better).
 
-    The background is all of docs, the target those whose id is in target_ids (one column, of distinct ids). An empty
-    target is a model without counts: all words are equally likely. A text without a word (null, empty) has 0
-    everywhere. Rows that repeat each get their row; other columns are ignored; an empty table gives no rows.
+    The target is the rows of docs whose id is in target_ids (one column, of distinct ids), the background all others.
+    An empty side is a model without counts: all words are equally likely. A text without a word (null, empty) has 0
+    everywhere. Rows that repeat each get their row, and ties keep their equal scores; other columns are ignored; an
+    empty table gives no rows. A very long text is a block of its own, which one task holds.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text"))
     marks = target_ids.toDF("doc_id").withColumn("mark", F.lit(True))
@@ -137,6 +143,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     marked = own.join(marks, "doc_id", "left").select("doc_id", F.coalesce("mark", F.lit(False)).alias("mark"), "text")
     words, n, n_target, size = corpus_size(marked)
     vocabulary = max(WORDS, words)
+    weight = 1.0 if n == n_target or not n_target else min(1.0, n_target / (n - n_target))
     blocks = max(1, -(-size // BLOCK))
     bits = (max(BUCKETS, blocks // BLOCKS_A_BUCKET) - 1).bit_length()
     low = U64(64 - bits)
@@ -167,7 +174,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
         known = [np.concatenate([np.zeros(0, U64), *(x[k] for x in told)]).astype(np.float64) for k in (1, 0)]
         word, before, pair = block.at
         loss = []
-        for c, total in zip(known, (n_target, n), strict=True):
+        sides = ((known[0], n_target), ((known[1] - known[0]) * weight, (n - n_target) * weight))
+        for c, total in sides:
             if len(c) != len(block.keys):
                 raise RuntimeError("a block has other n-grams than it had when it asked: the documents changed between two passes")
             loss.append(np.log2(c[before] + MU) - np.log2(c[pair] + MU * (c[word] + 1) / (total + vocabulary)))
