@@ -6,9 +6,10 @@ context on the way costs an escape of D / (N + D), where N counts the context's
 symbols of the context escaped from are excluded. Below order 0 all remaining bytes are equally likely. So a text's
 exact code length is a sum over its four-byte windows, and each distinct window is worked out once.
 
-The trees are learned from a bounded sample: about PER_LANGUAGE documents of each language, taken by a hash of the id.
-Its windows are counted in Spark; the counts (at most one row per language and distinct window of the sample) are
-broadcast. Scoring is one pass over the texts without a shuffle.
+The trees are learned from a bounded sample: about PER_LANGUAGE documents of each language, and no more than
+LANGUAGE_BYTES or its part of ALL_BYTES, taken by a hash of the id. Its windows are counted in Spark; the counts (at
+most one row per language and distinct window of the sample) are broadcast. Scoring is one pass over the texts
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import fresh, slices, small_batches, text_of, utf8
+from gramloom.llm._shared import U64, NumberTable, fresh, slices, small_batches, text_of, utf8
 
 #: The expected number of documents that a language is learned from.
 PER_LANGUAGE = 1500
+#: Bytes of them that are expected at most: of one language, and of all together. They bound the trees, which each worker gets.
+LANGUAGE_BYTES, ALL_BYTES = 64 << 20, 256 << 20
+#: Code lengths (8 bytes each) that a worker keeps ready, of all languages.
+CELLS = 1 << 23
 ORDER = 3
 UNKNOWN = "und"
 #: A document whose best language needs more bits a byte than that language's limit is in none of the learned ones. The
@@ -114,48 +119,29 @@ class ContextTree:
 
 
 class Languages:
-    """The trees of all languages, with the code lengths of all known windows in a hash table."""
+    """The trees of all languages, and the code lengths of the windows that they know, up to CELLS numbers: beyond that
+    those of the most frequent windows. What is not in the table is worked out from the trees, to the same bits."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.names = sorted(counts)
         self.trees = [ContextTree(*counts[x]) for x in self.names]
-        grams = np.unique(np.concatenate([counts[x][0] for x in self.names])) if self.names else np.zeros(0, np.uint32)
-        self.size = max(10, (4 * len(grams)).bit_length())
-        self.keys = np.zeros(1 << self.size, np.uint32)
-        self.costs = np.zeros((1 << self.size, len(self.names)), np.float32)
-        self.costs[:, :] = np.nan
-        slot, self.longest = self._slot(grams), 1
-        taken = np.zeros(1 << self.size, bool)
-        costs = self._bits(grams)
-        while len(grams):
-            free = ~taken[slot]
-            _, winner = np.unique(slot[free], return_index=True)
-            put = np.flatnonzero(free)[winner]
-            taken[slot[put]] = True
-            self.keys[slot[put]], self.costs[slot[put]] = grams[put], costs[put]
-            rest = np.ones(len(grams), bool)
-            rest[put] = False
-            grams, costs, slot = grams[rest], costs[rest], (slot[rest] + 1) & ((1 << self.size) - 1)
-            self.longest += 1
-        self.free = ~taken
-
-    def _slot(self, grams: np.ndarray) -> np.ndarray:
-        return ((grams * np.uint32(2654435761)) >> np.uint32(32 - self.size)).astype(np.int64)
+        if not self.names:
+            return
+        grams, which = np.unique(np.concatenate([counts[x][0] for x in self.names]), return_inverse=True)
+        often = np.bincount(which, np.concatenate([counts[x][1] for x in self.names]), len(grams))
+        grams = grams[np.argsort(-often, kind="stable")[: CELLS // len(self.names)]]
+        self.place = NumberTable(len(grams))
+        self.place.put(grams.astype(U64), np.arange(len(grams)))
+        self.costs = self._bits(grams)
 
     def _bits(self, grams: np.ndarray) -> np.ndarray:
-        return np.stack([t.bits(grams) for t in self.trees], 1) if self.trees else np.zeros((len(grams), 0))
+        return np.stack([t.bits(grams) for t in self.trees], 1)
 
     def costs_of(self, grams: np.ndarray) -> np.ndarray:
         """Bits of each window (rows) in each language (columns)."""
-        slot = self._slot(grams)
-        miss = np.flatnonzero((self.keys[slot] != grams) | self.free[slot])
-        for _ in range(self.longest):
-            moving = miss[~self.free[slot[miss]]]
-            if not len(moving):
-                break
-            slot[moving] = (slot[moving] + 1) & ((1 << self.size) - 1)
-            miss = miss[(self.keys[slot[miss]] != grams[miss]) | self.free[slot[miss]]]
-        out = self.costs[slot]
+        place = self.place.get(grams.astype(U64))
+        out = self.costs[place]
+        miss = np.flatnonzero(place < 0)
         if len(miss):
             fresh, which = np.unique(grams[miss], return_inverse=True)
             out[miss] = self._bits(fresh)[which]
@@ -170,16 +156,24 @@ class Languages:
         return out
 
 
+def _sample(known: DataFrame, per_language: int) -> tuple[DataFrame, list[str]]:
+    """lang and text of some of the known documents (doc_id, text, lang), by a hash of their ids, and the languages. Rows
+    without an id share a hash: they are all in the sample or all out."""
+    sizes = known.groupBy("lang").agg(F.count("*"), F.sum(F.octet_length("text"))).collect()  # one row per language
+    most = min(LANGUAGE_BYTES, ALL_BYTES // max(1, len(sizes)))
+    share = [(name, min(1.0, per_language / n, most / max(1, size))) for name, n, size in sizes]
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    shares = known.sparkSession.createDataFrame(share, "lang string, share double")
+    return known.withColumn("_place", place).join(F.broadcast(shares), "lang").filter("_place < share").select("lang", "text"), [x[0] for x in share]
+
+
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Count the windows of a sample of the documents that have a language and a text and are not held out."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     known = known.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
-    if not sizes:
+    sample, told = _sample(known, per_language)
+    if not told:
         return Languages({})
-    share = docs.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for x, n in sizes.items()], "lang string, share double")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.withColumn("_place", place).join(F.broadcast(share), "lang").filter("_place < share").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, list] = {}
@@ -198,7 +192,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     names = np.array(counted.column("lang").to_pylist(), object)
     grams, n = (counted.column(c).to_numpy() for c in ("gram", "n"))
     out = {}
-    for name in sizes:
+    for name in told:
         own = names == name
         order = np.argsort(grams[own])
         out[name] = (grams[own][order].astype(np.uint32), n[own][order])
@@ -214,7 +208,8 @@ def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_
     """The columns of docs with lang_pred, score (the best language's posterior among all) and bits_per_byte.
 
     A text that is null or has no letter is `und`, with score 0 and no bits; so are all texts if no language was
-    learned. Of languages with equal code lengths the first by name wins. Case does not matter. The three come last;
+    learned. Of languages with equal code lengths the first by name wins. Case does not matter. A very long text is scored
+    whole, by one task. The three come last;
     one whose name docs has already is called lang_pred_1 or the like.
     """
     lowered, *results = fresh(docs, "_text", "lang_pred", "score", "bits_per_byte")
@@ -259,12 +254,9 @@ def limits(docs: DataFrame, languages: Languages, per_language: int = PER_LANGUA
     those whose language is known and found."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & held_out(id_col))
     known = known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
-    if not sizes:
+    sample, told = _sample(known, per_language)
+    if not told:
         return {}
-    share = docs.sparkSession.createDataFrame([(x, min(1.0, per_language / n)) for x, n in sizes.items()], "lang string, share double")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.withColumn("_place", place).join(F.broadcast(share), "lang").filter("_place < share").select("lang", "text")
     rate, weight = F.col("bits_per_byte"), F.least(F.octet_length(F.lower("text")), F.lit(LONG)).cast("double")
     sums = predict(sample, languages).filter("lang = lang_pred").groupBy("lang").agg(F.count("*"), F.sum(weight), F.sum(weight * rate), F.sum(weight * rate * rate))
     found = {name: (n, x / w, xx - x * x / w) for name, n, w, x, xx in sums.collect()}  # one row per language
