@@ -5,8 +5,8 @@ Chunks are deduplicated to identifiers, each verified to stand for one content o
 ordered list of its chunks' identifiers: its recipe. Documents are equal when their recipes are, so that after
 the chunks have been verified no long text moves again.
 
-* Shuffles: each distinct chunk's characters once (after a combine on the map side), then identifiers only.
-* A hot chunk or a hot recipe is combined before each shuffle. A group's result comes back to its documents by a join
+* Shuffles: each distinct chunk's characters once (after a combine on the map side), then recipes only.
+* A hot chunk is one row of a task after that combine, and a hot recipe is combined before its shuffle too. A group's result comes back to its documents by a join
   that broadcasts the few groups with over a thousandth of all rows, and shuffles the others.
 """
 
@@ -50,27 +50,15 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """_row, doc_id, text_sha256 and recipe (the chunks' identifiers in order) of each row of docs.
 
     An identifier is the SHA-256 of its chunk. The chunk table, which holds each distinct content once, shows that
-    no identifier has two contents; should one ever have, the query stops instead of merging documents.
+    no identifier has two contents; should one ever have, this stops instead of merging documents. As the check needs
+    no row of the documents, no occurrence of a chunk is ever joined or shuffled. A very long text is a long recipe.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), folded(text_of(text_col)).alias("_text"))
     cut = base.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.sha2("_text", 256).alias("text_sha256"), chunks(F.col("_text")).alias("_chunks"))
-    contents = (
-        cut.select(F.explode("_chunks").alias("chunk"))
-        .select(_digest(F.col("chunk")).alias("_ident"), "chunk")
-        .distinct()  # combined before the shuffle: a chunk's characters leave a task once
-        .groupBy("_ident")
-        .agg(F.count("*").alias("_contents"))
-    )
-    used = cut.select("_row", "doc_id", "text_sha256", F.posexplode_outer(F.transform("_chunks", _digest)).alias("_pos", "_used"))
-    # An empty text has no chunk; a key of its own that meets nothing keeps many of them from sharing a task.
-    keyed = used.withColumn("_ident", F.coalesce("_used", _digest(F.col("_row").cast("string"))))
-    clash = F.raise_error(F.lit("two chunks share an identifier"))
-    verified = keyed.join(contents, "_ident", "left").withColumn("_used", F.when(F.col("_contents") > 1, clash.cast("binary")).otherwise(F.col("_used")))
-    return verified.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("text_sha256").alias("text_sha256"),
-        F.expr("transform(array_sort(collect_list(struct(_pos, _used)) filter (where _used is not null)), x -> x._used)").alias("recipe"),
-    )
+    contents = cut.select(F.explode("_chunks").alias("chunk")).select(_digest(F.col("chunk")).alias("_ident"), "chunk").distinct()  # combined before the shuffle
+    if contents.groupBy("_ident").agg(F.count("*").alias("_contents")).filter("_contents > 1").count():
+        raise ValueError("two chunks share an identifier")
+    return cut.select("_row", "doc_id", "text_sha256", F.transform("_chunks", _digest).alias("recipe"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
