@@ -360,6 +360,63 @@ def test_code_lengths_are_those_of_a_distribution():
     assert np.allclose(known.code_lengths(data, offsets)[0, 0], tree.bits(language_id.windows(data, offsets)).sum(), rtol=1e-5)
 
 
+def ppm_bits(counts, context, symbol):
+    """PPM-C with exclusion by the book: dictionaries of contexts, from the longest to the empty one."""
+    import math
+    from collections import Counter
+
+    bits, gone = 0.0, set()
+    for order in range(3, -1, -1):
+        c = context[3 - order :]
+        here = Counter()
+        for g, n in counts.items():
+            if g[3 - order : 3] == c:
+                here[g[3]] += n
+        live = {s: n for s, n in here.items() if s not in gone}
+        total, distinct = sum(live.values()), len(live)
+        if symbol in live:
+            return bits - math.log2(live[symbol] / (total + distinct))
+        if distinct:
+            bits -= math.log2(distinct / (total + distinct))
+        gone |= set(here)
+    return bits + math.log2(256 - len(gone))
+
+
+def test_code_lengths_equal_brute_force(monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abca bé") for _ in range(300)).encode()
+    data, offsets = utf8(pa.array([text.decode()]))
+    grams, n = np.unique(language_id.windows(data, offsets), return_counts=True)
+    counts = {int(g).to_bytes(4, "big"): int(k) for g, k in zip(grams, n, strict=True)}
+    other = ("zz abcab xa" + "".join(rng.choice("abcaz é") for _ in range(60))).encode()
+    padded = b"\n\n\n" + other
+    want = sum(ppm_bits(counts, padded[k : k + 3], padded[k + 3]) for k in range(len(other)))
+    for cells in (language_id.CELLS, 20):  # all windows ready, and twenty
+        monkeypatch.setattr(language_id, "CELLS", cells)
+        got = language_id.Languages({"x": (grams, n)}).code_lengths(*utf8(pa.array([other.decode()])))[0, 0]
+        assert abs(got - want) < 1e-8
+
+
+def test_noisy_or_equals_brute_force():
+    import math
+
+    texts = ["One villain here. Nothing there! Two villains and a rotter.", "", "calm words only", "villain villain villain", "Rotter? rotter.\nrotter"]
+    data, offsets = utf8(pa.array(texts))
+    bucket = lambda w: int(toxicity.features(*utf8(pa.array([w])))[0][0])
+    weights = {bucket("villain"): 2.5, bucket("rotter"): 1.5}
+    order = np.array(sorted(weights))
+    model = toxicity.NoisyOr(order, np.array([weights[int(b)] for b in order], np.float32), -1.0)
+    got, _ = model.score(model.table(), data, offsets)
+    import re
+
+    for text, p in zip(texts, got, strict=True):
+        clean = 1 - toxicity.LEAK
+        for sentence in re.split(r"[.!?\n]", text.lower()):
+            z = sum(weights[bucket(w)] for w in ("villain", "rotter") if w in re.findall("[a-z]+", sentence))
+            clean *= 1 - 1 / (1 + math.exp(-(z - 1.0))) if z else 1
+        assert abs(p - (1 - clean)) < 1e-6
+
+
 def test_language_id(docs, none, spark):
     got = language_id.identify(docs).collect()
     assert len(got) == 11
@@ -411,7 +468,7 @@ def test_lm_scoring(docs, none, spark):
     # brute force with dictionaries over the ids of words and pairs, which a few share
     tables = []
     ids_of = {k: [x.tolist() for x in lm_scoring.tokens(*utf8(pa.array([(t or "").lower()])))[:3]] for k, (_, t, *_) in enumerate(awkward())}
-    for chosen in (lambda i: i in (5, 7), lambda i: True):
+    for chosen in (lambda i: i in (5, 7), lambda i: i not in (5, 7)):
         word, before, pair = Counter(), Counter(), Counter()
         for k, (i, *_) in enumerate(awkward()):
             if chosen(i):
@@ -421,8 +478,9 @@ def test_lm_scoring(docs, none, spark):
 
     def bits(table, w, h, hw):
         word, before, pair, n = table
-        p = (word[w] + 1) / (n + lm_scoring.WORDS)
-        return -math.log2((pair[hw] + lm_scoring.MU * p) / (before[h] + lm_scoring.MU))
+        x = min(1.0, tables[0][3] / tables[1][3]) if table is tables[1] else 1.0
+        p = (x * word[w] + 1) / (x * n + lm_scoring.WORDS)
+        return -math.log2((x * pair[hw] + lm_scoring.MU * p) / (x * before[h] + lm_scoring.MU))
 
     for k, (i, t, *_) in enumerate(awkward()):
         each = list(zip(*ids_of[k], strict=True))
@@ -430,3 +488,35 @@ def test_lm_scoring(docs, none, spark):
         if each and i in (4, 7, 8):
             want = sum(bits(tables[0], *x) - bits(tables[1], *x) for x in each) / len(each)
             assert abs(next(r["score"] for r in got if r["doc_id"] == i) - want) < 1e-9
+
+
+def test_media_ends_are_scanned_once():
+    import struct
+    import time
+
+    name = b"a.txt"
+    local = b"PK\x03\x04" + bytes(22) + struct.pack("<HH", len(name), 0) + name + b"text"
+    central = b"PK\x01\x02" + bytes(42) + name
+    archive = local + central + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 1, 1, len(central), len(local), 0)
+    assert media.sniff(b"xx" + archive) == (media.UNKNOWN, 0, [("application/zip", 2, len(archive))])
+    assert media.sniff(b"%PDF-1.4 startxref 0 %%EOF")[0] == "application/pdf" and media.sniff(b"startxref %PDF-1.4 %%EOF")[2] == []
+    began = time.perf_counter()
+    for magic in (b"PK\x03\x04", b"%PDF-"):
+        media.sniff(magic * 100_000)
+    assert time.perf_counter() - began < 5
+
+
+def test_media_forms(docs):
+    for r in media.features(media.store(docs)).collect():
+        stored = next(make for kind, make, _ in media.STORES if r["feature"].startswith(kind))
+        i, t = next((i, t) for i, t, *_ in awkward() if i == r["doc_id"] and len((t or "").encode()) == r["n_bytes"])
+        raw = (t or "").encode()
+        data = stored(raw + bytes(-len(raw) % 64 if raw else 64))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+
+
+def test_one_chunk_in_every_document(spark):
+    passage = prose(7, 3000)
+    rows = [(k, f"{prose(k, 40)} {passage}" if k % 10 else passage.upper()) for k in range(400)]
+    got = {r["doc_id"]: r for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, r in got.items() if r["group_size"] == 40} == set(range(0, 400, 10)) and all(got[k]["keep_id"] == (390 if k % 10 == 0 else k) for k in got)
