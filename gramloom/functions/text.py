@@ -99,9 +99,16 @@ def sentence_tokens(sentence: Column) -> Column:
     return F.concat(F.array(F.lit(START)), words, F.array(F.lit(END)))
 
 
-def text_to_tokens(text: Column) -> Column:
+def normal_sentence_tokens(sentence: Column) -> Column:
+    """normalise_tokens(sentence_tokens(sentence)), in one pass over the sentence: no token holds white space, so that the
+    pattern finds the parts of all words at once."""
+    line = F.regexp_replace(F.lower(to_ascii(sentence)), r"[^!-~\s]", "")
+    return F.concat(F.array(F.lit(START)), F.regexp_extract_all(line, F.lit(TOKEN_PATTERN), F.lit(0)), F.array(F.lit(END)))
+
+
+def text_to_tokens(text: Column, normalise: bool = False) -> Column:
     """All tokens of a text; the empty text is one sentence without words."""
-    body = F.flatten(F.transform(sentences(text), sentence_tokens))
+    body = F.flatten(F.transform(sentences(text), normal_sentence_tokens if normalise else sentence_tokens))
     return F.when(F.size(body) > 0, body).otherwise(F.array(F.lit(START), F.lit(END)))
 
 

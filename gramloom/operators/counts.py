@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gramloom.functions import text as T
-from gramloom.operators.ngrams import explode_windows
+from gramloom.operators.ngrams import all_windows, explode_windows
 from gramloom.schemas import PARTITIONS
 from gramloom.sources.store import saved
 
@@ -24,9 +24,21 @@ def integrate(counts: DataFrame, key: str = "ngram") -> DataFrame:
     return counts.groupBy(key).agg(F.sum("count").alias("count"))
 
 
+def order_counts(sentences: DataFrame, n: int) -> DataFrame:
+    """ngram, count of one order."""
+    return explode_windows(sentences, n).groupBy("ngram").agg(F.count("*").alias("count"))
+
+
+def every_count(sentences: DataFrame, n_max: int) -> DataFrame:
+    """n, ngram, count of all orders, in one pass over the sentences and one shuffle."""
+    grams = sentences.select(F.explode(all_windows(F.col("tokens"), n_max)).alias("ngram"))
+    return grams.groupBy("ngram").agg(F.count("*").alias("count")).select(F.size("ngram").alias("n"), "ngram", "count")
+
+
 def ngram_counts(sentences: DataFrame, n_max: int) -> dict[int, DataFrame]:
-    """ngram, count of each order."""
-    return {n: explode_windows(sentences, n).groupBy("ngram").agg(F.count("*").alias("count")) for n in range(1, n_max + 1)}
+    """ngram, count of each order: folders of one table, which is counted and written once."""
+    table = saved(every_count(sentences, n_max), "ngram-counts", ("n",))
+    return {n: table.filter(F.col("n") == n).select("ngram", "count") for n in range(1, n_max + 1)}
 
 
 def without_digits(counts: DataFrame) -> DataFrame:
@@ -109,16 +121,18 @@ def vocabulary(unigrams: DataFrame) -> DataFrame:
     return ordered.select(F.col("token_id").cast("int").alias("token_id"), "token", "part")
 
 
-def translate(counts: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
-    """w1..wn as ids, count, reject: null, or why the n-gram can't be told (unindexed token).
+def translate(counts: DataFrame, vocab: DataFrame, n: int, part_of: Column | None = None) -> DataFrame:
+    """w1..wn as ids, count, reject: null, or why the n-gram can't be told: `bad_partition` if part_of, the vocabulary
+    partition that the row was filed under, isn't that of its first token; else `unindexed` if a token has no id.
 
     One equi-join per position: Spark broadcasts the vocabulary only if it is small.
     """
-    out = counts.select(*(F.col("ngram")[i - 1].alias(f"t{i}") for i in range(1, n + 1)), "count")
+    misplaced = F.lit(False) if part_of is None else ~part_of.eqNullSafe(T.token_part(F.element_at("ngram", 1)))
+    out = counts.select(*(F.col("ngram")[i - 1].alias(f"t{i}") for i in range(1, n + 1)), "count", misplaced.alias("_misplaced"))
     for i in range(1, n + 1):
         out = out.join(vocab.select(F.col("token").alias(f"t{i}"), F.col("token_id").alias(f"w{i}")), f"t{i}", "left")
     unknown = reduce(lambda a, b: a | b, (F.col(f"w{i}").isNull() for i in range(1, n + 1)))
-    return out.select(*(f"w{i}" for i in range(1, n + 1)), "count", F.when(unknown, "unindexed").alias("reject"), *(f"t{i}" for i in range(1, n + 1)))
+    return out.select(*(f"w{i}" for i in range(1, n + 1)), "count", F.when(F.col("_misplaced"), "bad_partition").when(unknown, "unindexed").alias("reject"), *(f"t{i}" for i in range(1, n + 1)))
 
 
 def id_table(translated: DataFrame, n: int) -> DataFrame:

@@ -39,13 +39,23 @@ def index_ranges(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("part").agg(F.min("token_id").alias("first"), F.max("token_id").alias("last"))
 
 
+def asked_only(table: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a table that some request (a written table) has the keys of; all of them without keys. Requests are
+    few as a rule, and Spark then broadcasts their keys, so that the table is neither shuffled nor sorted."""
+    return table.join(asks.select(*keys).distinct(), keys, "left_semi") if keys else table
+
+
 class CumulativeModel:
     """ranges: by order n, w1..wn, cf1, cf2. Contexts are shortened from the left until they are known."""
 
     def __init__(self, ranges: dict[int, DataFrame]):
         self.n_max = max(ranges)
         self.ranges = ranges
-        self.contexts = {n: contexts(ranges[n], n) for n in ranges}
+
+    def _asked(self, requests: DataFrame, n: int, keys: list[str]) -> DataFrame:
+        """The ranges of order n behind the contexts that are asked for: keys, w, cf1, cf2."""
+        named = self.ranges[n].select(*(F.col(f"w{i}").alias(k) for i, k in enumerate(keys, 1)), F.col(f"w{n}").alias("w"), "cf1", "cf2")
+        return asked_only(named, requests, keys)
 
     def probabilities(self, requests: DataFrame) -> DataFrame:
         """Requests of columns c1..c(n_max-1) (context, oldest first) and w, with lo, hi, total and level.
@@ -55,12 +65,12 @@ class CumulativeModel:
         """
         m = self.n_max - 1
         ask = [f"c{i}" for i in range(1, m + 1)]
-        out = requests
+        requests = out = saved(requests, "asks")
         for n in range(self.n_max, 0, -1):
             keys = ask[len(ask) - (n - 1) :]
-            gram = self.ranges[n].select(*(F.col(f"w{i}").alias(k) for i, k in enumerate(keys, 1)), F.col(f"w{n}").alias("w"), F.col("cf1").alias(f"a{n}"), F.col("cf2").alias(f"b{n}"))
-            out = out.join(gram, [*keys, "w"], "left")
-            whole = self.contexts[n].select(*(F.col(f"w{i}").alias(k) for i, k in enumerate(keys, 1)), F.col("cf1").alias(f"from{n}"), F.col("cf2").alias(f"to{n}"))
+            here = self._asked(requests, n, keys)
+            out = out.join(asked_only(here.select(*keys, "w", F.col("cf1").alias(f"a{n}"), F.col("cf2").alias(f"b{n}")), requests, [*keys, "w"]), [*keys, "w"], "left")
+            whole = here.groupBy(*keys).agg(F.min("cf1").alias(f"from{n}"), F.max("cf2").alias(f"to{n}"))
             out = out.join(whole, keys, "left") if keys else out.crossJoin(F.broadcast(whole))  # one row
         pick = lambda f: F.coalesce(*(F.when(F.col(f"a{n}").isNotNull(), f(n)) for n in range(self.n_max, 0, -1)))
         return out.select(
@@ -79,27 +89,28 @@ class CumulativeModel:
         m = self.n_max - 1
         ask = [f"c{i}" for i in range(1, m + 1)]
         asked = saved(requests.withColumn("_id", F.monotonically_increasing_id()))
+        behind = {}
         level = asked
         for n in range(self.n_max, 0, -1):
             keys = ask[len(ask) - (n - 1) :]
-            whole = self.contexts[n].select(*(F.col(f"w{i}").alias(k) for i, k in enumerate(keys, 1)), F.col("cf1").alias(f"from{n}"), F.col("cf2").alias(f"to{n}"))
+            behind[n] = saved(self._asked(asked, n, keys)) if keys else self._asked(asked, n, keys)
+            whole = behind[n].groupBy(*keys).agg(F.min("cf1").alias(f"from{n}"), F.max("cf2").alias(f"to{n}"))
             level = level.join(whole, keys, "left") if keys else level.crossJoin(F.broadcast(whole))
         orders = range(self.n_max, 0, -1)
         level = level.withColumn("level", F.coalesce(*(F.when(F.col(f"from{n}").isNotNull(), n) for n in orders)))
         base = F.coalesce(*(F.col(f"from{n}") for n in orders))
         total = F.coalesce(*(F.col(f"to{n}") - F.col(f"from{n}") for n in orders))
         wide = lambda x: x.cast("decimal(38,0)")
-        scaled = level.withColumn("_lo", base + F.floor(wide(F.col("num")) * wide(total) / wide(F.col("den"))).cast("long"))
-        scaled = saved(scaled.withColumn("_hi", base + F.ceil(wide(F.col("num") + F.col("size")) * wide(total) / wide(F.col("den"))).cast("long")).select("_id", *ask, "level", "_lo", "_hi"))
+        scaled = level.withColumn("_lo", base + F.call_function("div", wide(F.col("num")) * wide(total), wide(F.col("den"))))
+        scaled = saved(scaled.withColumn("_hi", base + F.call_function("div", wide(F.col("num") + F.col("size")) * wide(total) + wide(F.col("den") - 1), wide(F.col("den")))).select("_id", *ask, "level", "_lo", "_hi"))
         found = []
         for n in orders:
             keys = ask[len(ask) - (n - 1) :]
             here = scaled.filter(F.col("level") == n)
             if keys:
-                gram = self.ranges[n].select(*(F.col(f"w{i}").alias(k) for i, k in enumerate(keys, 1)), F.col(f"w{n}").alias("w"), "cf1", "cf2")
-                joined = here.join(gram, keys)
+                joined = here.join(behind[n], keys)
             else:  # without a context only the order of ranges helps: both sides meet in ranges of the cumulative count
-                joined = _by_range(here, self.ranges[1].select(F.col("w1").alias("w"), "cf1", "cf2"))
+                joined = by_range(here, self.ranges[1].select(F.col("w1").alias("w"), "cf1", "cf2"))
             found.append(joined.filter("cf1 <= _lo AND cf2 >= _hi").select("_id", "w"))
         words_found = found[0]
         for more in found[1:]:
@@ -107,7 +118,7 @@ class CumulativeModel:
         return asked.join(scaled.select("_id", "level"), "_id").join(words_found, "_id", "left").drop("_id")
 
 
-def _by_range(asks: DataFrame, ranges: DataFrame, cells: int = 4096) -> DataFrame:
+def by_range(asks: DataFrame, ranges: DataFrame, cells: int = 4096) -> DataFrame:
     """Candidate pairs of asks (_lo, _hi) and ranges (cf1, cf2): both are cut into equal cells of the whole range, so
     that an equi-join on the cell of _lo replaces the comparison of all with all."""
     top = ranges.agg(F.max("cf2").alias("_top"))

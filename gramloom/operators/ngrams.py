@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from gramloom.functions import text as T
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt out to all cores if it has fewer parts than there are cores (a small file is one part). Tables of more
+    parts stay as they are, so that nothing is shuffled where it would cost."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: bool = True) -> DataFrame:
     """id, sent (from 0) and tokens of each sentence. A line break ends a sentence; null texts have none."""
+    docs = spread(docs)
     lines = F.regexp_replace(F.col(text_col), "\n", "  ")
     each = docs.select(F.col(id_col), F.posexplode(T.sentences(lines)).alias("sent", "_s"))
-    tokens = T.sentence_tokens(F.col("_s"))
-    return each.select(id_col, "sent", (T.normalise_tokens(tokens) if normalise else tokens).alias("tokens"))
+    tokens = T.normal_sentence_tokens(F.col("_s")) if normalise else T.sentence_tokens(F.col("_s"))
+    return each.select(id_col, "sent", tokens.alias("tokens"))
 
 
 def windows(tokens: Column, n: int) -> Column:
@@ -22,6 +30,14 @@ def windows(tokens: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.slice(tokens, i, n))
 
 
+def all_windows(tokens: Column, n_max: int) -> Column:
+    """All runs of 1 to n_max tokens."""
+    at = F.sequence(F.lit(1), F.size(tokens))
+    upto = lambda i: F.sequence(F.lit(1), F.least(F.lit(n_max), F.size(tokens) - i + 1))
+    runs = F.flatten(F.transform(at, lambda i: F.transform(upto(i), lambda n: F.slice(tokens, i, n))))
+    return F.when(F.size(tokens) > 0, runs)
+
+
 def explode_windows(sentences: DataFrame, n: int, keep: tuple[str, ...] = ()) -> DataFrame:
     return sentences.select(*keep, F.explode(windows(F.col("tokens"), n)).alias("ngram"))
 

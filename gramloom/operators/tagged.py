@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gramloom.operators.counts import prefix_sums
+from gramloom.operators.counts import prefix_sums, row_ids
+from gramloom.operators.cumulative import asked_only
 from gramloom.schemas import PLACEHOLDER
+from gramloom.sources.store import saved
 
 
 def words(n: int) -> list[str]:
@@ -32,8 +33,10 @@ def marginals(cumulated: DataFrame, n: int, by: str = "i") -> DataFrame:
     lower = cumulated.select(F.col(by).alias("_i"), *(F.lower(w).alias(w) for w in words(n)), "p", "c1", "c2")
     rolled = lower.rollup(*words(n)).agg(F.sum("p").alias("p"), F.min("c1").alias("c1"), F.max("c2").alias("c2"), F.min("_i").alias("_i"), F.grouping_id().alias("_g"))
     level = F.lit(n) - F.round(F.log2(F.col("_g") + 1)).cast("int")
-    numbered = Window.partitionBy("n").orderBy("_i", *words(n))
-    return rolled.withColumn("n", level).withColumn("i", F.row_number().over(numbered)).select("n", "i", *words(n), "p", "c1", "c2")
+    # numbers through all orders, less where the order begins: no order has to fit into one task
+    numbered = saved(row_ids(rolled.withColumn("n", level), ["n", "_i", *words(n)], "_row"))
+    begins = numbered.groupBy("n").agg((F.min("_row") - 1).alias("_begin"))  # a row per order
+    return numbered.join(F.broadcast(begins), "n").select("n", (F.col("_row") - F.col("_begin")).alias("i"), *words(n), "p", "c1", "c2")
 
 
 class TaggedModel:
@@ -49,11 +52,11 @@ class TaggedModel:
     def probabilities(self, requests: DataFrame) -> DataFrame:
         """Requests of c1..c(N-1) and w, with probability, lo and hi (the word's part of its context), and level."""
         ask = [f"c{i}" for i in range(1, self.n_max)]
-        out = requests
+        requests = out = saved(requests, "asks")
         for n in range(self.n_max, 0, -1):
             keys = ask[len(ask) - (n - 1) :]
-            out = out.join(self._side(n, [*keys, "w"], f"g{n}"), [*keys, "w"], "left")
-            whole = self._side(n - 1, keys, f"x{n}")
+            out = out.join(asked_only(self._side(n, [*keys, "w"], f"g{n}"), requests, [*keys, "w"]), [*keys, "w"], "left")
+            whole = asked_only(self._side(n - 1, keys, f"x{n}"), requests, keys)
             out = out.join(whole, keys, "left") if keys else out.crossJoin(F.broadcast(whole))  # one row
         pick = lambda f: F.coalesce(*(F.when(F.col(f"g{n}p").isNotNull() & F.col(f"x{n}p").isNotNull(), f(n)) for n in range(self.n_max, 0, -1)))
         return out.select(
@@ -65,16 +68,24 @@ class TaggedModel:
         )
 
     def matching_words(self, requests: DataFrame) -> DataFrame:
-        """Requests of id, c1 (one context word), num, size, den, with the word that matches the interval
-        [num/den, (num+size)/den) of its context's range: one whose range holds it; else the first inside it; else of
-        the two that it straddles the one with the larger part. Contexts of one word; an unknown one gives null."""
-        whole = self._side(1, ["c1"], "x")
+        """Requests of id, c1..c(N-1) (context words, oldest first), num, size, den, with the word that matches the
+        interval [num/den, (num+size)/den) of its context's range: one whose range holds it; else the first inside it;
+        else of the two that it straddles the one with the larger part. A context loses its first words until it is
+        known, as far as one word; one without a known word gives null."""
+        ask = [f"c{i}" for i in range(1, self.n_max)]
         wide = lambda x: x.cast("decimal(38,0)")
-        ends = requests.join(whole, "c1")
-        lo = F.col("xc1") + F.floor(wide(F.col("xp")) * wide(F.col("num")) / wide(F.col("den"))).cast("long")
-        hi = F.col("xc1") + F.ceil(wide(F.col("xp")) * wide(F.col("num") + F.col("size")) / wide(F.col("den"))).cast("long")
-        ends = ends.select("id", "c1", F.greatest(lo, "xc1").alias("a"), F.least(hi, "xc2").alias("b"))
-        both = ends.join(self._side(2, ["c1", "w"], "g"), "c1")
+        requests = left = saved(requests, "asks")
+        found = []
+        for n in range(self.n_max, 1, -1):
+            keys = ask[len(ask) - (n - 1) :]
+            here = left.join(asked_only(self._side(n - 1, keys, "x"), requests, keys), keys)
+            behind = asked_only(self._side(n, [*keys, "w"], "g"), requests, keys)
+            found.append(here.join(behind, keys).select("id", "num", "size", "den", "w", *(f"{t}{c}" for t in "xg" for c in ("p", "c1", "c2"))))
+            left = left.join(here.select("id"), "id", "left_anti")
+        both = reduce(DataFrame.unionByName, found)
+        lo = F.col("xc1") + F.call_function("div", wide(F.col("xp")) * wide(F.col("num")), wide(F.col("den")))
+        hi = F.col("xc1") + F.call_function("div", wide(F.col("xp")) * wide(F.col("num") + F.col("size")) + wide(F.col("den") - 1), wide(F.col("den")))
+        both = both.withColumns({"a": F.greatest(lo, "xc1"), "b": F.least(hi, "xc2")})
         kind = F.when((F.col("gc1") <= F.col("a")) & (F.col("gc2") >= F.col("b")), 1).when((F.col("gc1") >= F.col("a")) & (F.col("gc2") <= F.col("b")), 2)
         before = (F.col("gc1") < F.col("a")) & (F.col("gc2") > F.col("a"))
         behind = (F.col("gc1") < F.col("b")) & (F.col("gc2") > F.col("b"))

@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngrams.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def sentences(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: str = "doc_id", normalise: bool = True) -> DataFrame:
@@ -52,7 +52,7 @@ def told(counts_: DataFrame) -> DataFrame:
 def tables(spark: SparkSession, sf_dir: str, n_max: int) -> dict[int, DataFrame]:
     """Consistent counts of the documents' n-grams, w1..wn and count, written once."""
     base = sentences(spark, sf_dir)
-    found = counts.consistent({n: saved(t) for n, t in counts.ngram_counts(base, n_max).items()})
+    found = counts.consistent(counts.ngram_counts(base, n_max))
     return {n: t.select(*(F.col("ngram")[i].alias(f"w{i + 1}") for i in range(n)), "count") for n, t in found.items()}
 
 
@@ -72,7 +72,7 @@ def tokens_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.with_sentences("SELECT doc_id, sum(len(tokens))::BIGINT AS n_tokens, md5(string_agg(array_to_string(tokens, ' '), ' ' ORDER BY sent)) AS tokens_md5 FROM sentences GROUP BY doc_id"))
 def normalise_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = documents(spark, sf_dir).withColumn("t", T.normalise_tokens(T.text_to_tokens(F.regexp_replace("text", "\n", "  "))))
+    own = documents(spark, sf_dir).withColumn("t", T.text_to_tokens(F.regexp_replace("text", "\n", "  "), normalise=True))
     return own.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
@@ -114,7 +114,7 @@ def pos_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 )
 def digit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(counts.without_digits(counts.ngram_counts(sentences(spark, sf_dir, normalise=False), 2)[2]))
+    return told(counts.without_digits(counts.order_counts(sentences(spark, sf_dir, normalise=False), 2)))
 
 
 @query(O.with_sentences(f", t AS (SELECT unnest(tokens) AS t FROM sentences) SELECT {O.prefix('t', 1)} AS prefix_1, {O.prefix('t', 2)} AS prefix_2, count(*) AS n FROM t GROUP BY ALL"))
@@ -152,22 +152,20 @@ def year_integration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(counts.integrate_years(raw, 2))
 
 
-@query(O.with_sentences(" UNION ALL ".join(f"(SELECT {n} AS n, array_to_string(g, ' ') AS ngram, count(*) AS count FROM (SELECT {O.windows(n)} AS g FROM sentences) GROUP BY ALL)" for n in (1, 2))))
+@query(O.with_sentences(" UNION ALL ".join(f"(SELECT {n} AS n, array_to_string(g, ' ') AS ngram, count(*) AS count FROM (SELECT {O.windows(n)} AS g FROM sentences) GROUP BY ALL)" for n in range(1, 6))))
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = counts.ngram_counts(sentences(spark, sf_dir), 2)
-    both = [told(t).select(F.lit(n).alias("n"), "ngram", "count") for n, t in found.items()]
-    return both[0].unionByName(both[1])
+    return counts.every_count(sentences(spark, sf_dir), 5).select("n", F.array_join("ngram", " ").alias("ngram"), "count")
 
 
 @query(O.EDGE)
 def edge_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = counts.ngram_counts(sentences(spark, sf_dir, normalise=False), 2)[2]
+    raw = counts.every_count(sentences(spark, sf_dir, normalise=False), 3).filter("n >= 2")
     return told(counts.integrate(ngrams.edge_explosion(raw, 3)))
 
 
 @query(O.SINGLE)
 def single_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = counts.ngram_counts(sentences(spark, sf_dir, normalise=False), 1)[1]
+    raw = counts.order_counts(sentences(spark, sf_dir, normalise=False), 1)
     return told(counts.integrate(ngrams.single_explosion(raw, 3)))
 
 
@@ -178,13 +176,13 @@ def letter_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.with_vocab("SELECT token_id::INT AS token_id, token, part FROM vocab"))
 def vocab_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.vocabulary(counts.ngram_counts(sentences(spark, sf_dir), 1)[1])
+    return counts.vocabulary(counts.order_counts(sentences(spark, sf_dir), 1))
 
 
 @query(O.with_vocab(f", g AS (SELECT {O.windows(2)} AS g FROM sentences) SELECT a.token_id::INT AS w1, b.token_id::INT AS w2, count(*) AS count FROM g JOIN vocab a ON a.token = g[1] JOIN vocab b ON b.token = g[2] GROUP BY ALL"))
 def index_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.ngram_counts(sentences(spark, sf_dir), 2)
-    return counts.id_table(counts.translate(found[2], counts.vocabulary(found[1]), 2), 2)
+    return counts.id_table(counts.translate(found[2], saved(counts.vocabulary(found[1])), 2), 2)
 
 
 @query(
@@ -198,19 +196,19 @@ def index_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def index_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = counts.vocabulary(counts.ngram_counts(sentences(spark, sf_dir), 1)[1])
-    asked = counts.ngram_counts(sentences(spark, sf_dir, "conversations", "conv_id"), 2)[2]
+    vocab = saved(counts.vocabulary(counts.order_counts(sentences(spark, sf_dir), 1)))
+    asked = counts.order_counts(sentences(spark, sf_dir, "conversations", "conv_id"), 2)
     return counts.translate(asked, vocab, 2).filter("reject is not null").groupBy("reject").agg(F.count("*").alias("n_rows"), F.sum("count").alias("total"))
 
 
 @query(O.with_counts("SELECT w1 || ' ' || w2 AS ngram, sum(count)::BIGINT AS count FROM t3 GROUP BY w1, w2"))
 def left_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(counts.left_marginal(counts.ngram_counts(sentences(spark, sf_dir), 3)[3]))
+    return told(counts.left_marginal(counts.order_counts(sentences(spark, sf_dir), 3)))
 
 
 @query(O.with_counts("SELECT w2 || ' ' || w3 AS ngram, sum(count)::BIGINT AS count FROM t3 GROUP BY w2, w3"))
 def right_marginal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(counts.right_marginal(counts.ngram_counts(sentences(spark, sf_dir), 3)[3]))
+    return told(counts.right_marginal(counts.order_counts(sentences(spark, sf_dir), 3)))
 
 
 @query(O.with_consistent("SELECT 1 AS n, w1 AS ngram, count FROM k1 UNION ALL SELECT 2, w1 || ' ' || w2, count FROM k2"))
@@ -222,13 +220,13 @@ def counts_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.with_asked("SELECT ngram, max(count) AS count FROM (SELECT ngram, count(*) AS count FROM (SELECT unnest(tokens) AS ngram FROM sentences) GROUP BY ALL UNION ALL SELECT ngram, count(*) FROM (SELECT unnest(tokens) AS ngram FROM asked) GROUP BY ALL) GROUP BY ngram", "conversations"))
 def max_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two = (counts.ngram_counts(s, 1)[1] for s in (sentences(spark, sf_dir), sentences(spark, sf_dir, "conversations", "conv_id")))
+    one, two = (counts.order_counts(s, 1) for s in (sentences(spark, sf_dir), sentences(spark, sf_dir, "conversations", "conv_id")))
     return told(counts.max_merge(one, two))
 
 
 @query(O.with_asked("SELECT ngram, ngram IN (SELECT unnest(tokens) FROM asked) AS reject FROM (SELECT DISTINCT unnest(tokens) AS ngram FROM sentences)", "conversations"))
 def mark_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two = (counts.ngram_counts(s, 1)[1] for s in (sentences(spark, sf_dir), sentences(spark, sf_dir, "conversations", "conv_id")))
+    one, two = (counts.order_counts(s, 1) for s in (sentences(spark, sf_dir), sentences(spark, sf_dir, "conversations", "conv_id")))
     return counts.mark(one, two).select(F.array_join("ngram", " ").alias("ngram"), "reject")
 
 
@@ -236,15 +234,17 @@ def mark_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_model(spark: SparkSession, sf_dir: str, n_max: int) -> tuple[DataFrame, dict[int, DataFrame]]:
-    found = {n: saved(t) for n, t in counts.ngram_counts(sentences(spark, sf_dir), n_max).items()}
+    found = counts.ngram_counts(sentences(spark, sf_dir), n_max)
     vocab = saved(counts.vocabulary(found[1]))
     ids = {n: counts.id_table(counts.translate(t, vocab, n), n) for n, t in found.items()}
-    return vocab, {n: saved(cumulative.cumulative(t, n)) for n, t in ids.items()}
+    return vocab, {n: cumulative.cumulative(t, n) for n, t in ids.items()}
 
 
 @query(O.with_ranges("SELECT w1, cf1, cf2 FROM r1"))
 def cumfreq_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return id_model(spark, sf_dir, 1)[1][1]
+    found = counts.order_counts(sentences(spark, sf_dir), 1)
+    found = saved(found)
+    return cumulative.cumulative(counts.id_table(counts.translate(found, saved(counts.vocabulary(found)), 1), 1), 1)
 
 
 @query(O.with_ranges("SELECT w1, min(cf1) AS cf1, max(cf2) AS cf2 FROM r2 GROUP BY w1"))
@@ -258,7 +258,7 @@ def context_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 )
 def partition_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = saved(counts.ngram_counts(sentences(spark, sf_dir), 1)[1])
+    found = saved(counts.order_counts(sentences(spark, sf_dir), 1))
     by_part = found.select(T.token_part(F.element_at("ngram", 1)).alias("part"), "count")
     return cumulative.partition_ranges(by_part).select("part", F.col("lo").cast("long").alias("lo"), "hi").join(cumulative.index_ranges(counts.vocabulary(found)), "part")
 
@@ -373,7 +373,12 @@ def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     each, out = scored(spark, sf_dir)
     joined = each.join(out, each["c1"].eqNullSafe(out["c1"]) & each["c2"].eqNullSafe(out["c2"]) & (each["w"] == out["w"]))
-    return joined.groupBy("item_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("bits").isNull()).alias("n_impossible"), F.round(F.coalesce(F.sum("bits"), F.lit(0.0)), 4).alias("bits"))
+    # the start mark is no word; a word counts its letters and the blank behind it
+    sure = F.col("bits").isNotNull() & (F.col("pos") > 0)
+    total, words, letters_ = F.sum(F.when(sure, F.col("bits"))), F.sum(F.when(sure, 1)), F.sum(F.when(sure, F.length("w") + 1))
+    per_unit = [F.round(x, 4).alias(c) for c, x in (("bits_per_word", total / words), ("bits_per_character", total / letters_), ("perplexity", F.pow(F.lit(2.0), total / words)))]
+    joined = joined.select("item_id", "pos", each["w"], "bits")
+    return joined.groupBy("item_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("bits").isNull()).alias("n_impossible"), F.round(F.coalesce(F.sum("bits"), F.lit(0.0)), 4).alias("bits"), *per_unit)
 
 
 # -- letters, bits, codec -------------------------------------------------------------------------------------------
@@ -437,7 +442,7 @@ def letter_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def character_tables(spark: SparkSession, sf_dir: str, n_max: int) -> dict[int, DataFrame]:
     """Consistent counts of runs of characters (a-z, digits and marks, blank as `_`), within sentences; 70**n_max rows at most."""
     own = sentences(spark, sf_dir, normalise=False).select(characters(F.expr("slice(tokens, 2, size(tokens) - 2)")).alias("tokens"))
-    return counts.consistent({n: saved(t) for n, t in counts.ngram_counts(own, n_max).items()})
+    return counts.consistent(counts.ngram_counts(own, n_max))
 
 
 def characters(words: Column) -> Column:

@@ -40,14 +40,14 @@ def _corpus(source: str = "documents", id_col: str = "doc_id", raw: str = "raw",
     for m in ("START", "END"):
         marked = rf"regexp_replace({marked}, '(^|\s)_{m}_($|\s)', '\1_ {m} _\2', 'g')"
     out = rf"""
-    {raw} AS (
+    {raw} AS MATERIALIZED (
         SELECT {id_col}, sent, ['_START_'] || list_filter(string_split_regex(s, '\s+'), lambda w: w <> '') || ['_END_'] AS tokens FROM (
             SELECT {id_col}, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent FROM (
                 SELECT {id_col}, list_filter(string_split_regex(regexp_replace({marked}, '^\s+|\s+$', '', 'g'), '\s{{2,}}'), lambda x: x <> '') AS ss
                 FROM (SELECT {id_col}, replace(text, chr(10), '  ') AS text FROM {source}))))"""
     if normal:
         out += f""",
-    {name} AS (SELECT {id_col}, sent, flatten(list_transform(tokens, lambda t: {tokens("t")})) AS tokens FROM {raw})"""
+    {name} AS MATERIALIZED (SELECT {id_col}, sent, flatten(list_transform(tokens, lambda t: {tokens("t")})) AS tokens FROM {raw})"""
     return out
 
 
@@ -119,12 +119,11 @@ PROBABILITIES = with_ranges(
     f""",
     q AS (SELECT DISTINCT {windows(3)} AS g FROM asked),
     i AS (SELECT g, a.token_id AS c1, b.token_id AS c2, c.token_id AS w FROM q LEFT JOIN vocab a ON a.token = g[1] LEFT JOIN vocab b ON b.token = g[2] LEFT JOIN vocab c ON c.token = g[3]),
-    j AS (SELECT g, r3.cf1 - x3.a AS lo3, r3.cf2 - x3.a AS hi3, x3.b - x3.a AS s3, r2.cf1 - x2.a AS lo2, r2.cf2 - x2.a AS hi2, x2.b - x2.a AS s2, r1.cf1 AS lo1, r1.cf2 AS hi1, x1.b AS s1
-          FROM i LEFT JOIN r3 ON r3.w1 = c1 AND r3.w2 = c2 AND r3.w3 = w LEFT JOIN x3 ON x3.w1 = c1 AND x3.w2 = c2
-          LEFT JOIN r2 ON r2.w1 = c2 AND r2.w2 = w LEFT JOIN x2 ON x2.w1 = c2 LEFT JOIN r1 ON r1.w1 = w CROSS JOIN x1)
-    SELECT array_to_string(g, ' ') AS ngram, coalesce(lo3, lo2, lo1, -1) AS lo, coalesce(hi3, hi2, hi1, -1) AS hi,
-           CASE WHEN lo3 IS NOT NULL THEN s3 WHEN lo2 IS NOT NULL THEN s2 WHEN lo1 IS NOT NULL THEN s1 ELSE -1 END AS total,
-           CASE WHEN lo3 IS NOT NULL THEN 3 WHEN lo2 IS NOT NULL THEN 2 WHEN lo1 IS NOT NULL THEN 1 ELSE -1 END AS level FROM j
+    f AS (SELECT g, 3 AS level, r3.cf1 - x3.a AS lo, r3.cf2 - x3.a AS hi, x3.b - x3.a AS total FROM i JOIN r3 ON r3.w1 = c1 AND r3.w2 = c2 AND r3.w3 = w JOIN x3 ON x3.w1 = c1 AND x3.w2 = c2
+          UNION ALL SELECT g, 2, r2.cf1 - x2.a, r2.cf2 - x2.a, x2.b - x2.a FROM i JOIN r2 ON r2.w1 = c2 AND r2.w2 = w JOIN x2 ON x2.w1 = c2
+          UNION ALL SELECT g, 1, r1.cf1, r1.cf2, (SELECT max(cf2) FROM r1) FROM i JOIN r1 ON r1.w1 = w),
+    top AS (SELECT g, max(level) AS level, arg_max(lo, level) AS lo, arg_max(hi, level) AS hi, arg_max(total, level) AS total FROM f GROUP BY g)
+    SELECT array_to_string(q.g, ' ') AS ngram, coalesce(lo, -1)::BIGINT AS lo, coalesce(hi, -1)::BIGINT AS hi, coalesce(total, -1)::BIGINT AS total, coalesce(level, -1)::INT AS level FROM q LEFT JOIN top ON top.g = q.g
     """,
     "benchmark",
 )
@@ -145,10 +144,11 @@ NEXT = with_ranges(
 )
 
 EDGE = with_raw(f"""
-    , g AS (SELECT g, count(*) AS n FROM (SELECT {windows(2)} AS g FROM raw) GROUP BY ALL),
+    , g AS (SELECT g, count(*) AS n FROM (SELECT {windows(2)} AS g FROM raw UNION ALL SELECT {windows(3)} FROM raw) GROUP BY ALL),
     p AS (SELECT n, list_transform(g, lambda t: {tokens("t")}) AS p FROM g),
-    e AS (SELECT n, p[1] AS l, p[2] AS r, unnest([1, 1, 2]) AS ls, unnest([1, 2, 1]) AS rs FROM p WHERE len(p[1]) > 0 AND len(p[2]) > 0)
-    SELECT array_to_string(l[len(l) - ls + 1:len(l)] || r[1:rs], ' ') AS ngram, sum(n)::BIGINT AS count FROM e WHERE ls <= len(l) AND rs <= len(r) GROUP BY 1
+    m AS (SELECT n, p[1] AS l, flatten(p[2:len(p) - 1]) AS m, p[-1] AS r FROM p WHERE len(p[1]) > 0 AND len(p[-1]) > 0),
+    e AS (SELECT n, l, m, r, unnest([1, 1, 2]) AS ls, unnest([1, 2, 1]) AS rs FROM m)
+    SELECT array_to_string(l[len(l) - ls + 1:len(l)] || m || r[1:rs], ' ') AS ngram, sum(n)::BIGINT AS count FROM e WHERE ls <= len(l) AND rs <= len(r) AND ls + len(m) + rs <= 3 GROUP BY 1
     """)
 
 SINGLE = with_raw(f"""
@@ -184,10 +184,10 @@ def with_tagged(sql: str) -> str:
 
 TAGGED_PROBABILITY = with_tagged(f""",
     {_PAIRS},
-    j AS (SELECT q.c1 AS c, q.w, g2.p AS p2, g2.c1 AS a2, g2.c2 AS b2, x2.p AS xp, x2.c1 AS xa, g1.p AS p1, g1.c1 AS a1, g1.c2 AS b1, x1.p AS zp, x1.c1 AS za FROM pairs q
-          LEFT JOIN marg g2 ON g2.n = 2 AND g2.w1 = q.c1 AND g2.w2 = q.w LEFT JOIN marg x2 ON x2.n = 1 AND x2.w1 = q.c1 LEFT JOIN marg g1 ON g1.n = 1 AND g1.w1 = q.w LEFT JOIN marg x1 ON x1.n = 0)
-    SELECT c || ' ' || w AS pair, round(coalesce(p2 / xp, p1 / zp, -1), 9) AS probability, round(coalesce((a2 - xa) / xp, (a1 - za) / zp, -1), 9) AS lo, round(coalesce((b2 - xa) / xp, (b1 - za) / zp, -1), 9) AS hi,
-           CASE WHEN p2 IS NOT NULL THEN 2 WHEN p1 IS NOT NULL THEN 1 ELSE 0 END AS level FROM j
+    f AS (SELECT q.c1, q.w, 2 AS level, g.p / x.p AS p, (g.c1 - x.c1) / x.p AS lo, (g.c2 - x.c1) / x.p AS hi FROM pairs q JOIN marg g ON g.n = 2 AND g.w1 = q.c1 AND g.w2 = q.w JOIN marg x ON x.n = 1 AND x.w1 = q.c1
+          UNION ALL SELECT q.c1, q.w, 1, g.p / t.p, (g.c1 - t.c1) / t.p, (g.c2 - t.c1) / t.p FROM pairs q JOIN marg g ON g.n = 1 AND g.w1 = q.w CROSS JOIN (SELECT * FROM marg WHERE n = 0) t),
+    top AS (SELECT c1, w, max(level) AS level, arg_max(p, level) AS p, arg_max(lo, level) AS lo, arg_max(hi, level) AS hi FROM f GROUP BY 1, 2)
+    SELECT q.c1 || ' ' || q.w AS pair, round(coalesce(p, -1), 9) AS probability, round(coalesce(lo, -1), 9) AS lo, round(coalesce(hi, -1), 9) AS hi, coalesce(level, 0)::INT AS level FROM pairs q LEFT JOIN top USING (c1, w)
     """)
 
 TAGGED_MATCH = with_tagged(f""",
@@ -240,7 +240,9 @@ _SCORED = f"""
 SCORES = f"WITH {_corpus()}, {_COUNTS}, {_CONSISTENT}, {_asked('benchmark')}, {_SCORED} SELECT concat_ws(' ', c1, c2, w) AS ngram, round(coalesce(bits, -1), 6) AS bits, coalesce(level, 0) AS level FROM score"
 
 ENTROPY = f"""WITH {_corpus()}, {_COUNTS}, {_CONSISTENT}, {_asked("benchmark")}, {_SCORED}
-    SELECT item_id, count(*) AS n_tokens, count(*) FILTER (bits IS NULL) AS n_impossible, round(coalesce(sum(bits), 0), 4) AS bits
+    SELECT item_id, count(*) AS n_tokens, count(*) FILTER (bits IS NULL) AS n_impossible, round(coalesce(sum(bits), 0), 4) AS bits,
+           round(sum(bits) FILTER (pos > 1) / count(bits) FILTER (pos > 1), 4) AS bits_per_word, round(sum(bits) FILTER (pos > 1) / sum(CASE WHEN bits IS NOT NULL THEN length(each.w) + 1 END) FILTER (pos > 1), 4) AS bits_per_character,
+           round(pow(2.0, sum(bits) FILTER (pos > 1) / count(bits) FILTER (pos > 1)), 4) AS perplexity
     FROM each JOIN score ON each.c1 IS NOT DISTINCT FROM score.c1 AND each.c2 IS NOT DISTINCT FROM score.c2 AND each.w = score.w GROUP BY item_id
     """
 

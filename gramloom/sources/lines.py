@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gramloom.functions.text import trailing_integer
-from gramloom.operators.counts import row_ids
+from gramloom.operators.counts import prefix_sums, row_ids
 from gramloom.schemas import cumulative_schema, raw_schema, tagged_schema, vocabulary_schema
+from gramloom.sources.store import saved
 
 
 def read_ngrams(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """ngram, count from lines of n tokens and a count, parted by tabs. Compressed files can't be split: each is one task, and rows are dealt out again."""
+    """ngram, count, reject from lines of n tokens and a count, parted by tabs. reject: null, or why a line is none:
+    `width` (another number of fields: ngram holds all of them) or `count` (no whole number). Compressed files can't be
+    split: each is one task, and rows are dealt out again."""
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).select(parts.alias("_p")).filter(F.size("_p") == n + 1)
-    rows = rows.select(F.slice("_p", 1, n).alias("ngram"), F.element_at("_p", -1).try_cast("long").alias("count"))
+    rows = spark.read.text(path).select(parts.alias("_p"))
+    count = F.element_at("_p", -1).try_cast("long")
+    whole = F.size("_p") == n + 1
+    reject = F.when(~whole, "width").when(count.isNull(), "count")
+    rows = rows.select(F.when(whole, F.slice("_p", 1, n)).otherwise(F.col("_p")).alias("ngram"), F.when(whole, count).alias("count"), reject.alias("reject"))
     return rows.repartition(F.col("ngram")) if path.endswith(".gz") else rows
 
 
@@ -51,12 +56,9 @@ def write_partitioned(counts: DataFrame, path: str, *by: str) -> None:
     counts.hint("rebalance", *by).write.partitionBy(*by).mode("append").parquet(path)
 
 
-def write_with_rejects(translated: DataFrame, path: str, rejects: str, reject_col: str = "reject") -> None:
-    """Accepted and rejected rows go to their own folders in one pass: the flag is the folder."""
-    base = path.rstrip("/")
-    kept = translated.withColumn("_reject", F.col(reject_col).isNotNull())
-    kept.filter("NOT _reject").drop("_reject", reject_col).write.parquet(base)
-    kept.filter("_reject").drop("_reject").write.parquet(rejects)
+def write_with_rejects(translated: DataFrame, path: str, reject_col: str = "reject") -> None:
+    """Accepted and rejected rows go to folders of their own, rejected=false and rejected=true, in one pass."""
+    translated.withColumn("rejected", F.col(reject_col).isNotNull()).write.partitionBy("rejected").parquet(path)
 
 
 def reject_counts(translated: DataFrame, reject_col: str = "reject") -> DataFrame:
@@ -98,9 +100,12 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def running_size(sizes: DataFrame, part: str | None, order: str, length: str = "length") -> DataFrame:
-    """Sizes with the running total in GB."""
-    upto = (Window.partitionBy(part) if part else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return sizes.withColumn("total_gb", F.sum(length).over(upto) / (1024**3))
+    """Sizes with the running total in GB, in each part if there are parts; a part need not fit into one task."""
+    keys = [part] if part else []
+    summed = saved(prefix_sums(sizes, [*keys, order], length, "_from", "_to"))
+    begins = summed.groupBy(*keys).agg(F.min("_from").alias("_begin"))
+    summed = summed.join(begins, keys) if keys else summed.crossJoin(F.broadcast(begins))  # one row
+    return summed.withColumn("total_gb", (F.col("_to") - F.col("_begin")) / (1024**3)).drop("_from", "_to", "_begin")
 
 
 def longest_partition(prefixes: DataFrame, partitions: list[str]) -> Column:

@@ -39,10 +39,11 @@ def scratch(spark: SparkSession, name: str = "table") -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """df, written as Parquet and read again: its lineage ends here, and losing an executor costs no recomputation."""
+def saved(df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> DataFrame:
+    """df, written as Parquet and read again: its lineage ends here, and losing an executor costs no recomputation. With
+    `by` there is a folder for each value, and readers skip the others."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -144,3 +144,51 @@ def test_translate_rejects(spark):
     got = counts.translate(t, vocab, 2)
     assert counts.id_table(got, 2).collect() == [(1, 2, 2)]
     assert got.filter(F.col("reject") == "unindexed").count() == 1
+
+
+def request_frames(spark, c, offset):
+    t = brute_tables(c, 3)
+    t = {n: Counter({g: k * 40 for g, k in rows.items()}) for n, rows in t.items()}  # counts well over the offset
+    frames = {n: spark.createDataFrame([(*g, k) for g, k in rows.items()], ", ".join([f"w{i} string" for i in range(1, n + 1)] + ["count long"])) for n, rows in t.items()}
+    return backoff.BackoffModel(frames, offset=offset), model(t, beta=0.1, gamma=0.01, offset=offset)
+
+
+def test_backoff_intervals_are_exact(spark):
+    c = corpus(5)
+    joins, brute = request_frames(spark, c, 35)
+    tokens = [*"abcdef", START, END, "zz"]
+    asks = [(None, None, w) for w in tokens] + [(None, START, w) for w in tokens] + [(x, y, w) for x in [*"abc", START] for y in [*"abf", END, START] for w in tokens]
+    got = joins.intervals(spark.createDataFrame(asks, "c1 string, c2 string, w string")).collect()
+    assert len(got) == len(asks)
+    backed = 0
+    for r in got:
+        context = tuple(x for x in (r["c1"], r["c2"]) if x is not None)
+        try:
+            want = codec.as_interval(brute.conditional(r["w"], context))
+        except (ValueError, IndexError, KeyError):
+            want = None
+        if want is None:
+            assert r["parts"] is None, r
+            continue
+        i = (0, 1, 1)
+        for p in r["parts"]:
+            i = codec.narrowed(i, (p["lo"], p["hi"] - p["lo"], p["total"]))
+        backed += len(r["parts"]) > 1
+        assert codec.as_interval(i) == want, (r, want)
+    assert backed > 20
+
+
+def test_backoff_next_is_exact(spark):
+    c = corpus(6)
+    joins, brute = request_frames(spark, c, 35)
+    rng = random.Random(1)
+    asks = [(x, y, rng.randrange(1000), rng.choice([1, 1, 1, 60]), 1061) for x in [*"abcdz", START] for y in [*"abfz", END, START] for _ in range(6)] + [(None, START, k, 1, 50) for k in range(50)] + [(None, None, 1, 1, 2)]
+    got = joins.next_words(spark.createDataFrame(asks, "c1 string, c2 string, num long, size long, den long")).collect()
+    assert len(got) == len(asks)
+    told = Counter()
+    for r in got:
+        context = tuple(x for x in (r["c1"], r["c2"]) if x is not None)
+        want = brute.next((r["num"], r["size"], r["den"]), context)
+        assert r["w"] == (want and want[0]), (r, want)
+        told[r["level"]] += 1
+    assert min(told[n] for n in (1, 2, 3)) > 5 and told[None] > 5

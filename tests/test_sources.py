@@ -12,10 +12,12 @@ from gramloom.streaming import status
 
 
 def test_ngram_lines(spark, tmp_path):
-    (tmp_path / "a.tsv").write_text("of\tthe\t7\nbad\tline\n")
+    (tmp_path / "a.tsv").write_text("of\tthe\t7\nbad\tline\nno\tnumber\tx\n")
     with gzip.open(tmp_path / "b.gz", "wt") as f:
         f.write("to\tbe\t3\n")
-    assert [(r["ngram"], r["count"]) for r in lines.read_ngrams(spark, str(tmp_path / "a.tsv"), 2).collect()] == [(["of", "the"], 7)]
+    got = lines.read_ngrams(spark, str(tmp_path / "a.tsv"), 2)
+    assert [tuple(r) for r in got.collect()] == [(["of", "the"], 7, None), (["bad", "line"], None, "width"), (["no", "number"], None, "count")]
+    assert {tuple(r) for r in lines.reject_counts(got).collect()} == {("width", 1), ("count", 1)}
     got = lines.read_ngrams(spark, str(tmp_path / "b.gz"), 2)
     assert [(r["ngram"], r["count"]) for r in got.collect()] == [(["to", "be"], 3)]
     lines.write_ngrams(got, str(tmp_path / "out"))
@@ -36,9 +38,9 @@ def test_raw_and_vocabulary(spark, tmp_path):
 
 def test_rejects_go_their_own_way(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "unindexed")], "w1 int, reject string")
-    lines.write_with_rejects(df, str(tmp_path / "ok"), str(tmp_path / "no"))
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == [(1,)]
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "no")).collect()] == [(2, "unindexed")]
+    lines.write_with_rejects(df, str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "rejected=false")).collect()] == [(1, None)]
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "rejected=true")).collect()] == [(2, "unindexed")]
     assert [tuple(r) for r in lines.reject_counts(df).collect()] == [("unindexed", 1)]
 
 
