@@ -155,10 +155,17 @@ def parse_text(texts: DataFrame, vocab: DataFrame, id_col: str, text_col: str =
     return each.join(vocab.select("token", "token_id"), "token", "left").select(id_col, "sent", "pos", "token", "token_id")
 
 
+def numbered(table: DataFrame, n: int) -> DataFrame:
+    """w1..wn, count with row_id (from 1, in the order of the ids), written in that order: readers of a range of rows or
+    of ids skip the files that hold others. Number a table once, and look rows up as often as needed."""
+    words = [f"w{i}" for i in range(1, n + 1)]
+    return saved(row_ids(table, words).sortWithinPartitions("row_id"), "numbered")
+
+
 def explore(table: DataFrame, n: int, first: int, last: int, step: int = 1, vocab: DataFrame | None = None) -> DataFrame:
-    """Rows number first, first + step, ... up to last (from 1, in the order of the ids), with words if a vocabulary is given."""
+    """Rows number first, first + step, ... up to last of a numbered table, with words if a vocabulary is given."""
     words = [f"w{i}" for i in range(1, n + 1)]
-    rows = row_ids(table, words).filter((F.col("row_id") >= first) & (F.col("row_id") <= last) & ((F.col("row_id") - first) % step == 0))
+    rows = table.filter((F.col("row_id") >= first) & (F.col("row_id") <= last) & ((F.col("row_id") - first) % step == 0))
     for w in words if vocab is not None else []:
         rows = rows.join(vocab.select(F.col("token_id").alias(w), F.col("token").alias(f"{w}_token")), w, "left")
     return rows

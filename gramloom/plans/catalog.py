@@ -381,6 +381,31 @@ def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("item_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("bits").isNull()).alias("n_impossible"), F.round(F.coalesce(F.sum("bits"), F.lit(0.0)), 4).alias("bits"), *per_unit)
 
 
+def offset_model(spark: SparkSession, sf_dir: str, n_max: int) -> backoff.BackoffModel:
+    """The documents' model with an offset of 35, from forty-fold counts."""
+    found = {n: saved(t.withColumn("count", F.col("count") * O.TIMES)) for n, t in tables(spark, sf_dir, n_max).items()}
+    return backoff.BackoffModel(found, offset=O.OFFSET)
+
+
+@query(O.INTERVALS)
+def backoff_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact way to each token of the benchmark behind its two predecessors, back-offs and all."""
+    own = sentences(spark, sf_dir, "benchmark", "item_id").select("tokens", F.posexplode("tokens").alias("pos", "w"))
+    before = lambda k: F.when(F.col("pos") >= k, F.get("tokens", F.col("pos") - k))
+    out = offset_model(spark, sf_dir, 3).intervals(own.select(before(2).alias("c1"), before(1).alias("c2"), "w").distinct())
+    parts = F.array_join(F.transform("parts", lambda p: F.concat_ws("/", p["lo"], p["hi"], p["total"])), " ")
+    return out.select(F.concat_ws(" ", "c1", "c2", "w").alias("ngram"), F.coalesce(parts, F.lit("-")).alias("parts"))
+
+
+@query(O.NEXT_BACKOFF)
+def backoff_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token that holds three intervals behind each word of the benchmark."""
+    marks = F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("num"), F.lit(b).cast("long").alias("size"), F.lit(1061).cast("long").alias("den")) for a, b in ((13, 1), (500, 10), (999, 1)))))
+    asks = asked_windows(spark, sf_dir, 2).select("c1").distinct().select("c1", marks.alias("m")).select("c1", "m.*")
+    out = offset_model(spark, sf_dir, 2).next_words(asks)
+    return out.select(F.col("c1").alias("context"), "num", F.coalesce("w", F.lit("")).alias("word"), F.coalesce("level", F.lit(0)).alias("level"))
+
+
 # -- letters, bits, codec -------------------------------------------------------------------------------------------
 
 
@@ -432,11 +457,18 @@ def letter_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("tokens")).filter(F.size("tokens") > 0)
 
 
-@query()
+@query(
+    O.with_letters("""
+    , m AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(x), '[a-z .]')) AS token FROM (SELECT conv_id, turn, {x} AS x FROM conversations)), t AS (SELECT sum(count) AS n FROM lc)
+    SELECT conv_id, turn, count(*) AS n_tokens, round(sum(-log2(count / n)), 6) AS entropy, true AS exact, true AS few_bits FROM m JOIN lc USING (token), t GROUP BY 1, 2
+    """.replace("{x}", O.ascii_("text")))
+)
 def letter_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode and decode each conversation turn under the documents' letters."""
+    """Encode and decode each conversation turn under the documents' letters: whether its bits give it back, and whether
+    they are no more than two over its entropy."""
     own = letter_messages(spark, sf_dir)
-    return codec.round_trips(own.repartition(spark.sparkContext.defaultParallelism), codec.letter_model(letters(spark, sf_dir)), ["conv_id", "turn"])
+    out = codec.round_trips(own.repartition(spark.sparkContext.defaultParallelism), codec.letter_model(letters(spark, sf_dir)), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", "n_tokens", F.round("entropy", 6).alias("entropy"), "exact", (F.col("n_bits") <= F.ceil("entropy") + 2).alias("few_bits"))
 
 
 def character_tables(spark: SparkSession, sf_dir: str, n_max: int) -> dict[int, DataFrame]:
@@ -450,7 +482,10 @@ def characters(words: Column) -> Column:
     return F.concat(F.array(F.lit(START)), F.filter(F.split(line, ""), lambda c: c != ""), F.array(F.lit(END)))
 
 
-@query()
+@query(
+    rf"""WITH {O._asked('benchmark')}, l AS (SELECT item_id, sent, regexp_replace(lower({O.ascii_("array_to_string(tokens[2:len(tokens) - 1], '_')")}), '[^!-~]', '', 'g') AS s FROM raw_asked)
+    SELECT item_id, sent::INT AS sent, length(s)::INT + 2 AS n_tokens, true AS revealed, true AS differs FROM l"""
+)
 def hide_and_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hide each benchmark item's sentences in sentences of the documents' characters, under the item's id as the key, and reveal them."""
     own = sentences(spark, sf_dir, "benchmark", "item_id", normalise=False)
@@ -458,7 +493,8 @@ def hide_and_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = characters(F.split(F.concat(F.lit("the key of item "), F.col("item_id").cast("string")), " "))
     asks = own.select("item_id", "sent", "tokens", key.alias("key")).repartition(spark.sparkContext.defaultParallelism)
     model = codec.backoff_model(character_tables(spark, sf_dir, 3))
-    return codec.hide_and_reveal(asks, model, ["item_id", "sent"])
+    out = codec.hide_and_reveal(asks, model, ["item_id", "sent"]).join(own, ["item_id", "sent"])
+    return out.select("item_id", "sent", F.size("tokens").alias("n_tokens"), "revealed", (F.col("stego") != F.array_join("tokens", " ")).alias("differs"))
 
 
 # -- lines, files, streams ------------------------------------------------------------------------------------------

@@ -254,3 +254,71 @@ def with_letters(sql: str) -> str:
 def with_lines(sql: str) -> str:
     return f"""WITH x AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS ls FROM documents WHERE text <> ''),
     lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM x) {sql}"""
+
+
+#: Counts are told forty-fold, as from a corpus of forty times the size, so that an offset of 35 is less than each.
+TIMES, OFFSET = 40, 35
+
+
+def _backoff_base(orders: int) -> str:
+    """Sums, left-out tokens and running sums of the back-off model with an offset, of orders 1 to `orders`."""
+    out = f"""
+    u1 AS MATERIALIZED (SELECT w1, count * {TIMES} AS u, count * {TIMES} - {OFFSET} AS a, w1 <> '_START_' AS ok FROM k1),
+    u2 AS MATERIALIZED (SELECT w1, w2, count * {TIMES} AS u, count * {TIMES} - {OFFSET} AS a, NOT (w2 = '_START_' OR (w1 = '_START_' AND w2 = '_END_')) AS ok FROM k2),
+    p1 AS MATERIALIZED (SELECT w1, a, (sum(a) OVER (ORDER BY w1) - a)::BIGINT AS cum FROM u1 WHERE ok),
+    p2 AS MATERIALIZED (SELECT w1, w2, a, (sum(a) OVER (PARTITION BY w1 ORDER BY w2) - a)::BIGINT AS cum FROM u2 WHERE ok),
+    s1 AS MATERIALIZED (SELECT sum(u)::BIGINT AS acc, sum(a)::BIGINT AS adj FROM u1 WHERE ok),
+    s2 AS MATERIALIZED (SELECT w1, coalesce(sum(u) FILTER (ok), 0)::BIGINT AS acc, coalesce(sum(a) FILTER (ok), 0)::BIGINT AS adj, coalesce(sum(u) FILTER (NOT ok), 0)::BIGINT AS rej FROM u2 GROUP BY 1),
+    e1 AS MATERIALIZED (SELECT b, p1.w1 AS w, p1.a, p1.cum, (sum(p1.a) OVER (PARTITION BY b ORDER BY p1.w1) - p1.a)::BIGINT AS before, u1.u
+           FROM (SELECT w1 AS b, w2 AS w FROM k2 UNION SELECT '_START_', '_END_') x JOIN p1 ON p1.w1 = x.w JOIN u1 ON u1.w1 = x.w),
+    n1 AS MATERIALIZED (SELECT b, sum(u)::BIGINT AS u, sum(a)::BIGINT AS a FROM e1 GROUP BY 1)"""
+    if orders == 3:
+        out += f""",
+    u3 AS MATERIALIZED (SELECT w1, w2, w3, count * {TIMES} AS u, count * {TIMES} - {OFFSET} AS a, NOT (w3 = '_START_' OR (w2 = '_START_' AND w3 = '_END_')) AS ok FROM k3),
+    p3 AS MATERIALIZED (SELECT w1, w2, w3, a, (sum(a) OVER (PARTITION BY w1, w2 ORDER BY w3) - a)::BIGINT AS cum FROM u3 WHERE ok),
+    s3 AS MATERIALIZED (SELECT w1, w2, coalesce(sum(u) FILTER (ok), 0)::BIGINT AS acc, coalesce(sum(a) FILTER (ok), 0)::BIGINT AS adj, coalesce(sum(u) FILTER (NOT ok), 0)::BIGINT AS rej FROM u3 GROUP BY 1, 2),
+    e2 AS MATERIALIZED (SELECT u3.w1 AS b, u2.w1 AS c, u2.w2 AS w, u2.a, u2.u FROM u3 JOIN u2 ON u2.w1 = u3.w2 AND u2.w2 = u3.w3 WHERE u2.ok),
+    n2 AS MATERIALIZED (SELECT b, c, sum(u)::BIGINT AS u, sum(a)::BIGINT AS a FROM e2 GROUP BY 1, 2)"""
+    return out
+
+
+def _weighed(adj: str, acc: str, tot: str) -> str:
+    return f"CASE WHEN {acc} > 0 THEN ceil(CAST({adj} AS DOUBLE) / CAST({acc} AS DOUBLE) * (CAST({BETA} AS DOUBLE) * ({tot} - {acc}) + CAST({GAMMA} AS DOUBLE) * {tot}))::BIGINT END"
+
+
+INTERVALS = f"""WITH {_corpus()}, {_COUNTS}, {_CONSISTENT}, {_asked('benchmark')}, {_backoff_base(3)},
+    each AS (SELECT CASE WHEN pos >= 3 THEN tokens[pos - 2] END AS c1, CASE WHEN pos >= 2 THEN tokens[pos - 1] END AS c2, tokens[pos] AS w FROM (SELECT tokens, unnest(range(1, len(tokens) + 1)) AS pos FROM asked)),
+    q AS MATERIALIZED (SELECT DISTINCT c1, c2, w, (w = '_START_' OR coalesce(c2 = '_START_' AND w = '_END_', false)) AS barred FROM each),
+    g2 AS MATERIALIZED (SELECT q.c1, q.c2, q.w, max(g)::BIGINT AS gone FROM q JOIN (SELECT b, c, w, sum(a) OVER (PARTITION BY b, c ORDER BY w) AS g FROM e2) e ON e.b = q.c1 AND e.c = q.c2 AND e.w < q.w GROUP BY ALL),
+    g1 AS MATERIALIZED (SELECT q.c2, q.w, max(e1.before + e1.a)::BIGINT AS gone FROM (SELECT DISTINCT c2, w FROM q) q JOIN e1 ON e1.b = q.c2 AND e1.w < q.w GROUP BY ALL),
+    j AS (SELECT q.*, s3.acc AS acc3, s3.adj AS adj3, x3.u - s3.rej AS tot3, p3.a AS a3, p3.cum AS b3,
+                 s2.acc - coalesce(n2.u, 0) AS acc2, s2.adj - coalesce(n2.a, 0) AS adj2, x2.u - s2.rej - coalesce(n2.u, 0) AS tot2, p2.a AS a2, p2.cum - coalesce(g2.gone, 0) AS b2,
+                 (SELECT adj FROM s1) - coalesce(n1.a, 0) AS adj1, p1.a AS a1, p1.cum - coalesce(g1.gone, 0) AS b1
+          FROM q LEFT JOIN s3 ON s3.w1 = q.c1 AND s3.w2 = q.c2 LEFT JOIN u2 x3 ON x3.w1 = q.c1 AND x3.w2 = q.c2 LEFT JOIN p3 ON p3.w1 = q.c1 AND p3.w2 = q.c2 AND p3.w3 = q.w
+          LEFT JOIN s2 ON s2.w1 = q.c2 LEFT JOIN u1 x2 ON x2.w1 = q.c2 LEFT JOIN n2 ON n2.b = q.c1 AND n2.c = q.c2 LEFT JOIN p2 ON p2.w1 = q.c2 AND p2.w2 = q.w
+          LEFT JOIN g2 ON g2.c1 = q.c1 AND g2.c2 = q.c2 AND g2.w = q.w LEFT JOIN n1 ON n1.b = q.c2 LEFT JOIN p1 ON p1.w1 = q.w LEFT JOIN g1 ON g1.c2 = q.c2 AND g1.w = q.w),
+    f AS (SELECT *, adj2 + {_weighed('adj2', 'acc2', 'tot2')} AS f2, adj3 + {_weighed('adj3', 'acc3', 'tot3')} AS f3 FROM j),
+    y1 AS (SELECT *, CASE WHEN a1 IS NOT NULL AND NOT barred AND adj1 > 0 THEN concat(b1, '/', b1 + a1, '/', adj1) END AS way1 FROM f),
+    y2 AS (SELECT *, CASE WHEN a2 IS NOT NULL AND NOT barred THEN concat(b2, '/', b2 + a2, '/', f2) WHEN acc2 IS NULL OR acc2 <= 0 THEN way1 ELSE adj2 || '/' || f2 || '/' || f2 || ' ' || way1 END AS way2 FROM y1),
+    y3 AS (SELECT *, CASE WHEN a3 IS NOT NULL AND NOT barred THEN concat(b3, '/', b3 + a3, '/', f3) WHEN acc3 IS NULL OR acc3 <= 0 THEN way2 ELSE adj3 || '/' || f3 || '/' || f3 || ' ' || way2 END AS way3 FROM y2)
+    SELECT concat_ws(' ', c1, c2, w) AS ngram, coalesce(CASE WHEN c2 IS NULL THEN CASE WHEN w = '_START_' THEN '' END WHEN c1 IS NULL THEN way2 ELSE way3 END, '-') AS parts FROM y3
+    """
+
+NEXT_BACKOFF = f"""WITH {_corpus()}, {_counted(1)}, {_counted(2)},
+    k2 AS MATERIALIZED (SELECT * FROM t2),
+    k1 AS MATERIALIZED (SELECT w1, max(count)::BIGINT AS count FROM (SELECT * FROM t1 UNION ALL SELECT w1, sum(count) FROM t2 GROUP BY 1 UNION ALL SELECT w2, sum(count) FROM t2 GROUP BY 1) GROUP BY 1),
+    {_asked('benchmark')}, {_backoff_base(2)},
+    q AS MATERIALIZED (SELECT c1, unnest([13, 500, 999])::HUGEINT AS num, unnest([1, 10, 1])::HUGEINT AS size, 1061::HUGEINT AS den FROM (SELECT DISTINCT g[1] AS c1 FROM (SELECT {windows(2)} AS g FROM asked))),
+    f AS (SELECT q.*, s2.acc, s2.adj, {_weighed('s2.adj', 's2.acc', '(u1.u - s2.rej)')} AS v FROM q LEFT JOIN s2 ON s2.w1 = c1 LEFT JOIN u1 ON u1.w1 = c1),
+    l2 AS MATERIALIZED (SELECT *, (num * (adj + v)) // den AS lo, ((num + size) * (adj + v) + den - 1) // den AS hi FROM f),
+    w2 AS (SELECT c1, num, p2.w2 AS w, 2 AS level FROM l2 JOIN p2 ON p2.w1 = c1 AND p2.cum <= lo AND p2.cum + p2.a >= hi WHERE acc > 0 AND hi <= adj),
+    r AS (SELECT c1, num AS id, num, num + size AS upto, den FROM l2 WHERE coalesce(acc, 0) <= 0
+          UNION ALL SELECT c1, num, num * (adj + v) - adj * den, (num + size) * (adj + v) - adj * den, den * v FROM l2 WHERE acc > 0 AND lo >= adj AND v > 0),
+    t AS (SELECT r.*, (SELECT adj FROM s1) - coalesce(n1.a, 0) AS top FROM r LEFT JOIN n1 ON n1.b = c1),
+    l1 AS MATERIALIZED (SELECT c1, id, (num * top) // den AS lo, (upto * top + den - 1) // den AS hi FROM t WHERE top > 0),
+    gone AS MATERIALIZED (SELECT l1.c1, id, max(before + a)::BIGINT AS g FROM l1 JOIN e1 ON e1.b = l1.c1 AND e1.cum - e1.before <= l1.lo GROUP BY ALL),
+    spot AS MATERIALIZED (SELECT l1.c1, l1.id, (lo + coalesce(g, 0))::BIGINT AS lo, (hi + coalesce(g, 0))::BIGINT AS hi FROM l1 LEFT JOIN gone USING (c1, id)),
+    a1 AS (SELECT spot.*, p1.w1 AS w, p1.cum + p1.a AS ends FROM spot ASOF JOIN p1 ON spot.lo >= p1.cum),
+    found AS (SELECT * FROM w2 UNION ALL SELECT c1, id, w, 1 FROM a1 WHERE ends >= hi)
+    SELECT q.c1 AS context, q.num::BIGINT AS num, coalesce(w, '') AS word, coalesce(level, 0)::INT AS level FROM q LEFT JOIN found USING (c1, num)
+    """

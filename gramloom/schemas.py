@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 START, END = "_START_", "_END_"
 #: Partitions of the vocabulary, in their order; tokens of `_` begin with anything else.
 PARTITIONS = "0123456789_abcdefghijklmnopqrstuvwxyz"
-#: Prefixes that share the partition `_`.
-SPECIAL_PREFIXES = ["other", "punctuation"]
 #: Part-of-speech tags.
 POS_TAGS = ["NOUN", "VERB", "ADJ", "ADV", "PRON", "DET", "ADP", "NUM", "CONJ", "PRT", ".", "X"]
 #: Fixed value: the word that tagged corpora put where a word is withheld.
@@ -24,11 +24,6 @@ def raw_schema(n: int) -> StructType:
     return StructType([StructField(c, StringType()) for c in word_columns(n)] + [StructField("year", IntegerType()), StructField("match_count", LongType()), StructField("volume_count", LongType())])
 
 
-def counts_schema(token=StringType) -> StructType:
-    """Counts of n-grams of all orders: n, ngram, count."""
-    return StructType([StructField("n", IntegerType()), StructField("ngram", ArrayType(token())), StructField("count", LongType())])
-
-
 def cumulative_schema(n: int) -> StructType:
     """Ids of n words with the half-open range [cf1, cf2) of their cumulative frequency."""
     return StructType([StructField(c, IntegerType()) for c in word_columns(n)] + [StructField("cf1", LongType()), StructField("cf2", LongType())])
@@ -43,5 +38,6 @@ def vocabulary_schema() -> StructType:
     return StructType([StructField("token_id", IntegerType()), StructField("token", StringType()), StructField("part", StringType())])
 
 
-def ngram_file_name(n: int, prefix: str, corpus: str = "corpus") -> str:
-    return f"{corpus}-{n}gram-{prefix}"
+def ngram_file_name(n: Column, prefix: Column, corpus: str = "corpus") -> Column:
+    """The name of the file that holds a prefix of an order."""
+    return F.concat(F.lit(f"{corpus}-"), n.cast("string"), F.lit("gram-"), prefix)

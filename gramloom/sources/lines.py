@@ -51,6 +51,27 @@ def write_ngrams(counts: DataFrame, path: str) -> None:
     counts.select(F.concat_ws("\t", "ngram", F.col("count").cast("string")).alias("value")).write.text(path)
 
 
+def write_vocabulary(vocab: DataFrame, path: str) -> None:
+    """token_id, token, part as tab-parted lines; nothing is quoted."""
+    vocab.select(F.concat_ws("\t", "token_id", "token", "part").alias("value")).write.text(path)
+
+
+def write_histogram(grams: DataFrame, path: str) -> None:
+    """n, gram, count in one folder for each n, its rows from the most frequent down."""
+    grams.repartitionByRange("n", F.desc("count")).sortWithinPartitions("n", F.desc("count"), "gram").write.partitionBy("n").parquet(path)
+
+
+def write_ranges_json(ranges: DataFrame, path: str) -> None:
+    """part, lo, hi (a row per partition of the vocabulary) as one JSON object of pairs."""
+    pairs = ranges.agg(F.map_from_entries(F.collect_list(F.struct("part", F.array(F.col("lo").cast("long"), F.col("hi").cast("long"))))).alias("m"))
+    pairs.select(F.to_json("m").alias("value")).coalesce(1).write.text(path)
+
+
+def read_ranges_json(spark: SparkSession, path: str) -> DataFrame:
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<bigint>>").alias("m"))
+    return whole.select(F.explode("m").alias("part", "r")).select("part", F.col("r")[0].alias("lo"), F.col("r")[1].alias("hi"))
+
+
 def write_partitioned(counts: DataFrame, path: str, *by: str) -> None:
     """One folder per order and prefix; rows of a folder come from one task each, and hot ones may be split."""
     counts.hint("rebalance", *by).write.partitionBy(*by).mode("append").parquet(path)

