@@ -9,6 +9,7 @@ of sequences and only its last ones stay part empty, splitting costs a sequence
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,7 @@ SOME = 1024
 
 @lru_cache(4)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks keep the cores busy; threads of its own would only wait for them
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
