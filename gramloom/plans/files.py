@@ -237,7 +237,7 @@ def seeded_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def encoded_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation turn as one exact interval: letters joined with their ranges, folded in order."""
-    model = C.letters(spark, sf_dir)
+    model = saved(C.letters(spark, sf_dir), "letters")
     total = model.agg(F.max("cf2").alias("total"))
     own = codec.encode_independent(C.letter_messages(spark, sf_dir), model.crossJoin(F.broadcast(total)), ["conv_id", "turn"])  # one row
     sizes = C.letter_messages(spark, sf_dir).select("conv_id", "turn", F.size("tokens").cast("long").alias("n_letters"))
