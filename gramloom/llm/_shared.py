@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -196,21 +198,59 @@ class Pool:
 
 _WORD = np.zeros(256, bool)
 _WORD[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = True
-_WORD[128:] = True
+#: Scripts written without blanks between words (Thai, Lao, Myanmar, Khmer, kana, Han): first and last code point.
+UNSPACED = [(0x0E00, 0x0E7F), (0x0E80, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)]
+
+
+@lru_cache(1)
+def _word_kinds() -> np.ndarray:
+    """Of each code point: 0 stands between words, 1 is part of one (letters, marks and numbers), 2 is a word by itself."""
+    out = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), np.uint8, 0x110000)
+    for low, high in UNSPACED:
+        out[low : high + 1] *= 2
+    return out
+
+
+def word_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each byte of UTF-8 is part of a word; and begin and end of the characters that are words by themselves.
+
+    Bytes that are no UTF-8 stand between words.
+    """
+    inside = _WORD[data]
+    at = np.flatnonzero(data >= 0xC0)
+    if not len(at):
+        return inside, at, at
+    lead = data[at]
+    wide = 1 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)  # further bytes
+    point = (lead & np.array([0, 0x1F, 0x0F, 0x07], np.uint8)[wide]).astype(np.int64)
+    good = at + wide < len(data)
+    for k in (1, 2, 3):
+        more = np.flatnonzero((wide >= k) & good)
+        byte = data[at[more] + k]
+        good[more] = (byte & 0xC0) == 0x80
+        point[more] = point[more] << 6 | (byte & 0x3F)
+    good &= point < 0x110000
+    at, wide, kind = at[good], wide[good], _word_kinds()[point[good]]
+    for k in range(4):
+        inside[at[(wide >= k) & (kind > 0)] + k] = True
+    alone = kind == 2
+    return inside, at[alone], (at + wide + 1)[alone]
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the number of the first word of each row (one more than rows).
 
-    A word is a run of ASCII letters, digits and bytes over 127; rows never share one.
+    A word is a run of letters, marks and numbers, as Unicode has them; each such character of a script written without
+    blanks is a word by itself. Rows never share one.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = _WORD[data]
+    inside, alone, behind = word_bytes(data)
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
-    edge = offsets[(offsets > 0) & (offsets < len(data))]
+    edge = np.concatenate([offsets, alone, behind])
+    edge = edge[(edge > 0) & (edge < len(data))]
     begin[edge] = inside[edge]
     end[edge - 1] = inside[edge - 1]
     starts = np.flatnonzero(begin)

@@ -1,7 +1,7 @@
 """Cross-entropy difference: each document's loss under a target model less its loss under a background model.
 
-Both are bigram models over one vocabulary, alike in all but their corpus. Words are runs of letters and digits in
-lower case; the vocabulary is every word of all documents, of WORDS words at least. Words and pairs of words are told
+Both are bigram models over one vocabulary, alike in all but their corpus. Words are those of
+_shared.word_spans, in lower case; the vocabulary is every word of all documents, of WORDS words at least. Words and pairs of words are told
 apart by 64-bit hashes, and each of them has counts of its own, however many there are.
 
     p(w)   = (c(w) + 1) / (N + V)                  V: the distinct words of all documents, or WORDS if there are fewer

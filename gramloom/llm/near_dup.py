@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import _WORD, U64, fresh, given_back, mix, slices, small_batches, span_hashes, text_of, utf8, word_spans, written
+from gramloom.llm._shared import U64, fresh, given_back, mix, slices, small_batches, span_hashes, text_of, utf8, word_bytes, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -171,7 +171,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
 
 def copy_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """The SHA-256 of each row's words, one blank between two; of the row itself, marked, if it has no word."""
-    plain, raw = np.where(_WORD[data], data, np.uint8(32)).tobytes(), data.tobytes()
+    plain, raw = np.where(word_bytes(data)[0], data, np.uint8(32)).tobytes(), data.tobytes()
     out = []
     for a, b in pairwise(offsets.tolist()):
         words = plain[a:b].split()

@@ -34,6 +34,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
+#: Full stops, question and exclamation marks of other scripts (CJK, Devanagari, Arabic).
+MARKS = ["。", "！", "？", "।", "؟"]
+
+
+def sentence_ends(data: np.ndarray) -> np.ndarray:
+    """Whether a sentence ends at each byte of UTF-8 (at the last of a mark of several)."""
+    out = _ENDS[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    for mark in map(str.encode, MARKS if len(lead) else []):
+        at = lead[lead + len(mark) <= len(data)]
+        for k, byte in enumerate(mark):
+            at = at[data[at + k] == byte]
+        out[at + len(mark) - 1] = True
+    return out
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 5, remainder: int = 0) -> Column:
@@ -45,7 +59,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     data = _LOWER[data]
     start, end, first = word_spans(data, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    ends = np.concatenate([[0], np.cumsum(_ENDS[data])])
+    ends = np.concatenate([[0], np.cumsum(sentence_ends(data))])
     sentence = ends[start] + row
     found = [span_hashes(data, start, end) ^ np.uint64(0x51)]
     which = [np.arange(len(start))]
