@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramloom.llm import bpe, exact_dedup, fixity, html_text, language_id, lm_scoring, media, near_dup, packing, toxicity
+from gramloom.llm import bpe, centroids, exact_dedup, fixity, html_text, language_id, lm_scoring, media, near_dup, packing, toxicity
 from gramloom.llm._shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,29 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
     return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+def _cluster_sql() -> str:
+    """Three rounds and a last assignment; floor(sum / n) in whole numbers."""
+    out = """WITH k AS MATERIALIZED (
+        SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM k ORDER BY h, v LIMIT 16))"""
+    for i in range(4):
+        out += f""",
+    a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS m
+        FROM (SELECT k.r, vec_id, k.v, c, CAST(list_sum(list_transform(list_zip(k.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM k, c{i}) GROUP BY r)"""
+        if i < 3:
+            out += f""",
+    e{i} AS (SELECT m.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{i}),
+    f{i} AS (SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e{i} GROUP BY c, j),
+    g{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM f{i} GROUP BY c),
+    c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(g{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN g{i} ON g{i}.c = c{i}.c)"""
+    return out + """
+    SELECT vec_id, CAST(m.c AS INT) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON c3.c = m.c"""
+
+
+@query("op13_centroid_clusters", _cluster_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
