@@ -329,8 +329,11 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     every = single.select("node", F.explode("parts").alias("key"))
     hubs = written(every.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("met")).filter("met > 1"), "hubs")
-    edges = given_back(every, hubs, ["key"], "met").filter("hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(edges)
+    met = written(given_back(every, hubs, ["key"], "met").filter("hub IS NOT NULL").select("node", "hub"), "met")
+    # A node's first hub stands for it in its other entries: one edge a node, and those between hubs.
+    first = met.groupBy("node").agg(F.min("hub").alias("a"))
+    between = met.join(first, "node").filter("a <> hub").select("a", F.col("hub").alias("b"))
+    clusters = components(first.filter("node <> a").select("a", F.col("node").alias("b")).union(between).distinct())
     members = written(clusters.join(single.select("node", "n", "doc_id", "text_key"), "node"), "members")
 
     sets = _sets(docs, members.select("node", "doc_id", "text_key"), id_col, text_col, size)
