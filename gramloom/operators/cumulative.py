@@ -5,11 +5,15 @@ A context of n-1 words has the range [CF1, CF2) of all n-grams it begins; a word
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gramloom.functions import exact
 from gramloom.operators.counts import part_rank, prefix_sums
+from gramloom.operators.scan import carried
 from gramloom.sources.store import saved
 
 
@@ -86,43 +90,34 @@ class CumulativeModel:
     def next_words(self, requests: DataFrame) -> DataFrame:
         """Requests of c1..c(n_max-1), and num, size, den (longs: the interval [num/den, (num+size)/den)), with w and
         level: the word whose range holds the whole interval in the longest known context; null if it straddles two."""
+        asked = requests.withColumn("interval", exact.of_longs(F.col("num"), F.col("size"), F.col("den")))
+        return self.next_tokens(asked).drop("interval")
+
+    def next_tokens(self, requests: DataFrame) -> DataFrame:
+        """The same for requests of c1..c(n_max-1) and interval (exact.EXACT, of any size).
+
+        An interval's begin is a place on the axis of cumulative counts of its order, and each place there lies in one
+        range: an as-of scan of places and ranges finds it, in whatever context, without comparing any two of a context.
+        """
         m = self.n_max - 1
         ask = [f"c{i}" for i in range(1, m + 1)]
-        asked = saved(requests.withColumn("_id", F.monotonically_increasing_id()))
+        asked = saved(requests.withColumn("_id", F.monotonically_increasing_id()), "asks")
         behind = {}
-        level = asked
+        level = asked.select("_id", *ask, "interval")
         for n in range(self.n_max, 0, -1):
             keys = ask[len(ask) - (n - 1) :]
             behind[n] = saved(self._asked(asked, n, keys)) if keys else self._asked(asked, n, keys)
             whole = behind[n].groupBy(*keys).agg(F.min("cf1").alias(f"from{n}"), F.max("cf2").alias(f"to{n}"))
-            level = level.join(whole, keys, "left") if keys else level.crossJoin(F.broadcast(whole))
+            level = level.join(whole, keys, "left") if keys else level.crossJoin(F.broadcast(whole))  # one row
         orders = range(self.n_max, 0, -1)
         level = level.withColumn("level", F.coalesce(*(F.when(F.col(f"from{n}").isNotNull(), n) for n in orders)))
         base = F.coalesce(*(F.col(f"from{n}") for n in orders))
         total = F.coalesce(*(F.col(f"to{n}") - F.col(f"from{n}") for n in orders))
-        wide = lambda x: x.cast("decimal(38,0)")
-        scaled = level.withColumn("_lo", base + F.call_function("div", wide(F.col("num")) * wide(total), wide(F.col("den"))))
-        scaled = saved(scaled.withColumn("_hi", base + F.call_function("div", wide(F.col("num") + F.col("size")) * wide(total) + wide(F.col("den") - 1), wide(F.col("den")))).select("_id", *ask, "level", "_lo", "_hi"))
+        placed = level.select("_id", "level", base.alias("_base"), exact.scaled(F.col("interval"), total).alias("_to"))
+        placed = saved(placed.select("_id", "level", (F.col("_base") + F.col("_to.at")).alias("_lo"), (F.col("_base") + F.col("_to.upto")).alias("_hi")))
         found = []
         for n in orders:
-            keys = ask[len(ask) - (n - 1) :]
-            here = scaled.filter(F.col("level") == n)
-            if keys:
-                joined = here.join(behind[n], keys)
-            else:  # without a context only the order of ranges helps: both sides meet in ranges of the cumulative count
-                joined = by_range(here, self.ranges[1].select(F.col("w1").alias("w"), "cf1", "cf2"))
-            found.append(joined.filter("cf1 <= _lo AND cf2 >= _hi").select("_id", "w"))
-        words_found = found[0]
-        for more in found[1:]:
-            words_found = words_found.unionByName(more)
-        return asked.join(scaled.select("_id", "level"), "_id").join(words_found, "_id", "left").drop("_id")
-
-
-def by_range(asks: DataFrame, ranges: DataFrame, cells: int = 4096) -> DataFrame:
-    """Candidate pairs of asks (_lo, _hi) and ranges (cf1, cf2): both are cut into equal cells of the whole range, so
-    that an equi-join on the cell of _lo replaces the comparison of all with all."""
-    top = ranges.agg(F.max("cf2").alias("_top"))
-    cell = lambda x: F.least(F.lit(cells - 1), F.floor(x.cast("double") / F.col("_top") * cells)).cast("int")
-    left = asks.crossJoin(F.broadcast(top)).withColumn("_cell", cell(F.col("_lo"))).drop("_top")
-    right = ranges.crossJoin(F.broadcast(top)).withColumn("_cell", F.explode(F.sequence(cell(F.col("cf1")), cell(F.col("cf2") - 1)))).drop("_top")
-    return left.join(right, "_cell").drop("_cell")
+            here = placed.filter(F.col("level") == n)
+            met = carried(here, behind[n].select("w", "cf1", "cf2"), [], "_lo", "cf1", ["w", "cf2"])
+            found.append(met.filter("cf2 >= _hi").select("_id", "w"))
+        return asked.join(placed.select("_id", "level"), "_id").join(reduce(DataFrame.unionByName, found), "_id", "left").drop("_id")

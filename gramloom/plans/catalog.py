@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from gramloom.functions import intervals as I
 from gramloom.functions import text as T
-from gramloom.operators import backoff, codec, counts, cumulative, ngrams, tagged
+from gramloom.operators import backoff, codec, counts, cumulative, models, ngrams, tagged
 from gramloom.plans import oracle as O
 from gramloom.schemas import END, PARTITIONS, START
 from gramloom.sources import lines as L
-from gramloom.sources.store import saved
+from gramloom.sources.store import saved, scratch
 from gramloom.streaming import status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,11 +49,21 @@ def told(counts_: DataFrame) -> DataFrame:
     return counts_.select(F.array_join("ngram", " ").alias("ngram"), "count")
 
 
-def tables(spark: SparkSession, sf_dir: str, n_max: int) -> dict[int, DataFrame]:
-    """Consistent counts of the documents' n-grams, w1..wn and count, written once."""
-    base = sentences(spark, sf_dir)
-    found = counts.consistent(counts.ngram_counts(base, n_max))
-    return {n: t.select(*(F.col("ngram")[i].alias(f"w{i + 1}") for i in range(n)), "count") for n, t in found.items()}
+_models: dict[tuple[str, str], models.NgramModel] = {}
+
+
+def model(spark: SparkSession, sf_dir: str) -> models.NgramModel:
+    """The documents' models of orders 1 to 3: a folder that an application makes once and asks often."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        _models[key] = models.NgramModel(models.Folder(spark, scratch(spark, "model")), lambda: sentences(spark, sf_dir), 3)
+    return _models[key]
+
+
+def asked(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Every token of the benchmark's sentences behind its n - 1 predecessors, as ids and as tokens."""
+    own = model(spark, sf_dir).asked_ids(sentences(spark, sf_dir, "benchmark", "item_id"), ["item_id", "sent"])
+    return models.context_windows(own, ["item_id", "sent"], n)
 
 
 # -- text -----------------------------------------------------------------------------------------------------------
@@ -233,23 +243,14 @@ def mark_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- cumulative models ----------------------------------------------------------------------------------------------
 
 
-def id_model(spark: SparkSession, sf_dir: str, n_max: int) -> tuple[DataFrame, dict[int, DataFrame]]:
-    found = counts.ngram_counts(sentences(spark, sf_dir), n_max)
-    vocab = saved(counts.vocabulary(found[1]))
-    ids = {n: counts.id_table(counts.translate(t, vocab, n), n) for n, t in found.items()}
-    return vocab, {n: cumulative.cumulative(t, n) for n, t in ids.items()}
-
-
 @query(O.with_ranges("SELECT w1, cf1, cf2 FROM r1"))
 def cumfreq_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = counts.order_counts(sentences(spark, sf_dir), 1)
-    found = saved(found)
-    return cumulative.cumulative(counts.id_table(counts.translate(found, saved(counts.vocabulary(found)), 1), 1), 1)
+    return model(spark, sf_dir).ranges(1)
 
 
 @query(O.with_ranges("SELECT w1, min(cf1) AS cf1, max(cf2) AS cf2 FROM r2 GROUP BY w1"))
 def context_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cumulative.contexts(id_model(spark, sf_dir, 2)[1][2], 2)
+    return cumulative.contexts(model(spark, sf_dir).ranges(2), 2)
 
 
 @query(
@@ -263,35 +264,26 @@ def partition_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cumulative.partition_ranges(by_part).select("part", F.col("lo").cast("long").alias("lo"), "hi").join(cumulative.index_ranges(counts.vocabulary(found)), "part")
 
 
-def asked_windows(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
-    """The distinct n-grams of the benchmark, as context words c1.. and w."""
-    own = ngrams.explode_windows(sentences(spark, sf_dir, "benchmark", "item_id"), n).distinct()
-    return own.select(*(F.col("ngram")[i].alias(f"c{i + 1}") for i in range(n - 1)), F.col("ngram")[n - 1].alias("w"))
-
-
-def with_ids(rows: DataFrame, vocab: DataFrame, names: list[str]) -> DataFrame:
-    for c in names:
-        rows = rows.join(vocab.select(F.col("token").alias(c), F.col("token_id").alias(f"{c}_id")), c, "left")
-    return rows
-
-
 @query(O.PROBABILITIES)
 def conditional_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab, ranges = id_model(spark, sf_dir, 3)
-    own = with_ids(asked_windows(spark, sf_dir), vocab, ["c1", "c2", "w"])
-    ask = own.select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("w").alias("t3"), F.col("c1_id").alias("c1"), F.col("c2_id").alias("c2"), F.col("w_id").alias("w"))
-    out = cumulative.CumulativeModel(ranges).probabilities(ask)
+    ask = asked(spark, sf_dir, 3).filter("c1 IS NOT NULL").select("c1", "c2", "w", "t1", "t2", "t3").distinct()
+    out = model(spark, sf_dir).cumulative().probabilities(ask)
     return out.select(F.concat_ws(" ", "t1", "t2", "t3").alias("ngram"), *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("lo", "hi", "total", "level")))
 
 
+def marked(rows: DataFrame, marks: list[tuple[int, int]], den: int) -> DataFrame:
+    """rows with each of the intervals [num/den, (num+size)/den)."""
+    long = lambda x: F.lit(x).cast("long")
+    several = F.explode(F.array(*(F.struct(long(a).alias("num"), long(b).alias("size"), long(den).alias("den")) for a, b in marks)))
+    return rows.withColumn("_m", several).select("*", "_m.*").drop("_m")
+
+
 @query(O.NEXT)
 def next_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab, ranges = id_model(spark, sf_dir, 3)
-    own = with_ids(asked_windows(spark, sf_dir, 2).select("c1", F.col("w").alias("c2")), vocab, ["c1", "c2"])
-    marks = F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("num"), F.lit(b).cast("long").alias("size"), F.lit(1000).cast("long").alias("den")) for a, b in ((13, 1), (500, 10), (999, 1)))))
-    ask = own.select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("c1_id").alias("c1"), F.col("c2_id").alias("c2"), marks.alias("m")).select("*", "m.*").drop("m")
-    out = cumulative.CumulativeModel(ranges).next_words(ask)
-    return out.join(vocab.select(F.col("token_id").alias("w"), F.col("token").alias("word")), "w", "left").select(F.concat_ws(" ", "t1", "t2").alias("context"), "num", "level", F.coalesce("word", F.lit("")).alias("word"))
+    own = asked(spark, sf_dir, 2).filter("c1 IS NOT NULL").select("c1", F.col("w").alias("c2"), "t1", "t2").distinct()
+    base = model(spark, sf_dir)
+    out = base.words(base.cumulative().next_words(marked(own, [(13, 1), (500, 10), (999, 1)], 1000)), "w", "word")
+    return out.select(F.concat_ws(" ", "t1", "t2").alias("context"), "num", "level", F.coalesce("word", F.lit("")).alias("word"))
 
 
 # -- tagged corpora -------------------------------------------------------------------------------------------------
@@ -348,62 +340,54 @@ def tagged_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.DISTRIBUTION)
 def backoff_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = backoff.BackoffModel(tables(spark, sf_dir, 2)).distribution(2)
-    return out.select(F.col("w1").alias("context"), F.coalesce("token", F.lit("")).alias("token"), "cum", "len")
+    base = model(spark, sf_dir)
+    out = base.words(base.words(base.backoff(2).distribution(2), "w1", "context"), "token", "word")
+    return out.select("context", F.coalesce("word", F.lit("")).alias("token"), "cum", "len")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every token of the benchmark with its context, and the score of each distinct one."""
-    own = sentences(spark, sf_dir, "benchmark", "item_id")
-    at = F.posexplode("tokens").alias("pos", "w")
-    each = own.select("item_id", "sent", "tokens", at)
-    before = lambda k: F.when(F.col("pos") >= k, F.get("tokens", F.col("pos") - k))
-    each = each.select("item_id", "sent", "pos", before(2).alias("c1"), before(1).alias("c2"), "w")
-    asks = each.select("c1", "c2", "w").distinct()
-    return each, backoff.BackoffModel(tables(spark, sf_dir, 3)).score(asks)
+    each = asked(spark, sf_dir, 3)
+    return each, model(spark, sf_dir).backoff().score(each.select("c1", "c2", "w", "t1", "t2", "t3").distinct())
 
 
 @query(O.SCORES)
 def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, out = scored(spark, sf_dir)
-    return out.select(F.concat_ws(" ", "c1", "c2", "w").alias("ngram"), F.round(F.coalesce("bits", F.lit(-1.0)), 6).alias("bits"), F.coalesce("level", F.lit(0)).alias("level"))
+    return out.select(F.concat_ws(" ", "t1", "t2", "t3").alias("ngram"), F.round(F.coalesce("bits", F.lit(-1.0)), 6).alias("bits"), F.coalesce("level", F.lit(0)).alias("level"))
 
 
 @query(O.ENTROPY)
 def text_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     each, out = scored(spark, sf_dir)
-    joined = each.join(out, each["c1"].eqNullSafe(out["c1"]) & each["c2"].eqNullSafe(out["c2"]) & (each["w"] == out["w"]))
+    joined = each.join(out, each["t1"].eqNullSafe(out["t1"]) & each["t2"].eqNullSafe(out["t2"]) & (each["t3"] == out["t3"]))
     # the start mark is no word; a word counts its letters and the blank behind it
     sure = F.col("bits").isNotNull() & (F.col("pos") > 0)
-    total, words, letters_ = F.sum(F.when(sure, F.col("bits"))), F.sum(F.when(sure, 1)), F.sum(F.when(sure, F.length("w") + 1))
+    total, words, letters_ = F.sum(F.when(sure, F.col("bits"))), F.sum(F.when(sure, 1)), F.sum(F.when(sure, F.length("token") + 1))
     per_unit = [F.round(x, 4).alias(c) for c, x in (("bits_per_word", total / words), ("bits_per_character", total / letters_), ("perplexity", F.pow(F.lit(2.0), total / words)))]
-    joined = joined.select("item_id", "pos", each["w"], "bits")
+    joined = joined.select("item_id", "pos", each["t3"].alias("token"), "bits")
     return joined.groupBy("item_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("bits").isNull()).alias("n_impossible"), F.round(F.coalesce(F.sum("bits"), F.lit(0.0)), 4).alias("bits"), *per_unit)
 
 
 def offset_model(spark: SparkSession, sf_dir: str, n_max: int) -> backoff.BackoffModel:
     """The documents' model with an offset of 35, from forty-fold counts."""
-    found = {n: saved(t.withColumn("count", F.col("count") * O.TIMES)) for n, t in tables(spark, sf_dir, n_max).items()}
-    return backoff.BackoffModel(found, offset=O.OFFSET)
+    return model(spark, sf_dir).backoff(n_max, offset=O.OFFSET, times=O.TIMES)
 
 
 @query(O.INTERVALS)
 def backoff_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact way to each token of the benchmark behind its two predecessors, back-offs and all."""
-    own = sentences(spark, sf_dir, "benchmark", "item_id").select("tokens", F.posexplode("tokens").alias("pos", "w"))
-    before = lambda k: F.when(F.col("pos") >= k, F.get("tokens", F.col("pos") - k))
-    out = offset_model(spark, sf_dir, 3).intervals(own.select(before(2).alias("c1"), before(1).alias("c2"), "w").distinct())
+    out = offset_model(spark, sf_dir, 3).intervals(asked(spark, sf_dir, 3).select("c1", "c2", "w", "t1", "t2", "t3").distinct())
     parts = F.array_join(F.transform("parts", lambda p: F.concat_ws("/", p["lo"], p["hi"], p["total"])), " ")
-    return out.select(F.concat_ws(" ", "c1", "c2", "w").alias("ngram"), F.coalesce(parts, F.lit("-")).alias("parts"))
+    return out.select(F.concat_ws(" ", "t1", "t2", "t3").alias("ngram"), F.coalesce(parts, F.lit("-")).alias("parts"))
 
 
 @query(O.NEXT_BACKOFF)
 def backoff_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token that holds three intervals behind each word of the benchmark."""
-    marks = F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("num"), F.lit(b).cast("long").alias("size"), F.lit(1061).cast("long").alias("den")) for a, b in ((13, 1), (500, 10), (999, 1)))))
-    asks = asked_windows(spark, sf_dir, 2).select("c1").distinct().select("c1", marks.alias("m")).select("c1", "m.*")
-    out = offset_model(spark, sf_dir, 2).next_words(asks)
-    return out.select(F.col("c1").alias("context"), "num", F.coalesce("w", F.lit("")).alias("word"), F.coalesce("level", F.lit(0)).alias("level"))
+    own = asked(spark, sf_dir, 2).filter("c1 IS NOT NULL").select("c1", "t1").distinct()
+    out = offset_model(spark, sf_dir, 2).next_words(marked(own, [(13, 1), (500, 10), (999, 1)], 1061))
+    return model(spark, sf_dir).words(out, "w", "word").select(F.col("t1").alias("context"), "num", F.coalesce("word", F.lit("")).alias("word"), F.coalesce("level", F.lit(0)).alias("level"))
 
 
 # -- letters, bits, codec -------------------------------------------------------------------------------------------

@@ -67,7 +67,7 @@ def vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(O.with_ranges("SELECT w1, w2, cf1, cf2 FROM r2"))
 def cumulative_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "cumulative")
-    C.id_model(spark, sf_dir, 2)[1][2].write.option("sep", "\t").csv(path)
+    C.model(spark, sf_dir).ranges(2).write.option("sep", "\t").csv(path)
     return lines.read_cumulative(spark, path, 2)
 
 

@@ -32,10 +32,17 @@ def prefix(t: str, n: int) -> str:
 
 TAGGED = "CASE WHEN w IN ('_START_', '_END_') THEN w ELSE w || ['', '_NOUN', '_X', '_VERB_'][length(w) % 4 + 1] END"
 IS_TAGGED = r"regexp_matches(w, '_(NOUN|VERB|ADJ|ADV|PRON|DET|ADP|NUM|CONJ|PRT|\.|X)_?$')"
-PART = "CASE WHEN regexp_matches(token, '^[0-9a-z]') THEN token[1] ELSE '_' END"
 
 
-def _corpus(source: str = "documents", id_col: str = "doc_id", raw: str = "raw", name: str = "sentences", normal: bool = True) -> str:
+def part(t: str) -> str:
+    return f"CASE WHEN regexp_matches({t}, '^[0-9a-z]') THEN {t}[1] ELSE '_' END"
+
+
+PART = part("token")
+
+
+def _corpus(source: str = "documents", id_col: str = "doc_id", raw: str = "raw", name: str = "sentences", normal: bool = True, keyed: bool = False) -> str:
+    """keyed: each token behind the letter of its partition, so that strings have the order of the vocabulary."""
     marked = "text"
     for m in ("START", "END"):
         marked = rf"regexp_replace({marked}, '(^|\s)_{m}_($|\s)', '\1_ {m} _\2', 'g')"
@@ -46,8 +53,10 @@ def _corpus(source: str = "documents", id_col: str = "doc_id", raw: str = "raw",
                 SELECT {id_col}, list_filter(string_split_regex(regexp_replace({marked}, '^\s+|\s+$', '', 'g'), '\s{{2,}}'), lambda x: x <> '') AS ss
                 FROM (SELECT {id_col}, replace(text, chr(10), '  ') AS text FROM {source}))))"""
     if normal:
+        own = f"flatten(list_transform(tokens, lambda t: {tokens('t')}))"
+        own = f"list_transform({own}, lambda t: {part('t')} || t)" if keyed else own
         out += f""",
-    {name} AS MATERIALIZED (SELECT {id_col}, sent, flatten(list_transform(tokens, lambda t: {tokens("t")})) AS tokens FROM {raw})"""
+    {name} AS MATERIALIZED (SELECT {id_col}, sent, {own} AS tokens FROM {raw})"""
     return out
 
 
@@ -62,8 +71,13 @@ def with_sentences(sql: str) -> str:
 _IDS = {"conversations": "conv_id", "benchmark": "item_id"}
 
 
-def _asked(source: str) -> str:
-    return _corpus(source, _IDS[source], "raw_asked", "asked")
+def _asked(source: str, keyed: bool = False) -> str:
+    return _corpus(source, _IDS[source], "raw_asked", "asked", keyed=keyed)
+
+
+def _marks(sql: str) -> str:
+    """The sentence marks as keyed tokens."""
+    return sql.replace("'_START_'", "'__START_'").replace("'_END_'", "'__END_'")
 
 
 def with_asked(sql: str, source: str) -> str:
@@ -204,13 +218,13 @@ TAGGED_MATCH = with_tagged(f""",
 BETA, GAMMA = 0.1, 0.01
 _WEIGHT = f"ceil(CAST(acc AS DOUBLE) / CAST(acc AS DOUBLE) * ({BETA} * (tot - acc) + {GAMMA} * tot))"
 
-DISTRIBUTION = f"""WITH {_corpus()}, {_counted(1)}, {_counted(2)},
+DISTRIBUTION = f"WITH {_corpus(keyed=True)}, {_counted(1)}, {_counted(2)}," + _marks(f"""
     k1 AS (SELECT w1, max(count)::BIGINT AS count FROM (SELECT * FROM t1 UNION ALL SELECT w1, sum(count) FROM t2 GROUP BY 1 UNION ALL SELECT w2, sum(count) FROM t2 GROUP BY 1) GROUP BY 1),
     m AS (SELECT w1, w2, count, NOT (w2 = '_START_' OR (w1 = '_START_' AND w2 = '_END_')) AS ok FROM t2 WHERE w1 <> '_END_'),
     s AS (SELECT m.w1, sum(m.count) FILTER (ok) AS acc, any_value(k1.count) - coalesce(sum(m.count) FILTER (NOT ok), 0) AS tot FROM m JOIN k1 ON k1.w1 = m.w1 GROUP BY m.w1)
-    SELECT w1 AS context, w2 AS token, (sum(count) OVER (PARTITION BY w1 ORDER BY w2) - count)::BIGINT AS cum, count AS len FROM m WHERE ok
-    UNION ALL SELECT w1, '', acc::BIGINT, {_WEIGHT}::BIGINT FROM s WHERE acc > 0
-    """
+    SELECT w1[2:] AS context, w2[2:] AS token, (sum(count) OVER (PARTITION BY w1 ORDER BY w2) - count)::BIGINT AS cum, count AS len FROM m WHERE ok
+    UNION ALL SELECT w1[2:], '', acc::BIGINT, {_WEIGHT}::BIGINT FROM s WHERE acc > 0
+    """)
 
 _SCORED = f"""
     each AS MATERIALIZED (SELECT item_id, sent, pos, CASE WHEN pos >= 3 THEN tokens[pos - 2] END AS c1, CASE WHEN pos >= 2 THEN tokens[pos - 1] END AS c2, tokens[pos] AS w
@@ -286,7 +300,7 @@ def _weighed(adj: str, acc: str, tot: str) -> str:
     return f"CASE WHEN {acc} > 0 THEN ceil(CAST({adj} AS DOUBLE) / CAST({acc} AS DOUBLE) * (CAST({BETA} AS DOUBLE) * ({tot} - {acc}) + CAST({GAMMA} AS DOUBLE) * {tot}))::BIGINT END"
 
 
-INTERVALS = f"""WITH {_corpus()}, {_COUNTS}, {_CONSISTENT}, {_asked('benchmark')}, {_backoff_base(3)},
+INTERVALS = f"WITH {_corpus(keyed=True)}, {_COUNTS}, {_CONSISTENT}, {_asked('benchmark', True)}," + _marks(f"""{_backoff_base(3)},
     each AS (SELECT CASE WHEN pos >= 3 THEN tokens[pos - 2] END AS c1, CASE WHEN pos >= 2 THEN tokens[pos - 1] END AS c2, tokens[pos] AS w FROM (SELECT tokens, unnest(range(1, len(tokens) + 1)) AS pos FROM asked)),
     q AS MATERIALIZED (SELECT DISTINCT c1, c2, w, (w = '_START_' OR coalesce(c2 = '_START_' AND w = '_END_', false)) AS barred FROM each),
     g2 AS MATERIALIZED (SELECT q.c1, q.c2, q.w, max(g)::BIGINT AS gone FROM q JOIN (SELECT b, c, w, sum(a) OVER (PARTITION BY b, c ORDER BY w) AS g FROM e2) e ON e.b = q.c1 AND e.c = q.c2 AND e.w < q.w GROUP BY ALL),
@@ -301,13 +315,13 @@ INTERVALS = f"""WITH {_corpus()}, {_COUNTS}, {_CONSISTENT}, {_asked('benchmark')
     y1 AS (SELECT *, CASE WHEN a1 IS NOT NULL AND NOT barred AND adj1 > 0 THEN concat(b1, '/', b1 + a1, '/', adj1) END AS way1 FROM f),
     y2 AS (SELECT *, CASE WHEN a2 IS NOT NULL AND NOT barred THEN concat(b2, '/', b2 + a2, '/', f2) WHEN acc2 IS NULL OR acc2 <= 0 THEN way1 ELSE adj2 || '/' || f2 || '/' || f2 || ' ' || way1 END AS way2 FROM y1),
     y3 AS (SELECT *, CASE WHEN a3 IS NOT NULL AND NOT barred THEN concat(b3, '/', b3 + a3, '/', f3) WHEN acc3 IS NULL OR acc3 <= 0 THEN way2 ELSE adj3 || '/' || f3 || '/' || f3 || ' ' || way2 END AS way3 FROM y2)
-    SELECT concat_ws(' ', c1, c2, w) AS ngram, coalesce(CASE WHEN c2 IS NULL THEN CASE WHEN w = '_START_' THEN '' END WHEN c1 IS NULL THEN way2 ELSE way3 END, '-') AS parts FROM y3
-    """
+    SELECT concat_ws(' ', c1[2:], c2[2:], w[2:]) AS ngram, coalesce(CASE WHEN c2 IS NULL THEN CASE WHEN w = '_START_' THEN '' END WHEN c1 IS NULL THEN way2 ELSE way3 END, '-') AS parts FROM y3
+    """)
 
-NEXT_BACKOFF = f"""WITH {_corpus()}, {_counted(1)}, {_counted(2)},
+NEXT_BACKOFF = f"""WITH {_corpus(keyed=True)}, {_counted(1)}, {_counted(2)},
     k2 AS MATERIALIZED (SELECT * FROM t2),
     k1 AS MATERIALIZED (SELECT w1, max(count)::BIGINT AS count FROM (SELECT * FROM t1 UNION ALL SELECT w1, sum(count) FROM t2 GROUP BY 1 UNION ALL SELECT w2, sum(count) FROM t2 GROUP BY 1) GROUP BY 1),
-    {_asked('benchmark')}, {_backoff_base(2)},
+    {_asked('benchmark', True)}, {_marks(_backoff_base(2))},
     q AS MATERIALIZED (SELECT c1, unnest([13, 500, 999])::HUGEINT AS num, unnest([1, 10, 1])::HUGEINT AS size, 1061::HUGEINT AS den FROM (SELECT DISTINCT g[1] AS c1 FROM (SELECT {windows(2)} AS g FROM asked))),
     f AS (SELECT q.*, s2.acc, s2.adj, {_weighed('s2.adj', 's2.acc', '(u1.u - s2.rej)')} AS v FROM q LEFT JOIN s2 ON s2.w1 = c1 LEFT JOIN u1 ON u1.w1 = c1),
     l2 AS MATERIALIZED (SELECT *, (num * (adj + v)) // den AS lo, ((num + size) * (adj + v) + den - 1) // den AS hi FROM f),
@@ -320,5 +334,5 @@ NEXT_BACKOFF = f"""WITH {_corpus()}, {_counted(1)}, {_counted(2)},
     spot AS MATERIALIZED (SELECT l1.c1, l1.id, (lo + coalesce(g, 0))::BIGINT AS lo, (hi + coalesce(g, 0))::BIGINT AS hi FROM l1 LEFT JOIN gone USING (c1, id)),
     a1 AS (SELECT spot.*, p1.w1 AS w, p1.cum + p1.a AS ends FROM spot ASOF JOIN p1 ON spot.lo >= p1.cum),
     found AS (SELECT * FROM w2 UNION ALL SELECT c1, id, w, 1 FROM a1 WHERE ends >= hi)
-    SELECT q.c1 AS context, q.num::BIGINT AS num, coalesce(w, '') AS word, coalesce(level, 0)::INT AS level FROM q LEFT JOIN found USING (c1, num)
+    SELECT q.c1[2:] AS context, q.num::BIGINT AS num, coalesce(w[2:], '') AS word, coalesce(level, 0)::INT AS level FROM q LEFT JOIN found USING (c1, num)
     """
