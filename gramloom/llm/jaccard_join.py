@@ -323,18 +323,20 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = written(listed(docs, id_col, text_col, size, similarity).withColumn("_row", F.monotonically_increasing_id()), "listed")
     copies = seen.filter("same is not null").groupBy("same").agg(F.min("_row").alias("node"), F.count("*").alias("copies")).filter("copies > 1")
     copies = written(copies, "copies")
-    rows = given_back(seen, copies, ["same"], "copies").withColumn("node", F.coalesce("node", "_row"))
-    rows = written(rows.select("_row", "doc_id", "text_key", "node", "n", F.when(F.col("_row") == F.col("node"), F.col("parts")).alias("parts")), "rows")
-    single = rows.filter("_row = node AND n > 0")
-
-    every = single.select("node", F.explode("parts").alias("key"))
-    hubs = written(every.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("met")).filter("met > 1"), "hubs")
-    met = written(given_back(every, hubs, ["key"], "met").filter("hub IS NOT NULL").select("node", "hub"), "met")
+    rows = given_back(seen.drop("parts"), copies, ["same"], "copies").withColumn("node", F.coalesce("node", "_row"))
+    rows = written(rows.select("_row", "doc_id", "text_key", "node", "n", F.xxhash64("same").alias("set")), "rows")
+
+    # Copies list the same parts: an entry counts if two different sets have it. (Two sets of one hash share a cluster.)
+    every = seen.filter("n > 0").select(F.xxhash64("same").alias("node"), F.explode("parts").alias("key"))
+    hubs = every.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_top"), F.count("*").alias("met"))
+    hubs = written(hubs.filter("hub <> _top").drop("_top"), "hubs")
+    met = written(given_back(every, hubs, ["key"], "met").filter("hub IS NOT NULL").select("node", "hub").distinct(), "met")
     # A node's first hub stands for it in its other entries: one edge a node, and those between hubs.
     first = met.groupBy("node").agg(F.min("hub").alias("a"))
     between = met.join(first, "node").filter("a <> hub").select("a", F.col("hub").alias("b"))
     clusters = components(first.filter("node <> a").select("a", F.col("node").alias("b")).union(between).distinct())
-    members = written(clusters.join(single.select("node", "n", "doc_id", "text_key"), "node"), "members")
+    single = rows.filter("_row = node AND n > 0").select("node", "set", "n", "doc_id", "text_key")
+    members = written(clusters.withColumnRenamed("node", "set").join(single, "set").drop("set"), "members")
 
     sets = _sets(docs, members.select("node", "doc_id", "text_key"), id_col, text_col, size)
     searched = sets.join(_tasks(members.select("node", "label", "n"), block, similarity), "node").select("node", "block", "low", "high", "shingles")
