@@ -1,16 +1,18 @@
 """Cross-entropy difference: each document's loss under a target model less its loss under a background model.
 
 Both are bigram models over one vocabulary, alike in all but their corpus. Words are those of
-_shared.word_spans, in lower case; the vocabulary is every word of all documents, of WORDS words at least. Words and pairs of words are told
+_shared.word_spans, in lower case; the vocabulary is every word of all documents. Words and pairs of words are told
 apart by 64-bit hashes, and each of them has counts of its own, however many there are.
 
-    p(w)   = (c(w) + 1) / (N + V)                  V: the distinct words of all documents, or WORDS if there are fewer
+    p(w)   = (c(w) + 1) / (N + V)                  V: the distinct words of all documents
     p(w|h) = (c(hw) + MU p(w)) / (c(h) + MU)       h: the word before, or the document's begin
 
+A document is scored by models that have not seen it: its own words and pairs are taken out of the counts of its side,
+so that a document of the target doesn't look like the target because it is known by heart.
+
 The two are matched in size as well: the background is every document that is not in the target, and its counts are
-weighed by the target's words over its own, so that smoothing weighs as much in the one as in the other. (That is what
-a sample of the target's size has on average, but every document counts.) A background with fewer words than the
-target is not weighed up.
+weighed by the target's words over its own (up or down), so that smoothing weighs as much in the one as in the other.
+(That is what a sample of the target's size has on average, but every document counts.)
 
 No table of all n-grams is ever joined to tokens, or held in one place. Documents are dealt out to blocks of some
 BLOCK bytes of text. A block sends its distinct n-grams with its own counts to the buckets of their hashes, a bucket
@@ -31,8 +33,6 @@ from pyspark.sql import functions as F
 
 from gramloom.llm._shared import U64, mix, slices, small_batches, span_hashes, text_of, utf8, word_spans
 
-#: The least size of the vocabulary.
-WORDS = 1 << 18
 MU = 16.0
 #: Ids of target documents that may be broadcast (8 bytes each, some 100 MB as Spark's hash table); checked each time.
 MARKS = 4_000_000
@@ -55,7 +55,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _block_ids(n_blocks: int):
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
+    """By the number of the row, so that equal rows are dealt out as well. Both passes number the same scan; should the
+    rows come in another order, a block misses what it asked for, and that is an error."""
+    return F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).cast("int")
 
 
 def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +121,12 @@ class Block:
         return np.stack([sum(np.bincount(at[some], minlength=len(self.keys)) for at in self.at) for some in (slice(None), target)], 1)
 
 
+def _times(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each entry's value stands in its row."""
+    _, which, times = np.unique(row * (int(at.max(initial=0)) + 1) + at, return_inverse=True, return_counts=True)
+    return times[which]
+
+
 def planes(*values: np.ndarray) -> bytes:
     """Numbers of 64 bits as their lowest bytes, then their second bytes and so on: zeros stand together and compress."""
     return b"".join(np.ascontiguousarray(v.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes() for v in values)
@@ -137,17 +145,17 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     everywhere. Rows that repeat each get their row, and ties keep their equal scores; other columns are ignored; an
     empty table gives no rows. A very long text is a block of its own, which one task holds.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text"))
+    own = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text"))
     marks = target_ids.toDF("doc_id").withColumn("mark", F.lit(True))
     marks = F.broadcast(marks) if target_ids.count() <= MARKS else marks
-    marked = own.join(marks, "doc_id", "left").select("doc_id", F.coalesce("mark", F.lit(False)).alias("mark"), "text")
-    words, n, n_target, size = corpus_size(marked)
-    vocabulary = max(WORDS, words)
-    weight = 1.0 if n == n_target or not n_target else min(1.0, n_target / (n - n_target))
+    marked = own.join(marks, "doc_id", "left").select("_row", "doc_id", F.coalesce("mark", F.lit(False)).alias("mark"), "text")
+    words, n, n_target, size = corpus_size(marked.drop("_row"))
+    vocabulary = max(1, words)
+    weight = 1.0 if n == n_target or not n_target else n_target / (n - n_target)
     blocks = max(1, -(-size // BLOCK))
     bits = (max(BUCKETS, blocks // BLOCKS_A_BUCKET) - 1).bit_length()
     low = U64(64 - bits)
-    located = marked.withColumn("block", _block_ids(blocks))
+    located = marked.withColumn("block", _block_ids(blocks)).drop("_row")
 
     def asks(key: tuple, table: pa.Table) -> pa.Table:
         block = Block(table)
@@ -172,16 +180,26 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
         block = Block(texts)
         told = [unplaned(x.as_py(), 2) for x in answers.sort_by("bucket").column("sent")]
         known = [np.concatenate([np.zeros(0, U64), *(x[k] for x in told)]).astype(np.float64) for k in (1, 0)]
-        word, before, pair = block.at
-        loss = []
-        sides = ((known[0], n_target), ((known[1] - known[0]) * weight, (n - n_target) * weight))
-        for c, total in sides:
-            if len(c) != len(block.keys):
-                raise RuntimeError("a block has other n-grams than it had when it asked: the documents changed between two passes")
-            loss.append(np.log2(c[before] + MU) - np.log2(c[pair] + MU * (c[word] + 1) / (total + vocabulary)))
-        rows = len(block.sizes)
-        row = np.repeat(np.arange(rows), block.sizes)
-        mean = [np.bincount(row, x, rows) / np.maximum(block.sizes, 1) for x in (*loss, loss[0] - loss[1], loss[0] < loss[1])]
+        if len(known[0]) != len(block.keys):
+            raise RuntimeError("a block has other n-grams than it had when it asked: the documents changed between two passes")
+        means = []
+        edges = np.cumsum([0, *(x.num_rows for x in block.parts)])
+        firsts = np.concatenate([[0], np.cumsum(block.sizes)])
+        for part, lo, hi in zip(block.parts, edges, edges[1:], strict=False):
+            span, sizes = slice(firsts[lo], firsts[hi]), block.sizes[lo:hi]
+            rows = hi - lo
+            row = np.repeat(np.arange(rows), sizes)
+            mark = np.asarray(part.column("mark").to_numpy(zero_copy_only=False), bool)
+            places = [at[span] for at in block.at]
+            own = [_times(row, at) for at in places]
+            loss = []
+            for c, total, mine in ((known[0], n_target, mark), (known[1] - known[0], n - n_target, ~mark)):
+                scale = 1.0 if c is known[0] else weight
+                word, before, pair = ((c[at] - np.where(mine[row], x, 0)) * scale for at, x in zip(places, own, strict=True))
+                left = (total - np.where(mine, sizes, 0)) * scale
+                loss.append(np.log2(before + MU) - np.log2(pair + MU * (word + 1) / (left[row] + vocabulary)))
+            means.append([np.bincount(row, x, rows) / np.maximum(sizes, 1) for x in (*loss, loss[0] - loss[1], loss[0] < loss[1])])
+        mean = [np.concatenate(x) for x in zip(*means, strict=True)]
         ids = pa.concat_arrays([x.column("doc_id") for x in block.parts])
         return pa.table([ids, pa.array(block.sizes, pa.int64()), *map(pa.array, mean)], ["doc_id", "n_tokens", "target_bits", "background_bits", "score", "gain_share"])
 
