@@ -153,7 +153,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """The pieces with sequence_id and offset. cut is read twice, for the number of groups depends on its size."""
+    """The pieces with sequence_id and offset. cut is a written table with _row, a number for each of its rows; it is read
+    twice, for the number of groups depends on its size."""
     n, tokens = cut.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     groups = max(1, -(-tokens // group_tokens), -(-n // group_pieces))
 
@@ -164,8 +165,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOK
         out = table.drop_columns(["_group"])
         return out.append_column("sequence_id", pa.array(group * (1 << 40) + sequence)).append_column("offset", pa.array(offset))
 
-    # A hash deals rows out evenly whatever their lengths; rows that repeat may share a group, which does no harm.
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # A hash of the row's number deals rows out evenly, whatever their lengths and however many are equal.
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).drop("_row")
     kind = cut.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("_group").applyInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
@@ -178,4 +179,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col:
     are packed as often as they occur. Other columns are ignored. An empty table gives no rows. A very long text is cut
     into as many pieces as it needs; one task holds it whole.
     """
-    return pack(written(pieces(docs, path, capacity, 0, id_col, text_col), "pieces"), capacity)
+    cut = pieces(docs, path, capacity, 0, id_col, text_col).withColumn("_row", F.monotonically_increasing_id())
+    return pack(written(cut, "pieces"), capacity)
