@@ -157,12 +157,12 @@ class Languages:
 
 
 def _sample(known: DataFrame, per_language: int) -> tuple[DataFrame, list[str]]:
-    """lang and text of some of the known documents (doc_id, text, lang), by a hash of their ids, and the languages. Rows
-    without an id share a hash: they are all in the sample or all out."""
+    """lang and text of some of the known documents (doc_id, text, lang), by a hash of their numbers in the table, and the
+    languages. The share keeps the sample bounded whatever ids and texts repeat."""
     sizes = known.groupBy("lang").agg(F.count("*"), F.sum(F.octet_length("text"))).collect()  # one row per language
     most = min(LANGUAGE_BYTES, ALL_BYTES // max(1, len(sizes)))
     share = [(name, min(1.0, per_language / n, most / max(1, size))) for name, n, size in sizes]
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / float(1 << 20)
     shares = known.sparkSession.createDataFrame(share, "lang string, share double")
     return known.withColumn("_place", place).join(F.broadcast(shares), "lang").filter("_place < share").select("lang", "text"), [x[0] for x in share]
 

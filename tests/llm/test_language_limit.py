@@ -20,3 +20,8 @@ def test_short_texts_have_wider_limits(spark, sf):
     found = language_id.limits(docs, language_id.learn(docs))
     assert set(found) == {"de", "en", "es", "fr"}
     assert all(1 < mean < 4 and spread >= language_id.LEAST_SPREAD for mean, spread in found.values())
+
+
+def test_sample_is_bounded_without_ids(spark):
+    rows = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'the same text' AS text", "'en' AS lang")
+    assert 300 < language_id._sample(rows, 1000)[0].count() < 2000
