@@ -87,8 +87,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id and a text one stays at most."""
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    named = lambda c: F.concat_ws("", F.col(c).isNull().cast("string"), F.col(c).cast("string"))  # no id is another one than "null"
     key = fresh(docs, "_id", "_sha")
-    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(key[0]), F.col("text_sha256").alias(key[1]))
-    own = docs.withColumn(key[0], name).withColumn(key[1], F.sha2(folded(text_of(text_col)), 256))
+    stay = exact_groups(docs, id_col, text_col).filter("kept").select(named("doc_id").alias(key[0]), F.col("text_sha256").alias(key[1]))
+    own = docs.withColumn(key[0], named(id_col)).withColumn(key[1], F.sha2(folded(text_of(text_col)), 256))
     return own.join(stay, key, "left_semi").dropDuplicates(key).drop(*key)

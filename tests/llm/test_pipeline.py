@@ -3,22 +3,25 @@
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from gramloom.llm import queries
+from gramloom.llm import exact_dedup, near_dup, packing, queries
+from gramloom.llm._shared import written
 from tests.llm.test_small import brute_classes
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf).toPandas()
     want = con.execute(queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
+    plain = lambda v: "null" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    rows = lambda df: sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
     assert rows(got) == rows(want)
 
 
@@ -66,3 +69,21 @@ def test_stages(spark, sf):
 
 def test_run_gives_the_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns[:3] == ["doc_id", "piece", "start"]
+
+
+def test_no_id_is_not_the_id_null(spark):
+    rows = [(None, "the same text of some seven words"), ("null", "the same text of some seven words"), ("a", None), ("a", ""), ("a", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in exact_dedup.keep_one(docs).collect()) == ["a", "null"]
+    kept = near_dup.keep_one(docs).collect()
+    told = {r["doc_id"] for r in near_dup.near_classes(docs).filter("kept").collect()}
+    assert {r["doc_id"] for r in kept} == told
+
+
+def test_equal_rows_are_packed_in_several_groups(spark):
+    rows = spark.range(6000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "0L AS start", "100L AS length", "7L AS ids_crc32", "id AS _row")
+    got = packing.pack(written(rows, "rows"), 2048, group_pieces=1000).collect()
+    groups = {}
+    for r in got:
+        groups[r["sequence_id"] >> 40] = groups.get(r["sequence_id"] >> 40, 0) + 1
+    assert len(got) == 6000 and len(groups) == 6 and max(groups.values()) < 1300
