@@ -43,10 +43,13 @@ def index_ranges(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("part").agg(F.min("token_id").alias("first"), F.max("token_id").alias("last"))
 
 
-def asked_only(table: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:
+def asked_only(table: DataFrame, asks: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
     """The rows of a table that some request (a written table) has the keys of; all of them without keys. Requests are
-    few as a rule, and Spark then broadcasts their keys, so that the table is neither shuffled nor sorted."""
-    return table.join(asks.select(*keys).distinct(), keys, "left_semi") if keys else table
+    few as a rule, and Spark then broadcasts their keys, so that the table is neither shuffled nor sorted. few: their
+    number has been checked, and they are broadcast as they are."""
+    if not keys:
+        return table
+    return table.join(F.broadcast(asks.select(*keys)) if few else asks.select(*keys).distinct(), keys, "left_semi")
 
 
 class CumulativeModel:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gramloom.functions import intervals as I
 from gramloom.functions import text as T
-from gramloom.operators import backoff, codec, counts, cumulative, models, ngrams, tagged
+from gramloom.operators import backoff, codec, counts, cumulative, models, ngrams, stego, tagged
 from gramloom.plans import oracle as O
 from gramloom.schemas import END, PARTITIONS, START
 from gramloom.sources import lines as L
@@ -390,6 +390,18 @@ def backoff_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model(spark, sf_dir).words(out, "w", "word").select(F.col("t1").alias("context"), "num", F.coalesce("word", F.lit("")).alias("word"), F.coalesce("level", F.lit(0)).alias("level"))
 
 
+@query(O.REPORT)
+def sentence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence of the benchmark as the model of order 3 with an offset of 35 has it: text, entropy, and whether its
+    bits (at most as many as its entropy) are told."""
+    base = model(spark, sf_dir)
+    own = base.asked_ids(sentences(spark, sf_dir, "benchmark", "item_id"), ["item_id", "sent"])
+    out = stego.report(offset_model(spark, sf_dir, 3), own.select("item_id", "sent", "ids", "tokens"), base.vocabulary(), ["item_id", "sent"])
+    out = out.drop("tokens", "text").join(own.select("item_id", "sent", "tokens"), ["item_id", "sent"])  # words that the vocabulary lacks too
+    told = F.coalesce(F.size("bits") <= F.col("entropy"), F.lit(False))
+    return out.select("item_id", "sent", F.size("tokens").alias("n_tokens"), F.array_join(F.slice("tokens", 2, F.size("tokens") - 2), " ").alias("text"), F.round(F.coalesce("entropy", F.lit(-1.0)), 4).alias("entropy"), told.alias("told"))
+
+
 # -- letters, bits, codec -------------------------------------------------------------------------------------------
 
 

@@ -336,3 +336,10 @@ NEXT_BACKOFF = f"""WITH {_corpus(keyed=True)}, {_counted(1)}, {_counted(2)},
     found AS (SELECT * FROM w2 UNION ALL SELECT c1, id, w, 1 FROM a1 WHERE ends >= hi)
     SELECT q.c1[2:] AS context, q.num::BIGINT AS num, coalesce(w[2:], '') AS word, coalesce(level, 0)::INT AS level FROM q LEFT JOIN found USING (c1, num)
     """
+
+REPORT = f"""WITH ways AS ({INTERVALS}), {_asked('benchmark')},
+    each AS (SELECT item_id, sent, concat_ws(' ', CASE WHEN pos >= 3 THEN tokens[pos - 2] END, CASE WHEN pos >= 2 THEN tokens[pos - 1] END, tokens[pos]) AS ngram FROM (SELECT item_id, sent, tokens, unnest(range(1, len(tokens) + 1)) AS pos FROM asked)),
+    bits AS (SELECT ngram, parts = '-' AS never, coalesce(list_sum(list_transform(list_filter(string_split(parts, ' '), lambda p: p NOT IN ('', '-')), lambda p: log2(string_split(p, '/')[3]::DOUBLE) - log2((string_split(p, '/')[2]::BIGINT - string_split(p, '/')[1]::BIGINT)::DOUBLE))), 0) AS bits FROM ways),
+    told AS (SELECT item_id, sent, CASE WHEN NOT bool_or(never) THEN sum(bits) END AS entropy FROM each JOIN bits USING (ngram) GROUP BY ALL)
+    SELECT item_id, sent::INT AS sent, len(tokens)::INT AS n_tokens, array_to_string(tokens[2:len(tokens) - 1], ' ') AS text, round(coalesce(entropy, -1), 4) AS entropy, entropy IS NOT NULL AS told FROM asked JOIN told USING (item_id, sent)
+    """
