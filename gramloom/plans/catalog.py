@@ -402,6 +402,16 @@ def sentence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", "sent", F.size("tokens").alias("n_tokens"), F.array_join(F.slice("tokens", 2, F.size("tokens") - 2), " ").alias("text"), F.round(F.coalesce("entropy", F.lit(-1.0)), 4).alias("entropy"), told.alias("told"))
 
 
+@query(O.DECODED)
+def sentence_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token that the exact interval of the rest of a sentence gives, at every place of the benchmark's sentences
+    that the model of order 3 with an offset of 35 can say: the sentence's own."""
+    base, lm = model(spark, sf_dir), offset_model(spark, sf_dir, 3)
+    own = base.asked_ids(sentences(spark, sf_dir, "benchmark", "item_id"), ["item_id", "sent"])
+    out = lm.next_tokens(stego.remaining(lm, own.select("item_id", "sent", "ids"), ["item_id", "sent"]))
+    return base.words(out, "w", "word").select("item_id", "sent", "pos", F.coalesce("word", F.lit("")).alias("word"))
+
+
 # -- letters, bits, codec -------------------------------------------------------------------------------------------
 
 

@@ -343,3 +343,9 @@ REPORT = f"""WITH ways AS ({INTERVALS}), {_asked('benchmark')},
     told AS (SELECT item_id, sent, CASE WHEN NOT bool_or(never) THEN sum(bits) END AS entropy FROM each JOIN bits USING (ngram) GROUP BY ALL)
     SELECT item_id, sent::INT AS sent, len(tokens)::INT AS n_tokens, array_to_string(tokens[2:len(tokens) - 1], ' ') AS text, round(coalesce(entropy, -1), 4) AS entropy, entropy IS NOT NULL AS told FROM asked JOIN told USING (item_id, sent)
     """
+
+DECODED = f"""WITH ways AS ({INTERVALS}), {_asked('benchmark')},
+    each AS (SELECT item_id, sent, pos, tokens[pos] AS word, concat_ws(' ', CASE WHEN pos >= 3 THEN tokens[pos - 2] END, CASE WHEN pos >= 2 THEN tokens[pos - 1] END, tokens[pos]) AS ngram FROM (SELECT item_id, sent, tokens, unnest(range(1, len(tokens) + 1)) AS pos FROM asked)),
+    told AS (SELECT item_id, sent FROM each JOIN ways USING (ngram) GROUP BY ALL HAVING NOT bool_or(parts = '-'))
+    SELECT item_id, sent::INT AS sent, pos::INT - 1 AS pos, word FROM each JOIN told USING (item_id, sent)
+    """
