@@ -81,28 +81,32 @@ def token_part(token: Column) -> Column:
     return F.when(first.rlike("[0-9a-z]") & ~token.isin(START, END), first).otherwise(F.lit("_"))
 
 
+#: White space, as Unicode has it: what stands inside the brackets of a class of patterns. (Java's \\s is ASCII only.)
+SPACE = r"\s\x1C-\x1F\x85\p{Z}"
+
+
 def sanitised(text: Column) -> Column:
     """Sentence marks that occur in the text as words are taken apart."""
     for mark in (START, END):
-        text = F.regexp_replace(text, rf"(?<!\S){mark}(?!\S)", f"_ {mark.strip('_')} _")
+        text = F.regexp_replace(text, rf"(?<![^{SPACE}]){mark}(?![^{SPACE}])", f"_ {mark.strip('_')} _")
     return text
 
 
 def sentences(text: Column) -> Column:
     """The text's sentences, which two or more white-space characters part; no empty ones."""
-    return F.filter(F.split(F.regexp_replace(sanitised(text), r"^\s+|\s+$", ""), r"\s{2,}"), lambda s: s != "")
+    return F.filter(F.split(F.regexp_replace(sanitised(text), rf"^[{SPACE}]+|[{SPACE}]+$", ""), rf"[{SPACE}]{{2,}}"), lambda s: s != "")
 
 
 def sentence_tokens(sentence: Column) -> Column:
     """The words of a sentence between sentence marks."""
-    words = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(sentence, rf"[{SPACE}]+"), lambda w: w != "")
     return F.concat(F.array(F.lit(START)), words, F.array(F.lit(END)))
 
 
 def normal_sentence_tokens(sentence: Column) -> Column:
     """normalise_tokens(sentence_tokens(sentence)), in one pass over the sentence: no token holds white space, so that the
     pattern finds the parts of all words at once."""
-    line = F.regexp_replace(F.lower(to_ascii(sentence)), r"[^!-~\s]", "")
+    line = F.regexp_replace(F.lower(to_ascii(sentence)), rf"[^!-~{SPACE}]", "")
     return F.concat(F.array(F.lit(START)), F.regexp_extract_all(line, F.lit(TOKEN_PATTERN), F.lit(0)), F.array(F.lit(END)))
 
 

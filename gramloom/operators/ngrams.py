@@ -81,7 +81,7 @@ def letter_ngrams(lines: DataFrame, n_max: int, text_col: str = "text") -> DataF
     skipped. Each text counts as ended by one line break; two blanks in a row make an empty word.
     """
     ended = F.concat(F.regexp_replace(F.col(text_col), r"\n+$", ""), F.lit(" "))
-    words = F.split(F.regexp_replace(F.lower(T.to_ascii(ended)), rf"[^{LETTERS}\s]", ""), r"\s")
+    words = F.split(F.regexp_replace(F.lower(T.to_ascii(ended)), rf"[^{LETTERS}{T.SPACE}]", ""), rf"[{T.SPACE}]")
     padded = F.transform(F.expr("slice(_w, 1, size(_w) - 1)"), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     base = lines.filter(F.col(text_col).isNotNull()).select(words.alias("_w")).select(F.explode(padded).alias("_x")).groupBy("_x").count()
     grams = base.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(n_max), F.length("_x")))))

@@ -292,7 +292,7 @@ def next_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of words of conversations with their role as tag; one-letter words are withheld, as a publisher might."""
     own = ngrams.spread(table(spark, sf_dir, "conversations").select("conv_id", "role", "text"))
-    each = own.select("role", F.explode(ngrams.windows(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 2)).alias("g"))
+    each = own.select("role", F.explode(ngrams.windows(F.filter(F.split("text", rf"[{T.SPACE}]+"), lambda w: w != ""), 2)).alias("g"))
     hide = lambda i: F.when(F.length(F.col("g")[i]) == 1, "q!").otherwise(F.col("g")[i])
     return each.select("role", hide(0).alias("w1"), hide(1).alias("w2")).groupBy("role", "w1", "w2").agg(F.count("*").alias("p"))
 
@@ -317,7 +317,7 @@ def tagged_model(spark: SparkSession, sf_dir: str) -> tagged.TaggedModel:
 
 
 def raw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = ngrams.spread(table(spark, sf_dir, "benchmark").select("text")).select(F.explode(ngrams.windows(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), 2)).alias("g"))
+    own = ngrams.spread(table(spark, sf_dir, "benchmark").select("text")).select(F.explode(ngrams.windows(F.filter(F.split(F.lower("text"), rf"[{T.SPACE}]+"), lambda w: w != ""), 2)).alias("g"))
     return own.select(F.col("g")[0].alias("c1"), F.col("g")[1].alias("w")).distinct()
 
 

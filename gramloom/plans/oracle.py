@@ -45,12 +45,12 @@ def _corpus(source: str = "documents", id_col: str = "doc_id", raw: str = "raw",
     """keyed: each token behind the letter of its partition, so that strings have the order of the vocabulary."""
     marked = "text"
     for m in ("START", "END"):
-        marked = rf"regexp_replace({marked}, '(^|\s)_{m}_($|\s)', '\1_ {m} _\2', 'g')"
+        marked = rf"regexp_replace({marked}, '(^|[\s\pZ])_{m}_($|[\s\pZ])', '\1_ {m} _\2', 'g')"
     out = rf"""
     {raw} AS MATERIALIZED (
-        SELECT {id_col}, sent, ['_START_'] || list_filter(string_split_regex(s, '\s+'), lambda w: w <> '') || ['_END_'] AS tokens FROM (
+        SELECT {id_col}, sent, ['_START_'] || list_filter(string_split_regex(s, '[\s\pZ]+'), lambda w: w <> '') || ['_END_'] AS tokens FROM (
             SELECT {id_col}, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS sent FROM (
-                SELECT {id_col}, list_filter(string_split_regex(regexp_replace({marked}, '^\s+|\s+$', '', 'g'), '\s{{2,}}'), lambda x: x <> '') AS ss
+                SELECT {id_col}, list_filter(string_split_regex(regexp_replace({marked}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'), '[\s\pZ]{{2,}}'), lambda x: x <> '') AS ss
                 FROM (SELECT {id_col}, replace(text, chr(10), '  ') AS text FROM {source}))))"""
     if normal:
         own = f"flatten(list_transform(tokens, lambda t: {tokens('t')}))"
@@ -172,14 +172,14 @@ SINGLE = with_raw(f"""
     """)
 
 LETTERS = rf"""
-    WITH w AS (SELECT unnest(string_split_regex(regexp_replace(lower({ascii_("regexp_replace(text, '\\n+$', '') || ' '")}), '[^a-z0-9!"''(),\-.:;?\s]', '', 'g'), '\s')[:-2]) AS x FROM documents),
+    WITH w AS (SELECT unnest(string_split_regex(regexp_replace(lower({ascii_("regexp_replace(text, '\\n+$', '') || ' '")}), '[^a-z0-9!"''(),\-.:;?\s\pZ]', '', 'g'), '[\s\pZ]')[:-2]) AS x FROM documents),
     c AS (SELECT ' ' || x || ' ' AS x, count(*) AS k FROM w GROUP BY ALL),
     e AS (SELECT x, k, n, unnest(range(CASE WHEN n = 1 THEN 2 ELSE 1 END, length(x) - n + 2)) AS i FROM (SELECT x, k, unnest([1, 2, 3]) AS n FROM c))
     SELECT n, substr(x, i, n) AS gram, sum(k)::BIGINT AS count FROM e GROUP BY 1, 2
     """
 
 _TAGGED = r"""
-    g AS (SELECT role, unnest(list_transform(range(1, len(t)), lambda i: t[i:i + 1])) AS g FROM (SELECT role, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS t FROM conversations)),
+    g AS (SELECT role, unnest(list_transform(range(1, len(t)), lambda i: t[i:i + 1])) AS g FROM (SELECT role, list_filter(string_split_regex(text, '[\s\pZ]+'), lambda w: w <> '') AS t FROM conversations)),
     rows AS (SELECT role, CASE WHEN length(g[1]) = 1 THEN 'q!' ELSE g[1] END AS w1, CASE WHEN length(g[2]) = 1 THEN 'q!' ELSE g[2] END AS w2 FROM g),
     cnt AS (SELECT role, w1, w2, count(*) AS p FROM rows GROUP BY ALL),
     cum AS MATERIALIZED (SELECT * FROM (SELECT role, w1, w2, p, (sum(p) OVER o - p)::BIGINT AS c1, (sum(p) OVER o)::BIGINT AS c2 FROM cnt WINDOW o AS (ORDER BY role, w1, w2)) WHERE w1 <> 'q!' AND w2 <> 'q!'),
@@ -189,7 +189,7 @@ _TAGGED = r"""
           UNION ALL SELECT 0, NULL, NULL, sum(p)::BIGINT, min(c1), max(c2), min(i) FROM low),
     marg AS MATERIALIZED (SELECT n, row_number() OVER (PARTITION BY n ORDER BY i, w1, w2) AS i, w1, w2, p, c1, c2 FROM m)"""
 _PAIRS = r"""pairs AS (SELECT DISTINCT g[1] AS c1, g[2] AS w FROM (
-        SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i:i + 1])) AS g FROM (SELECT list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '') AS t FROM benchmark)))"""
+        SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i:i + 1])) AS g FROM (SELECT list_filter(string_split_regex(lower(text), '[\s\pZ]+'), lambda w: w <> '') AS t FROM benchmark)))"""
 
 
 def with_tagged(sql: str) -> str:

@@ -31,9 +31,3 @@ def drained(stream: DataFrame) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
-
-def count_by_window(events: DataFrame, ts_col: str, by: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """window start, key, n per window, with a bound on how late events may come."""
-    grouped = events.withWatermark(ts_col, late).groupBy(F.window(ts_col, window), by).agg(F.count("*").alias("n"))
-    return grouped.select(F.col("window.start").alias("start"), by, "n")

@@ -77,3 +77,11 @@ def test_longest_partition(spark):
     df = spark.createDataFrame([(p,) for p in ("punctuation", "other", "aa", "q_", "1")], "prefix string")
     parts = ["other", "punctuation", "a", "q"]
     assert [r[0] for r in df.select(L.longest_partition(df, parts)).collect()] == ["punctuation", "other", "a", "q", None]
+
+
+def test_white_space_is_that_of_unicode(spark):
+    text = "foo\u00a0bar\u2003\u2003next\u3000one\x0b_END_\u2028 last"
+    row = spark.createDataFrame([(text,)], "text string").select(T.text_to_tokens(F.col("text")).alias("raw"), T.text_to_tokens(F.col("text"), normalise=True).alias("normal")).first()
+    want = [["foo", "bar"], ["next", "one", "_", "END", "_"], ["last"]]
+    assert row.raw == [w for s in want for w in ("_START_", *s, "_END_")]
+    assert row.normal == [w.lower() if w == "END" else w for s in want for w in ("_START_", *s, "_END_")]
