@@ -2,7 +2,7 @@
 
 A page becomes a flat list of blocks, each the text between two block-level tags. A block's features are its number
 of words and link density, those of its two neighbours on each side, what kind of line it is, and two hints: whether
-an enclosing element frames it, and whether one calls itself the article. A decision tree tells which blocks are
+an enclosing element frames it, and whether one calls itself the article (and frames nothing in between). A decision tree tells which blocks are
 article. It is trained here on the blocks of pages made by a rule (see training_pages): some name their elements well,
 some badly, some not at all, so that words and densities have to decide wherever names don't.
 Everything is one pass per page inside a task, in time that follows the page's length; nothing is shuffled.
@@ -47,7 +47,9 @@ BODY = ["article", "main"]
 BODY_WORDS = ["article", "articlebody", "content", "entry", "main", "post", "story"]
 #: A name of several words tells what an element is by its last word (cookie-notice), or by its first if the last only says
 #: which part of it this is (comments-list). Any other (has-sidebar, author-jane, comments-open) tells something about it.
-PARTS = ["area", "bar", "block", "bottom", "box", "container", "inner", "item", "items", "left", "links", "list", "outer", "panel", "right", "section", "text", "top", "unit", "wrap", "wrapper", "zone"]
+PARTS = ["area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "icons", "inner", "item", "items", "left", "links", "list", "outer", "panel", "right", "section", "text", "top", "unit", "wrap", "wrapper", "zone"]
+#: Words that tell one article. Its header (entry-header, or any header inside it) holds its title and frames nothing.
+TITLED = ["article", "articlebody", "entry", "post", "story"]
 ABOUT = ["has", "with", "without", "no", "is", "page", "layout"]
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
@@ -56,23 +58,26 @@ _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
 _MAIN = re.compile(r"(?<![\w-])role\s*=\s*[\"']?main(?![\w-])", re.I)
 _frame, _body, _inline, _void, _unseen = set(FRAME), set(BODY), set(INLINE), set(VOID), set(UNSEEN)
-_frame_words, _body_words, _about, _parts = set(FRAME_WORDS), set(BODY_WORDS), set(ABOUT), set(PARTS)
+_frame_words, _body_words, _about, _parts, _titled = set(FRAME_WORDS), set(BODY_WORDS), set(ABOUT), set(PARTS), set(TITLED)
 
 NUMBERS = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "words_before_2", "link_density_before_2", "words_after_2", "link_density_after_2"]
-FEATURES = [*NUMBERS, "heading", "listed", "framed", "in_body", "page_has_body", "in_content", "page_has_content"]
+FEATURES = [*NUMBERS, "heading", "listed", "framed", "in_body", "page_has_body", "in_content", "page_has_content", "in_article"]
 
 
-def _said(attributes: str) -> tuple[bool, bool]:
-    """Whether the class, id or role speaks of a frame, and of a body."""
-    frame = body = False
+def _said(attributes: str, inside: bool = False) -> tuple[bool, bool, bool]:
+    """Whether the class, id or role speaks of a frame, of a body, and of one article; inside: within an article."""
+    frame = body = titled = False
     for m in _NAMED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             parts = _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
             if not parts or (len(parts) > 1 and parts[0] in _about):
                 continue
             told = {parts[-1], parts[0]} if parts[-1] in _parts else {parts[-1]}
-            frame, body = frame or bool(told & _frame_words), body or bool(told & _body_words)
-    return frame, body
+            if parts[-1] == "header" and (inside or parts[0] in _titled):
+                told = {parts[0]} & _titled
+            frames = bool(told & _frame_words)
+            frame, body, titled = frame or frames, body or bool(told & _body_words), titled or bool(told & _titled and not frames)
+    return frame, body, titled
 
 
 def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -116,11 +121,11 @@ def _behind(name: str, page: str, at: int) -> int:
 def blocks(page: str) -> list[tuple[str, dict[str, float]]]:
     """Text and features of the page's blocks, in page order; unclosed and stray tags are taken as browsers take them."""
     out: list[tuple[str, dict[str, float]]] = []
-    opened: list[tuple[str, tuple[int, int], tuple[int, int], tuple[int, int], int | None]] = []  # name, its frames, whether it is the body (by element, by name), and ended and outer before it
+    opened: list[tuple[str, tuple[int, int], tuple[int, int, int], tuple[int, int], int | None]] = []  # name, its frames, whether it is the body (by element, by name) or one article by name, and ended and outer before it
     names: Counter = Counter()
     parts: list[str] = []
     linked = in_link = has_content = 0
-    body = [0, 0]
+    body = [0, 0, 0]
     framed = [0, 0]  # frames around: by element, by name only
     ended = (0, 0)  # those that an open main ends
     outer: int | None = None  # frames, without those ended, around the outermost open article
@@ -134,7 +139,7 @@ def blocks(page: str) -> list[tuple[str, dict[str, float]]]:
         if text:
             words = text.count(" ") + 1
             within.append((lone, (framed[0] - ended[0], framed[1] - ended[1]), outer))
-            out.append((text, {"in_body": min(1, body[0]), "in_content": min(1, body[1]), "words": words, "link_density": min(1.0, linked / words), "heading": heading, "listed": listed}))
+            out.append((text, {"in_article": min(1, body[0] + body[2]), "in_body": min(1, body[0]), "in_content": min(1, body[1]), "words": words, "link_density": min(1.0, linked / words), "heading": heading, "listed": listed}))
         parts, linked = [], 0
 
     at = 0
@@ -165,12 +170,12 @@ def blocks(page: str) -> list[tuple[str, dict[str, float]]]:
         if not closing:
             if attributes.endswith("/"):
                 continue
-            frames, bodies = _said(attributes) if attributes else (False, False)
+            frames, bodies, titled = _said(attributes, body[0] + body[2] > 0) if attributes else (False, False, False)
             main = not frames and bool(name == "main" or _MAIN.search(attributes))
-            is_body = (int(name in _body or main), int(bodies and not frames))
+            is_body = (int(name in _body or main), int(bodies and not frames), int(titled and not frames))
             if name in ("body", "html"):
-                frames, main, is_body = False, False, (0, 0)
-            by_element = int(name in _frame and not (name == "header" and sum(body)))
+                frames, main, is_body = False, False, (0, 0, 0)
+            by_element = int(name in _frame and not (name == "header" and body[0] + body[1]))
             own = (by_element, int(frames and not by_element and name != "article"))
             opened.append((name, own, is_body, ended, outer))
             names[name] += 1
@@ -180,12 +185,12 @@ def blocks(page: str) -> list[tuple[str, dict[str, float]]]:
             elif not frames and name == "article":
                 around_bodies.append(sum(framed) - sum(ended))
                 outer = around_bodies[-1] if outer is None else outer
-            framed, body = [framed[0] + own[0], framed[1] + own[1]], [body[0] + is_body[0], body[1] + is_body[1]]
+            framed, body = [framed[0] + own[0], framed[1] + own[1]], [x + y for x, y in zip(body, is_body, strict=True)]
             has_content |= int(is_body[1] and (framed[0], framed[1]) == ended)
         elif names[name]:
             while True:
                 gone, own, is_body, ended, outer = opened.pop()
-                framed, body = [framed[0] - own[0], framed[1] - own[1]], [body[0] - is_body[0], body[1] - is_body[1]]
+                framed, body = [framed[0] - own[0], framed[1] - own[1]], [x - y for x, y in zip(body, is_body, strict=True)]
                 names[gone] -= 1
                 if gone == name:
                     break
@@ -196,6 +201,7 @@ def blocks(page: str) -> list[tuple[str, dict[str, float]]]:
     for (_, f), (own, frames, article) in zip(out, within, strict=True):
         around = frames[0] + (0 if bare else own + frames[1])
         f["framed"] = int(around - (least if article == least else 0) > 0)
+        f["in_article"] = int(f["in_article"] and not f["framed"])
     quiet = {"words": 0, "link_density": 0.0}
     row = [quiet, quiet, *(f for _, f in out), quiet, quiet]
     for k, (_, f) in enumerate(out):
@@ -213,9 +219,12 @@ NAMING = {
     "misleading": ('<div class="has-sidebar main-left">', '<div class="x1">', '<div class="x2">', '<div class="x3">', '<div class="x4">', '<div class="x5">'),
     "none": ("<div>", "<div>", "<div>", "<div>", "<div>", "<div>"),
     "wrapped": ("<div>", "<div>", "<div>", "<div>", "<div>", "<div>"),
+    "tables": ("<td>", "<td>", "<td>", "<td>", "<td>", "<td>"),
 }
+#: How parts inside a named article call themselves that are none of it.
+WITHIN = ('<div class="share-buttons">', '<ul class="related">', "<aside>", '<div class="tags">', '<div class="newsletter">')
 #: Labelled training pages of each naming, and the seed of their rule.
-PAGES_EACH, SEED = 24, 7
+PAGES_EACH, SEED = 40, 7
 
 
 def training_pages(pages_each: int = PAGES_EACH, seed: int = SEED, naming: dict[str, tuple[str, ...]] = NAMING) -> list[tuple[str, list[int]]]:
@@ -224,7 +233,9 @@ def training_pages(pages_each: int = PAGES_EACH, seed: int = SEED, naming: dict[
     An article has a title, paragraphs of all lengths, and now and then a subheading, a list or a linked line. Around it
     stand a menu of links and maybe teasers (a linked title and a short text), an advert, comments and a footer (links and
     a short text). Where nothing is named, comments and adverts look like paragraphs; they occur only where a name tells
-    them. A wrapped page is inside an element that calls itself the content, with its menu, teasers and footer.
+    them. A wrapped page is inside an element that calls itself the content, with its menu, teasers and footer. A named
+    article may have its title in a header and hold lists of links, adverts and the like that name themselves. A layout
+    table has its parts in cells: a menu of links in one line, and an article whose first text is the cell's own.
     """
     rng = random.Random(seed)
     words = lambda lo, hi: " ".join("word" for _ in range(rng.randint(lo, hi)))
@@ -232,6 +243,7 @@ def training_pages(pages_each: int = PAGES_EACH, seed: int = SEED, naming: dict[
     out = []
     for kind, names in naming.items():
         named = kind in ("elements", "classes")
+        cells = kind == "tables"
         for k in range(pages_each):
             page: list[str] = []
             labels: list[int] = []
@@ -246,19 +258,30 @@ def training_pages(pages_each: int = PAGES_EACH, seed: int = SEED, naming: dict[
                 page.append(f"</{begin[1:].split()[0].rstrip('>')}>")
 
             def menu() -> None:
+                if cells:
+                    put(" ".join(link(1, 3) for _ in range(rng.randint(2, 9))), 0)
+                    return
                 for _ in range(rng.randint(2, 9)):
                     put(f"<li>{link(1, 3)}</li>", 0)
 
             def teasers() -> None:
                 for _ in range(rng.randint(2, 5)):
-                    put(f"<p>{link(2, 9)} {words(1, 4) if rng.random() < 0.4 else ''}</p>", 0)
+                    put(f"<p>{link(2, 20)} {words(1, 4) if rng.random() < 0.4 else ''}</p>", 0)
                     if rng.random() < 0.5:
                         put(f"<p>{words(5, 20)}</p>", 0)
 
             def article() -> None:
-                put(f"<h1>{words(1, 14)}</h1>", 1)
+                if cells and rng.random() < 0.5:
+                    put(words(*rng.choice(((12, 60), (50, 300)))), 1)
+                elif named and rng.random() < 0.4:
+                    part("<header class='entry-header'>", lambda: put(f"<h1>{words(1, 14)}</h1>", 1))
+                else:
+                    put(f"<h1>{words(1, 14)}</h1>", 1)
                 for _ in range(rng.choice((1, 1, 2, 3, 5, 9, 14))):
                     r = rng.random()
+                    if named and rng.random() < 0.12:
+                        inner = rng.choice(WITHIN)
+                        part(inner, lambda: [put(f"<li>{link(1, 4)}</li>" if rng.random() < 0.7 else f"<div>{words(1, 9)}</div>", 0) for _ in range(rng.randint(1, 4))])
                     if r < 0.12:
                         put(f"<h2>{words(1, 8)}</h2>", 1)
                     elif r < 0.2:
@@ -350,7 +373,8 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The columns of pages without html_col, with text and n_chars (code points). Null and empty pages have the empty
-    text; pages that repeat each get their row; an empty table gives none. The two come last; one whose name pages has
+    text; pages that repeat each get their row; an empty table gives none. A page of any length is read whole, in time and
+    memory that follow its length. The two come last; one whose name pages has
     already is called text_1 or n_chars_1."""
     results = fresh(pages.drop(html_col), "text", "n_chars")
     keep = [c for c in pages.columns if c != html_col]
