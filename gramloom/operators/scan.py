@@ -32,22 +32,26 @@ def _same(one: list[Column], two: list[Column]) -> Column:
     return reduce(lambda x, y: x & y, (a.eqNullSafe(b) for a, b in zip(one, two, strict=True)), F.lit(True))
 
 
-def carried(asks: DataFrame, events: DataFrame, keys: list[str], at: str, place: str, values: list[str], strictly: bool = False, few: int = FEW) -> DataFrame:
+def carried(asks: DataFrame, events: DataFrame, keys: list[str], at: str, place: str, values: list[str], strictly: bool = False, few: int = FEW, most: str | None = None) -> DataFrame:
     """asks with `values` of the last event of the same keys whose place is not behind the ask's (strictly: before it);
-    nulls if there is none. Of events at one place any one is the last. values don't have names of asks."""
-    both = _together(asks, events, keys, at, place, values, strictly)
-    event = F.when(F.col("_ask").isNull(), F.struct(*keys, *(f"_e_{c}" for c in values)))
+    nulls if there is none. Of events at one place any one is the last. values don't have names of asks. With `most`, a
+    column of events, it is the event with the largest of those (then the largest values) in place of the last one."""
+    both = _together(asks, events, keys, at, place, list(dict.fromkeys([*([most] if most else []), *values])), strictly)
+    told = [F.col(f"_e_{c}") for c in dict.fromkeys([*([most] if most else []), *values])]
+    event = F.when(F.col("_ask").isNull(), F.struct(*keys, *told))
+    # keys come first in the order and in the struct, so that the largest one so far is always one of the latest keys
+    so_far = F.max(event) if most else F.last(event, ignorenulls=True)
     order = ["_pos", "_kind", "_salt"]
     if both.count() <= few:
-        told = both.withColumn("_last", F.last(event, ignorenulls=True).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        told = both.withColumn("_last", so_far.over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     else:
         parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranged = saved(both.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "scan")
-        ends = ranged.filter("_ask IS NULL").groupBy("_part").agg(F.max_by(event, F.struct(*keys, "_pos")).alias("_end"))
+        ends = ranged.filter("_ask IS NULL").groupBy("_part").agg((F.max(event) if most else F.max_by(event, F.struct(*keys, "_pos"))).alias("_end"))
         every = ranged.select("_part").distinct().join(ends, "_part", "left")  # a row a range
-        before = every.select("_part", F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_in"))
+        before = every.select("_part", (F.max("_end") if most else F.last("_end", ignorenulls=True)).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_in"))
         inside = Window.partitionBy("_part").orderBy(*keys, *order).rowsBetween(Window.unboundedPreceding, 0)
-        told = ranged.withColumn("_last", F.last(event, ignorenulls=True).over(inside)).join(F.broadcast(before), "_part").withColumn("_last", F.coalesce("_last", "_in"))
+        told = ranged.withColumn("_last", so_far.over(inside)).join(F.broadcast(before), "_part").withColumn("_last", F.greatest("_last", "_in") if most else F.coalesce("_last", "_in"))
     same = _same([F.col(k) for k in keys], [F.col("_last")[k] for k in keys])
     return told.filter("_ask IS NOT NULL").select("_ask.*", *(F.when(same, F.col("_last")[f"_e_{c}"]).alias(c) for c in values))
 

@@ -335,6 +335,40 @@ def tagged_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.coalesce("w", F.lit("")).alias("word"), F.coalesce("kind", F.lit(0)).alias("kind"))
 
 
+def tagged_triples(spark: SparkSession, sf_dir: str) -> tagged.SequenceModel:
+    """Triples of words of conversations with their role as tag, one-letter words withheld, as marginals of all orders."""
+    own = ngrams.spread(table(spark, sf_dir, "conversations").select("role", "text"))
+    each = own.select("role", F.explode(ngrams.windows(F.filter(F.split("text", rf"[{T.SPACE}]+"), lambda w: w != ""), 3)).alias("g"))
+    hide = lambda i: F.when(F.length(F.col("g")[i]) == 1, "q!").otherwise(F.col("g")[i]).alias(f"w{i + 1}")
+    raw = each.select("role", *map(hide, range(3))).groupBy("role", "w1", "w2", "w3").agg(F.count("*").alias("p"))
+    cumulated = tagged.cumulate(raw, ["role", "w1", "w2", "w3"], 3)
+    return tagged.SequenceModel(saved(tagged.marginals(cumulated, 3, "c1")), 3)
+
+
+def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = ngrams.spread(table(spark, sf_dir, "benchmark").select("text"))
+    return own.select(F.explode(ngrams.windows(F.filter(F.split(F.lower("text"), rf"[{T.SPACE}]+"), lambda w: w != ""), 3)).alias("g")).distinct()
+
+
+@query(O.TAGGED_SEQUENCES)
+def tagged_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely one, two and three words of the benchmark are after the two, one or no words before them."""
+    cut = F.explode(F.array(*(F.struct(F.slice("g", 1, k).alias("context"), F.slice("g", k + 1, 3 - k).alias("words")) for k in range(3)))).alias("a")
+    out = tagged_triples(spark, sf_dir).probabilities(raw_triples(spark, sf_dir).select(cut).select("a.*").distinct())
+    told = (F.round(F.coalesce(c, F.lit(-1.0)), 9).alias(c) for c in ("probability", "lo", "hi"))
+    return out.select(F.array_join("context", " ").alias("context"), F.array_join("words", " ").alias("words"), *told, F.coalesce("used", F.lit(-1)).alias("used"))
+
+
+@query(O.TAGGED_TRIPLES)
+def tagged_matching_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that match three intervals behind one and two words of the benchmark, and behind none."""
+    context = F.explode(F.array(F.slice("g", 1, 2), F.slice("g", 1, 1), F.slice("g", 1, 0))).alias("context")
+    marks = F.explode(F.array(*(F.struct(F.lit(a).alias("num"), F.lit(b).alias("size"), F.lit(100).alias("den")) for a, b in ((7, 1), (30, 40), (90, 10)))))
+    asks = raw_triples(spark, sf_dir).select(context).distinct().withColumn("m", marks).select("context", "m.*")
+    out = tagged_triples(spark, sf_dir).matching_words(asks)
+    return out.select(F.array_join("context", " ").alias("context"), "num", F.coalesce("word", F.lit("")).alias("word"), F.coalesce("kind", F.lit(0)).alias("kind"), F.coalesce("used", F.lit(-1)).alias("used"))
+
+
 # -- the back-off model ---------------------------------------------------------------------------------------------
 
 

@@ -214,6 +214,33 @@ TAGGED_MATCH = with_tagged(f""",
     SELECT q.c || ' ' || q.num AS id, coalesce(w2, '') AS word, coalesce(kind, 0) AS kind FROM q LEFT JOIN r ON r.c = q.c AND r.num = q.num AND o = 1
     """)
 
+_TRIPLES = r"""
+    words AS (SELECT role, list_filter(string_split_regex(text, '[\s\pZ]+'), lambda w: w <> '') AS t FROM conversations),
+    grams AS (SELECT role, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i:i + 2])) AS g FROM words),
+    cnt AS (SELECT role, CASE WHEN length(g[1]) = 1 THEN 'q!' ELSE g[1] END AS w1, CASE WHEN length(g[2]) = 1 THEN 'q!' ELSE g[2] END AS w2, CASE WHEN length(g[3]) = 1 THEN 'q!' ELSE g[3] END AS w3, count(*) AS p FROM grams GROUP BY ALL),
+    cum AS (SELECT * FROM (SELECT w1, w2, w3, p, (sum(p) OVER o - p)::BIGINT AS c1, (sum(p) OVER o)::BIGINT AS c2 FROM cnt WINDOW o AS (ORDER BY role, w1, w2, w3)) WHERE w1 <> 'q!' AND w2 <> 'q!' AND w3 <> 'q!'),
+    low AS MATERIALIZED (SELECT lower(w1) AS w1, lower(w2) AS w2, lower(w3) AS w3, p, c1, c2 FROM cum),
+    m AS MATERIALIZED (SELECT k, sum(p)::BIGINT AS p, min(c1) AS c1, max(c2) AS c2 FROM (SELECT unnest([[w1, w2, w3], [w1, w2], [w1], []::VARCHAR[]]) AS k, p, c1, c2 FROM low) GROUP BY k),
+    tri AS MATERIALIZED (SELECT DISTINCT g FROM (SELECT unnest(list_transform(range(1, len(t) - 1), lambda i: t[i:i + 2])) AS g FROM (SELECT list_filter(string_split_regex(lower(text), '[\s\pZ]+'), lambda w: w <> '') AS t FROM benchmark)))"""
+
+TAGGED_SEQUENCES = f"""WITH {_TRIPLES},
+    q AS MATERIALIZED (SELECT DISTINCT g[1:k] AS c, g[k + 1:3] AS s FROM tri, range(3) AS r(k)),
+    e AS (SELECT c, s, u, c[len(c) - u + 1:len(c)] AS x FROM q, range(3) AS r(u) WHERE u <= len(c)),
+    f AS (SELECT e.c, e.s, u, g.p / h.p AS p, (g.c1 - h.c1) / h.p AS lo, (g.c2 - h.c1) / h.p AS hi FROM e JOIN m g ON g.k = list_concat(e.x, e.s) JOIN m h ON h.k = e.x),
+    b AS (SELECT c, s, max(u) AS u, arg_max(p, u) AS p, arg_max(lo, u) AS lo, arg_max(hi, u) AS hi FROM f GROUP BY c, s)
+    SELECT array_to_string(q.c, ' ') AS context, array_to_string(q.s, ' ') AS words, round(coalesce(p, -1), 9) AS probability, round(coalesce(lo, -1), 9) AS lo, round(coalesce(hi, -1), 9) AS hi, coalesce(u, -1)::INT AS used FROM q LEFT JOIN b ON b.c = q.c AND b.s = q.s"""
+
+TAGGED_TRIPLES = f"""WITH {_TRIPLES},
+    q AS MATERIALIZED (SELECT DISTINCT g[1:k] AS c FROM tri, range(3) AS r(k)),
+    e AS (SELECT c, max(u) AS u, arg_max(m.k, u) AS x, arg_max(m.p, u) AS p, arg_max(m.c1, u) AS c1, arg_max(m.c2, u) AS c2 FROM (SELECT c, u, c[len(c) - u + 1:len(c)] AS x FROM q, range(3) AS r(u) WHERE u <= len(c)) AS s JOIN m ON m.k = s.x GROUP BY c),
+    i AS (SELECT e.*, num, size FROM e, (VALUES (7, 1), (30, 40), (90, 10)) AS v(num, size)),
+    a AS MATERIALIZED (SELECT x, num, any_value(greatest(c1 + (p * num) // 100, c1)) AS a, any_value(least(c1 + (p * (num + size) + 99) // 100, c2)) AS b FROM i GROUP BY x, num),
+    w AS (SELECT k[1:len(k) - 1] AS x, k[len(k)] AS w, c1, c2 FROM m WHERE len(k) > 0),
+    d AS (SELECT a.x, num, w, c1, c2, CASE WHEN c1 <= a AND c2 >= b THEN 1 WHEN c1 >= a AND c2 <= b THEN 2 WHEN (c1 < a AND c2 > a) OR (c1 < b AND c2 > b) THEN 3 END AS kind, CASE WHEN c1 < a AND c2 > a THEN c2 - a ELSE b - c1 END AS share FROM a JOIN w ON w.x = a.x),
+    r AS (SELECT *, row_number() OVER (PARTITION BY x, num ORDER BY kind, CASE kind WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE -share END, c1) AS o FROM d WHERE kind IS NOT NULL)
+    SELECT array_to_string(q.c, ' ') AS context, v.num::INT AS num, coalesce(r.w, '') AS word, coalesce(r.kind, 0)::INT AS kind, coalesce(e.u, -1)::INT AS used
+    FROM q CROSS JOIN (VALUES (7), (30), (90)) AS v(num) LEFT JOIN e ON e.c = q.c LEFT JOIN r ON r.x = e.x AND r.num = v.num AND r.o = 1"""
+
 #: Parameters of the back-off model.
 BETA, GAMMA = 0.1, 0.01
 _WEIGHT = f"ceil(CAST(acc AS DOUBLE) / CAST(acc AS DOUBLE) * ({BETA} * (tot - acc) + {GAMMA} * tot))"
