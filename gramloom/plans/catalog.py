@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gramloom.functions import intervals as I
 from gramloom.functions import text as T
-from gramloom.operators import backoff, codec, counts, cumulative, models, ngrams, stego, tagged
+from gramloom.operators import backoff, codec, counts, cumulative, loads, models, ngrams, stego, tagged
 from gramloom.plans import oracle as O
 from gramloom.schemas import END, PARTITIONS, START
 from gramloom.sources import lines as L
@@ -248,6 +248,16 @@ def cumfreq_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model(spark, sf_dir).ranges(1)
 
 
+@query(O.with_ranges("SELECT a.token || ' ' || b.token AS ngram, (cf2 - cf1)::BIGINT AS count, cf1, cf2 FROM r2 JOIN vocab a ON a.token_id = w1 JOIN vocab b ON b.token_id = w2"))
+def second_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the documents, loaded in two halves, and the second half once more, which changes nothing."""
+    found = saved(ngrams.explode_windows(sentences(spark, sf_dir), 2, ("doc_id",)).groupBy("ngram", (F.col("doc_id") % 2).alias("half")).agg(F.count("*").alias("count")))
+    store = loads.CountStore(spark, scratch(spark, "loads"))
+    for half in (0, 1, 1):
+        store.load(f"half {half}", found.filter(F.col("half") == half).select("ngram", "count"))
+    return store.ranges().select(F.array_join("ngram", " ").alias("ngram"), "count", "cf1", "cf2")
+
+
 @query(O.with_ranges("SELECT w1, min(cf1) AS cf1, max(cf2) AS cf2 FROM r2 GROUP BY w1"))
 def context_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cumulative.contexts(model(spark, sf_dir).ranges(2), 2)
