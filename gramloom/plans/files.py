@@ -12,7 +12,7 @@ from gramloom.plans import catalog as C
 from gramloom.plans import oracle as O
 from gramloom.plans.catalog import query
 from gramloom.schemas import ngram_file_name
-from gramloom.sources import binary, lines
+from gramloom.sources import binary, lines, records
 from gramloom.sources.store import saved, scratch, stage
 
 
@@ -126,6 +126,16 @@ def binary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.unpacked(saved(binary.packed(ids, 2, 16), "binary"), 2).select("w1", "w2", "count")
 
 
+@query(O.with_vocab(f", g AS (SELECT {O.windows(2)} AS g FROM sentences) SELECT a.token_id::INT AS w1, b.token_id::INT AS w2, count(*) AS count FROM g JOIN vocab a ON a.token = g[1] JOIN vocab b ON b.token = g[2] WHERE a.token_id BETWEEN (SELECT count(*) // 3 FROM vocab) AND (SELECT 2 * count(*) // 3 FROM vocab) GROUP BY ALL"))
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted counts of ids written as files of records, and those of the vocabulary's middle third read by bisection."""
+    found = counts.ngram_counts(C.sentences(spark, sf_dir), 2)
+    vocab, path = saved(counts.vocabulary(found[1])), scratch(spark, "records")
+    records.write_records(counts.id_table(counts.translate(found[2], vocab, 2), 2), path, 2, 16)
+    size = vocab.count()
+    return records.read_records(spark, path, 2, size // 3, 2 * size // 3, 1 << 20).select("w1", "w2", "count")
+
+
 @query(
     O.with_vocab(f"""
     , g AS (SELECT {O.windows(2)} AS g FROM sentences), c AS (SELECT a.token_id AS w1, b.token_id AS w2, a.token AS t1, b.token AS t2, count(*) AS count FROM g JOIN vocab a ON a.token = g[1] JOIN vocab b ON b.token = g[2] GROUP BY ALL),
