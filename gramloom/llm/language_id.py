@@ -6,10 +6,11 @@ context on the way costs an escape of D / (N + D), where N counts the context's
 symbols of the context escaped from are excluded. Below order 0 all remaining bytes are equally likely. So a text's
 exact code length is a sum over its four-byte windows, and each distinct window is worked out once.
 
-The trees are learned from a bounded sample: about PER_LANGUAGE documents of each language, and no more than
-LANGUAGE_BYTES or its part of ALL_BYTES, taken by a hash of the id. Its windows are counted in Spark; the counts (at
-most one row per language and distinct window of the sample) are broadcast. Scoring is one pass over the texts
-without a shuffle.
+The trees are learned from all documents that have a language and are not held out, and the limits from all that are
+held out. The windows are counted in Spark, one row per language and distinct window. Up to MODEL_ROWS such rows the
+trees are broadcast and scoring is one pass over the texts without a shuffle. More are taken in parts by the two bytes
+before a window's last: all contexts of two and three bytes lie in one part, the counts of up to two bytes go with each,
+and a text's code length is the sum over the parts. A pass over the texts holds one part at a time.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramloom.llm._shared import U64, NumberTable, fresh, slices, small_batches, text_of, utf8
+from gramloom.llm._shared import U64, NumberTable, fresh, slices, small_batches, utf8, written
 
-#: The expected number of documents that a language is learned from.
-PER_LANGUAGE = 1500
-#: Bytes of them that are expected at most: of one language, and of all together. They bound the trees, which each worker gets.
+#: Rows of counts (a language and a window each) that a worker's trees are made of at most; more are taken in parts.
+MODEL_ROWS = 1 << 22
+#: Rows of an Arrow batch of counts.
+COUNT_ROWS = 1 << 17
+#: For a caller who asks for a sample: bytes that are expected at most, of one language and of all together.
 LANGUAGE_BYTES, ALL_BYTES = 64 << 20, 256 << 20
 #: Code lengths (8 bytes each) that a worker keeps ready, of all languages.
 CELLS = 1 << 23
@@ -55,14 +58,16 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class ContextTree:
-    """The frozen counts of one language, as sorted arrays for each order."""
+    """The frozen counts of one language, as sorted arrays for each order. `short`, where the windows are those of a part
+    only: the last two bytes of all windows, and their counts."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, short: tuple[np.ndarray, np.ndarray] | None = None):
         self.symbols: list[tuple[np.ndarray, np.ndarray]] = []  # by order: context and symbol, count
         self.contexts: list[tuple[np.ndarray, ...]] = []  # by order: context, N, D, and the shorter context's N without its symbols
         for order in range(ORDER + 1):
-            keys, which = np.unique(grams & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
-            n = np.bincount(which, counts, len(keys)).astype(np.int64)
+            own, weight = short if short and order < 2 else (grams, counts)
+            keys, which = np.unique(own & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            n = np.bincount(which, weight, len(keys)).astype(np.int64)
             self.symbols.append((keys, n))
             context, first = np.unique(keys >> np.uint32(8), return_index=True)
             total = np.add.reduceat(n, first) if len(first) else n
@@ -93,10 +98,10 @@ class ContextTree:
         for order in range(ORDER, -1, -1):
             if not len(todo):
                 return out
-            gram = grams[todo] & np.uint32((1 << 8 * (order + 1)) - 1)
-            at, total, known = self._context(order, gram >> np.uint32(8))
             if not len(self.contexts[order][0]):
                 continue
+            gram = grams[todo] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at, total, known = self._context(order, gram >> np.uint32(8))
             _, _, distinct, left = (x[at] for x in self.contexts[order])
             distinct = np.where(known, distinct, 0)
             n_here, d_here = total, distinct
@@ -120,17 +125,20 @@ class ContextTree:
 
 class Languages:
     """The trees of all languages, and the code lengths of the windows that they know, up to CELLS numbers: beyond that
-    those of the most frequent windows. What is not in the table is worked out from the trees, to the same bits."""
+    those of the most frequent windows. What is not in the table is worked out from the trees, to the same bits.
+
+    within: first and last number of the two bytes before the last of the windows that are here, and `short` the counts of
+    the last two bytes of all windows."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.names = sorted(counts)
-        self.trees = [ContextTree(*counts[x]) for x in self.names]
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], short: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, within: tuple[int, int] | None = None):
+        self.names, self.within = sorted(counts), within
+        self.trees = [ContextTree(*counts[x], short and short[x]) for x in self.names]
         if not self.names:
             return
         grams, which = np.unique(np.concatenate([counts[x][0] for x in self.names]), return_inverse=True)
         often = np.bincount(which, np.concatenate([counts[x][1] for x in self.names]), len(grams))
         grams = grams[np.argsort(-often, kind="stable")[: CELLS // len(self.names)]]
-        self.place = NumberTable(len(grams))
+        self.place = NumberTable(len(grams) // 2)  # half full at most
         self.place.put(grams.astype(U64), np.arange(len(grams)))
         self.costs = self._bits(grams)
 
@@ -148,14 +156,67 @@ class Languages:
         return out
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits of each row (rows) in each language (columns)."""
+        """Bits of each row (rows) in each language (columns); of a part, those of its own windows."""
         out = np.zeros((len(offsets) - 1, len(self.names)))
         full = np.flatnonzero(np.diff(offsets))
         if len(full) and self.names:
-            out[full] = np.add.reduceat(self.costs_of(windows(data, offsets)), offsets[full], axis=0, dtype=np.float64)
+            grams = windows(data, offsets)
+            if self.within is None:
+                out[full] = np.add.reduceat(self.costs_of(grams), offsets[full], axis=0, dtype=np.float64)
+                return out
+            before = middle(grams)
+            here = np.flatnonzero((before >= self.within[0]) & (before <= self.within[1]))
+            row, costs = np.searchsorted(offsets, here, "right") - 1, self.costs_of(grams[here])
+            for k in range(len(self.names)):
+                out[:, k] = np.bincount(row, costs[:, k], len(out))
         return out
 
 
+class Parts:
+    """Counts of more than MODEL_ROWS rows: the table (lang, gram, n), the counts of the last two bytes, and of each part
+    the first and last number of the two bytes before a window's last. A part holds MODEL_ROWS rows at most, or the
+    windows of one such number (65 536 a language)."""
+
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+        self.short = _by_language(counts.groupBy("lang", (F.col("gram") % 65536).alias("gram")).agg(F.sum("n").alias("n")))
+        self.names = sorted(self.short)
+        sizes = sorted(counts.groupBy(_middle().alias("at")).count().collect())  # 65 536 rows at most
+        first, held = [0], 0  # the ranges leave no number out: a text may have windows that no language has
+        for at, n in sizes:
+            if held and held + n > MODEL_ROWS:
+                first.append(at)
+                held = 0
+            held += n
+        self.within = [(x, y - 1) for x, y in zip(first, [*first[1:], 65536], strict=True)]
+
+    def part(self, within: tuple[int, int]) -> Languages:
+        own = _by_language(self.counts.filter(_middle().between(*within)))
+        none = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return Languages({x: own.get(x, none) for x in self.names}, self.short, within)
+
+
+def middle(grams: np.ndarray) -> np.ndarray:
+    """The number of the two bytes before each window's last."""
+    return (grams >> np.uint32(8)) & np.uint32(0xFFFF)
+
+
+def _middle() -> Column:
+    return F.expr("CAST(gram DIV 256 % 65536 AS INT)")
+
+
+def _by_language(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Windows and counts of each language, in order."""
+    rows = counts.select("lang", "gram", "n").toArrow()
+    lang = rows.column("lang").combine_chunks().dictionary_encode()
+    names, which = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    grams, n = rows.column("gram").to_numpy().astype(np.uint32), rows.column("n").to_numpy()
+    order = np.lexsort((grams, which))
+    edges = np.searchsorted(which[order], np.arange(len(names) + 1))
+    own = [order[lo:hi] for lo, hi in zip(edges, edges[1:], strict=False)]
+    return {name: (grams[x], n[x]) for name, x in zip(names, own, strict=True)}
+
+
 def _sample(known: DataFrame, per_language: int) -> tuple[DataFrame, list[str]]:
     """lang and text of some of the known documents (doc_id, text, lang), by a hash of their numbers in the table, and the
     languages. The share keeps the sample bounded whatever ids and texts repeat."""
@@ -167,13 +228,17 @@ def _sample(known: DataFrame, per_language: int) -> tuple[DataFrame, list[str]]:
     return known.withColumn("_place", place).join(F.broadcast(shares), "lang").filter("_place < share").select("lang", "text"), [x[0] for x in share]
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
-    """Count the windows of a sample of the documents that have a language and a text and are not held out."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    known = known.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sample, told = _sample(known, per_language)
-    if not told:
-        return Languages({})
+def _known(docs: DataFrame, held: bool, per_language: int | None, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """lang and text of the documents that have both and are held out or not: of all, or of a sample if one is asked for."""
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (held_out(id_col) == held))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    return known if per_language is None else _sample(known, per_language)[0]
+
+
+def learn(docs: DataFrame, per_language: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages | Parts:
+    """Count the windows of all documents that have a language and a text and are not held out (per_language: of about so
+    many of each language)."""
+    known = _known(docs, False, per_language, id_col, text_col, lang_col).select("lang", F.lower("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, list] = {}
@@ -186,17 +251,14 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
                     own[name] = [_merged(own[name])]
         for name, found in own.items():
             grams, n = _merged(found)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            for k in range(0, len(grams), COUNT_ROWS):
+                some = slice(k, k + COUNT_ROWS)
+                arrays = [pa.array([name] * len(grams[some]), pa.string()), pa.array(grams[some].astype(np.int64)), pa.array(n[some].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "gram", "n"])
 
-    counted = small_batches(sample).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names = np.array(counted.column("lang").to_pylist(), object)
-    grams, n = (counted.column(c).to_numpy() for c in ("gram", "n"))
-    out = {}
-    for name in told:
-        own = names == name
-        order = np.argsort(grams[own])
-        out[name] = (grams[own][order].astype(np.uint32), n[own][order])
-    return Languages({k: v for k, v in out.items() if len(v[0])})
+    counts = small_batches(known).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = written(counts, "language-windows")
+    return Parts(counts) if counts.count() > MODEL_ROWS else Languages(_by_language(counts))
 
 
 def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +266,26 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return grams, np.bincount(which, np.concatenate([x[1] for x in found]), len(grams)).astype(np.int64)
 
 
-def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _code_lengths(rows: DataFrame, row: str, lowered: str, bits: str, parts: Parts) -> DataFrame:
+    """rows with the bits in each language, summed over the parts, each of which passes over the texts by itself."""
+    found = None
+    for k, within in enumerate(parts.within):
+        shared = rows.sparkSession.sparkContext.broadcast(parts.part(within))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some in slices(batches, lowered, 1 << 19):
+                own = shared.value.code_lengths(*utf8(some.column(lowered)))  # noqa: B023  (written below, in the same round)
+                yield pa.RecordBatch.from_arrays([some.column(row), pa.array(list(own), pa.list_(pa.float64()))], [row, bits])
+
+        own = written(rows.select(row, lowered).mapInArrow(run, f"{row} long, {bits} array<double>"), "language-part").withColumn("part", F.lit(k))
+        shared.destroy()
+        found = own if found is None else found.unionByName(own)
+    none = F.array_repeat(F.lit(0.0), len(parts.names))
+    added = F.aggregate(F.array_sort(F.collect_list(F.struct("part", bits))), none, lambda x, y: F.zip_with(x, y[bits], lambda a, b: a + b))
+    return rows.join(found.groupBy(row).agg(added.alias(bits)), row).drop(row)
+
+
+def predict(docs: DataFrame, languages: Languages | Parts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs with lang_pred, score (the best language's posterior among all) and bits_per_byte.
 
     A text that is null or has no letter is `und`, with score 0 and no bits; so are all texts if no language was
@@ -212,22 +293,26 @@ def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_
     whole, by one task. The three come last;
     one whose name docs has already is called lang_pred_1 or the like.
     """
-    lowered, *results = fresh(docs, "_text", "lang_pred", "score", "bits_per_byte")
-    shared = docs.sparkSession.sparkContext.broadcast(languages)
-    fields = list(docs.columns)
+    lowered, row, known_bits, *results = fresh(docs, "_text", "_row", "_bits", "lang_pred", "score", "bits_per_byte")
+    fields, names = list(docs.columns), languages.names
     ready = docs.withColumn(lowered, F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col)))
+    in_parts = isinstance(languages, Parts)
+    if in_parts:
+        rows = written(ready.withColumn(row, F.monotonically_increasing_id()), "language-rows")
+        ready = _code_lengths(small_batches(rows), row, lowered, known_bits, languages)
+    shared = docs.sparkSession.sparkContext.broadcast(None if in_parts else languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for part in slices(batches, lowered, 1 << 19):
             data, offsets = utf8(part.column(lowered))
-            bits, size = known.code_lengths(data, offsets), np.diff(offsets)
-            no = (size == 0) | (not known.names)
-            if known.names:
+            bits = part.column(known_bits).flatten().to_numpy().reshape(-1, len(names)) if in_parts else shared.value.code_lengths(data, offsets)
+            size = np.diff(offsets)
+            no = (size == 0) | (not names)
+            if names:
                 best = bits.argmin(1)
                 least = bits[np.arange(len(bits)), best]
                 score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-                lang = np.array(known.names, object)[best]
+                lang = np.array(names, object)[best]
             else:
                 least, score, lang = np.zeros(len(size)), np.zeros(len(size)), np.full(len(size), UNKNOWN, object)
             lang[no] = UNKNOWN
@@ -242,21 +327,17 @@ def predict(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text_
     return small_batches(ready).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, bits_per_byte. An empty table gives no rows."""
     known = learn(docs, per_language, id_col, text_col, lang_col)
     own = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return predict(own, known).drop("text")
 
 
-def limits(docs: DataFrame, languages: Languages, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[float, float]]:
-    """Mean of the bits a byte, and spread, of each language that held-out documents show enough of: a bounded sample of
-    those whose language is known and found."""
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & held_out(id_col))
-    known = known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sample, told = _sample(known, per_language)
-    if not told:
-        return {}
+def limits(docs: DataFrame, languages: Languages | Parts, per_language: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[float, float]]:
+    """Mean of the bits a byte, and spread, of each language that held-out documents show enough of: all of those whose
+    language is known and found (per_language: about so many of each)."""
+    sample = _known(docs, True, per_language, id_col, text_col, lang_col)
     rate, weight = F.col("bits_per_byte"), F.least(F.octet_length(F.lower("text")), F.lit(LONG)).cast("double")
     sums = predict(sample, languages).filter("lang = lang_pred").groupBy("lang").agg(F.count("*"), F.sum(weight), F.sum(weight * rate), F.sum(weight * rate * rate))
     found = {name: (n, x / w, xx - x * x / w) for name, n, w, x, xx in sums.collect()}  # one row per language
