@@ -6,27 +6,31 @@ evidence counts as harmless, and the document's probability is 1 - (1 - LEAK) *
 its length alone does not raise it. Training maximises the likelihood of the document labels, through the noisy-or,
 and the sentence scores then tell where the offence is.
 
-Fit: about PER_CLASS labelled documents of each label, taken by a hash of the id. Evidence is chosen from document
-frequencies counted in Spark; only the chosen features of the sample's sentences (bounded by the sample) come to the
-driver, where the weights are fitted. Scoring is one pass over the texts without a shuffle.
+Fit: all labelled documents that are not held out. Evidence is chosen from document frequencies counted in Spark. Of the
+chosen features in sentences, equal bags of a label are counted as one. Bags with up to PLACES pieces of evidence come to the
+driver, where the weights are fitted; of more, each round's gradient is summed in Spark. Scoring is one pass over the
+texts without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramloom.llm._shared import fresh, slices, small_batches, span_hashes, text_of, utf8, word_spans, written
 
-#: The expected number of documents of each label that the weights are fitted on.
-PER_CLASS = 8000
+#: Labelled documents whose ids are broadcast at most; more are joined by a shuffle.
+FEW_IDS = 1_000_000
+#: Pieces of evidence (and bags) that the driver fits on at most; more stay in Spark.
+PLACES = 1 << 21
 BUCKETS = 1 << 20
 LEAK = 0.01
-#: Evidence: in so many toxic documents of the sample, log odds over this, and so many standard errors over 0.
+#: Evidence: in so many toxic documents, log odds over this, and so many standard errors over 0.
 LEAST_DOCS, LEAST_ODDS, LEAST_Z = 3, 2.0, 3.0
 ROUNDS, RATE, DECAY = 200, 0.1, 1e-3
 
@@ -98,40 +102,74 @@ class NoisyOr:
         return 1 - (1 - LEAK) * np.exp(-total), [rows, at[group], 1 / (1 + np.exp(-z))]
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], bucket: np.ndarray, weight: np.ndarray) -> NoisyOr:
-    """bags: label, and of each piece of evidence its place in `bucket` and its sentence. weight: where to begin."""
-    labels = np.array([b[0] for b in bags], float)
-    size = np.array([len(b[1]) for b in bags], np.int64)
-    doc = np.repeat(np.arange(len(bags)), size)
-    feature = np.concatenate([b[1] for b in bags]) if bags else np.zeros(0, np.int64)
-    sentence = np.concatenate([b[2] for b in bags]) if bags else np.zeros(0, np.int64)
-    _, first, which = np.unique(np.stack([doc, sentence], 1), axis=0, return_index=True, return_inverse=True) if len(doc) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    which = which.reshape(-1)
-    owner = doc[first]
+class Bags:
+    """Distinct bags: label, number of documents, and of each piece of evidence its place and its sentence (in order)."""
+
+    def __init__(self, rows: pa.RecordBatch | pa.Table):
+        columns = (rows.column(c) for c in ("toxic", "n", "feature", "sentence"))
+        toxic, n, feature, sentence = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
+        self.toxic, self.n = toxic.to_numpy(zero_copy_only=False) > 0, n.to_numpy(zero_copy_only=False).astype(float)
+        self.feature = feature.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        sentence = sentence.flatten().to_numpy(zero_copy_only=False)
+        bag = np.repeat(np.arange(len(self.n)), pc.list_value_length(feature).to_numpy(zero_copy_only=False))
+        new = np.ones(len(bag), bool)
+        new[1:] = (bag[1:] != bag[:-1]) | (sentence[1:] != sentence[:-1])
+        self.which, self.owner = np.cumsum(new) - 1, bag[new]
+
+    def pull(self, x: np.ndarray) -> np.ndarray:
+        """The gradient of the loss by the weights and, last, the bias: summed over documents."""
+        z = x[-1] + np.bincount(self.which, x[self.feature], len(self.owner))
+        total = np.bincount(self.owner, np.logaddexp(0, z), len(self.n)) - np.log1p(-LEAK)
+        push = self.n * np.where(self.toxic, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0)  # of the loss, by total
+        dz = push[self.owner] / (1 + np.exp(-z))
+        return np.append(np.bincount(self.feature, dz[self.which], len(x) - 1), dz.sum())
+
+
+def pulled(bags: DataFrame, x: np.ndarray) -> np.ndarray:
+    """The same gradient, summed in Spark over a table of bags."""
+    shared = bags.sparkSession.sparkContext.broadcast(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros(len(shared.value))
+        for part in batches:
+            g += Bags(part).pull(shared.value)
+        some = np.flatnonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(g[some])], ["at", "g"])
+
+    rows = bags.mapInArrow(run, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).toArrow()  # BUCKETS rows and one at most
+    shared.destroy()
+    out = np.zeros(len(x))
+    out[rows.column("at").to_numpy()] = rows.column("g").to_numpy()
+    return out
+
+
+def fit(pull: Callable[[np.ndarray], np.ndarray], documents: int, bucket: np.ndarray, weight: np.ndarray) -> NoisyOr:
+    """pull: gives the gradient, summed over so many documents. weight: where to begin."""
     x = np.append(weight, -2.0)
     m, v = np.zeros(len(x)), np.zeros(len(x))
     for t in range(1, ROUNDS + 1):
-        z = x[-1] + np.bincount(which, x[feature], len(first))
-        total = np.bincount(owner, np.logaddexp(0, z), len(bags)) - np.log1p(-LEAK)
-        push = np.where(labels > 0, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0)  # of the loss, by total
-        dz = push[owner] / (1 + np.exp(-z))
-        g = np.append(np.bincount(feature, dz[which], len(weight)), dz.sum()) / max(1, len(bags)) + DECAY * x / max(1, len(x))
+        g = pull(x) / max(1, documents) + DECAY * x / max(1, len(x))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return NoisyOr(bucket, x[:-1].astype(np.float32), float(x[-1]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> NoisyOr:
-    """Fit on the labelled documents that are not held out. A document with several labels counts as toxic if one says so."""
+def bag_of(sentence: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence of a document, in the order of its sentences, as a bag: features and sentences, the latter in the order of
+    what they hold and numbered from 0, so that documents with the same evidence have the same bag."""
+    parts = sorted(x.tolist() for x in np.split(feature, np.flatnonzero(np.diff(sentence)) + 1)) if len(feature) else []
+    return np.array([f for x in parts for f in x], np.int32), np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> NoisyOr:
+    """Fit on all labelled documents that are not held out. A document with several labels counts as toxic if one says so."""
     own = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}  # one row per label
     if not sizes.get(1) or not sizes.get(0):
         return NoisyOr(np.zeros(0, np.int64), np.zeros(0, np.float32), -2.0)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    few = own.filter(F.when(F.col("toxic") == 1, place < int((1 << 20) * min(1.0, per_class / sizes[1]))).otherwise(place < int((1 << 20) * min(1.0, per_class / sizes[0]))))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    # The sample's ids are 2 * per_class by expectation, whatever the input's size.
-    sample = written(texts.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text"), "toxicity-sample")
+    marks = F.broadcast(own) if sum(sizes.values()) <= FEW_IDS else own
+    known = written(texts.join(marks, "doc_id").select("toxic", "text"), "toxicity-known")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, BUCKETS), np.int64)
@@ -144,9 +182,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
         some = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], ["bucket", "clean", "toxic"])
 
-    counted = small_batches(sample).mapInArrow(frequencies, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = small_batches(known).mapInArrow(frequencies, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     found = counted.filter(F.col("toxic") >= LEAST_DOCS).toArrow()  # BUCKETS rows at most
-    total = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     clean, toxic = (found.column(c).to_numpy() + 0.5 for c in ("clean", "toxic"))
     odds = np.log(toxic / (total.get(1, 0) + 1)) - np.log(clean / (total.get(0, 0) + 1))
     good = (odds > LEAST_ODDS) & (odds > LEAST_Z * np.sqrt(1 / toxic + 1 / clean))
@@ -161,12 +199,17 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
             hit = np.flatnonzero(bucket[at] == b) if len(bucket) else np.zeros(0, np.int64)
             key = np.unique(np.stack([row[hit], sentence[hit], at[hit]], 1), axis=0)
             edges = np.searchsorted(key[:, 0], np.arange(part.num_rows + 1))
-            lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(key[:, k], pa.int64())) for k in (2, 1)]
+            bags = [bag_of(key[lo:hi, 1], key[lo:hi, 2]) for lo, hi in zip(edges, edges[1:], strict=False)]
+            lists = [pa.array([x[k] for x in bags], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(part.column("toxic").to_numpy(zero_copy_only=False), pa.int32()), *lists], ["toxic", "feature", "sentence"])
 
-    gathered = small_batches(sample).mapInArrow(evidence, "toxic int, feature array<long>, sentence array<long>").toArrow()
-    bags = [(int(t), np.array(f, np.int64), np.array(s, np.int64)) for t, f, s in zip(*(gathered.column(c).to_pylist() for c in ("toxic", "feature", "sentence")), strict=True)]
-    return fit(bags, bucket, start)
+    bags = small_batches(known).mapInArrow(evidence, "toxic int, feature array<int>, sentence array<int>")
+    bags = written(bags.groupBy("toxic", "feature", "sentence").agg(F.count("*").alias("n")), "toxicity-bags")
+    documents, places = bags.agg(F.sum("n"), F.sum(F.size("feature") + 1)).first()
+    if (places or 0) > PLACES:
+        return fit(lambda x: pulled(bags, x), documents, bucket, start)
+    own = Bags(bags.sort("toxic", "feature", "sentence").toArrow())  # in an order, so that sums come out the same each time
+    return fit(own.pull, documents or 0, bucket, start)
 
 
 def score(docs: DataFrame, model: NoisyOr, text_col: str = "text") -> DataFrame:
@@ -196,9 +239,9 @@ def score(docs: DataFrame, model: NoisyOr, text_col: str = "text") -> DataFrame:
     return small_batches(docs).mapInArrow(run, StructType(list(docs.schema.fields)).add(results[0], DoubleType()).add(results[1], IntegerType()).add(results[2], spans))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, offending. Without labels of both kinds all score LEAK."""
-    model = learn(docs, labels, per_class, id_col, text_col)
+    model = learn(docs, labels, id_col, text_col)
     own = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return score(own, model).drop("text")
 

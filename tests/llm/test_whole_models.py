@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from gramloom.llm import language_id
+from gramloom.llm import language_id, toxicity
 from gramloom.llm._shared import utf8
 
 
@@ -58,3 +58,32 @@ def test_a_language_may_be_missing_in_a_part(spark, monkeypatch):
     whole = sorted(map(tuple, language_id.identify(docs).select("doc_id", "lang_pred").collect()))
     monkeypatch.setattr(language_id, "MODEL_ROWS", 2)
     assert sorted(map(tuple, language_id.identify(docs).select("doc_id", "lang_pred").collect())) == whole
+
+
+def test_toxicity_is_fitted_on_every_labelled_document(spark, monkeypatch):
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'you vile fool. go', concat('good day. it is ', id)) AS text")
+    labels = rows.selectExpr("doc_id", "CAST(doc_id % 2 = 0 AS INT) AS toxic")
+    found = []
+    monkeypatch.setattr(toxicity, "fit", lambda pull, documents, bucket, weight: found.append((documents, bucket)) or toxicity.NoisyOr(bucket, weight, -2.0))
+    toxicity.learn(rows, labels)
+    assert found[0][0] == rows.filter(~toxicity.held_out()).count() > 20_000 and len(found[0][1])
+
+
+def test_toxicity_with_ids_joined_and_sums_in_spark(spark, monkeypatch):
+    text = "concat('good day ', id % 7, if(id % 3 = 0, '. you vile fool', ''), if(id % 4 = 0, '. rotten old villain', ''), if(id % 50 = 1, '. the vile weather', ''))"
+    docs = spark.range(600).selectExpr("id AS doc_id", f"{text} AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 = 0 OR doc_id % 4 = 0 AS INT) AS toxic")
+    monkeypatch.setattr(toxicity, "ROUNDS", 4)
+    one = toxicity.learn(docs, labels)
+    monkeypatch.setattr(toxicity, "FEW_IDS", 0)
+    monkeypatch.setattr(toxicity, "PLACES", 0)
+    other = toxicity.learn(docs, labels)
+    assert len(one.bucket) and np.array_equal(one.bucket, other.bucket)
+    assert np.allclose(one.weight, other.weight, rtol=1e-4) and np.isclose(one.bias, other.bias, rtol=1e-6)
+
+
+def test_equal_evidence_makes_equal_bags():
+    one = toxicity.bag_of(np.array([4, 4, 7, 9]), np.array([2, 5, 1, 2]))
+    other = toxicity.bag_of(np.array([0, 3, 5, 5]), np.array([1, 2, 2, 5]))
+    assert [x.tolist() for x in one] == [x.tolist() for x in other] == [[1, 2, 2, 5], [0, 1, 2, 2]]
+    assert [len(x) for x in toxicity.bag_of(np.zeros(0, int), np.zeros(0, int))] == [0, 0]
